@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, vectors
@@ -133,57 +133,67 @@ def _ranked(scorers: DataFrame, bundles: DataFrame, as_of, total: int) -> DataFr
     )
 
 
-def _status(no_text: Column, fetched: Column, usable: Column, mismatch: Column) -> Column:
-    return (
-        F.when(no_text, "no_text")
-        .when(F.coalesce(fetched, F.lit(0)) == 0, "no_jobs")
-        .when(usable == 0, "none_matched")
-        .when(mismatch, "mismatch")
-        .otherwise("ok")
-    )
+def _request_flags(people: DataFrame, postings: DataFrame, limit: int, dim: int | None) -> DataFrame:
+    """Per request: postings fetched, those with a usable vector, any in the experience band.
 
-
-def candidate_status(
-    candidates: DataFrame, postings: DataFrame, limit: int = FETCH_LIMIT, dim: int | None = None
-) -> DataFrame:
-    """``candidate_id, status, message, fetched``; also needs ``resume_text``.
-
-    The mismatch flag looks at everything fetched, before vectors are checked,
-    and belongs to the request, so it is computed once per request.
+    The band belongs to the request, so it is checked once per request.
     """
-    people = asking(candidates)
     found = staged(search_requests(postings, people, limit), "found")
     flags = fetch_by_id(postings.select("id", "experience_level", "embedding"), found).select(
         "id", "experience_level", vectors.is_usable(F.col("embedding"), dim).alias("usable")
     )
     level = F.get_json_object("request", "$.level")
-    per_request = (
+    return (
         found.select("request", "id")
         .join(flags, "id")
         .groupBy("request")
         .agg(
             F.count("*").cast("int").alias("fetched"),
             F.count_if("usable").alias("usable"),
-            F.bool_or(bands_overlap(F.col("experience_level"), level)).alias("any_match"),
+            F.bool_or(F.coalesce(bands_overlap(F.col("experience_level"), level), F.lit(False))).alias("any_match"),
         )
     )
-    no_text = F.coalesce(F.col("resume_text"), F.lit("")) == ""
-    scorable = vectors.is_usable(F.col("embedding"), dim)
+
+
+def mismatch_flags(
+    candidates: DataFrame, postings: DataFrame, limit: int = FETCH_LIMIT
+) -> DataFrame:
+    """``candidate_id, mismatch`` for candidates with a category and fetched postings.
+
+    Looks at everything fetched, before vectors are checked.
+    """
+    people = asking(candidates).filter("request is not null")
     stated = F.coalesce(F.col("category"), F.lit("")) != ""
-    message = F.when(F.lit(False), F.lit(""))
-    for name, text in MESSAGES.items():
-        message = message.when(F.col("status") == name, text)
-    narrow = people.select(
-        "candidate_id", "request", "category", no_text.alias("no_text"), scorable.alias("scorable")
+    flags = _request_flags(people, postings, limit, None)
+    asked = people.select("candidate_id", "request", stated.alias("stated"))
+    return salted_join(asked, flags, ["request"], F.col("candidate_id")).select(
+        "candidate_id", (F.col("stated") & ~F.col("any_match")).alias("mismatch")
     )
-    status = _status(
-        F.col("no_text"),
-        F.col("fetched"),
-        F.when(F.col("scorable"), F.col("usable")).otherwise(F.lit(0)),
-        stated & ~F.col("any_match"),
+
+
+def candidate_status(
+    candidates: DataFrame, postings: DataFrame, limit: int = FETCH_LIMIT, dim: int | None = None
+) -> DataFrame:
+    """``candidate_id, status, message, fetched``; also needs ``resume_text``."""
+    people = asking(candidates).select(
+        "candidate_id",
+        "request",
+        (F.coalesce(F.col("resume_text"), F.lit("")) == "").alias("no_text"),
+        vectors.is_usable(F.col("embedding"), dim).alias("scorable"),
+        (F.coalesce(F.col("category"), F.lit("")) != "").alias("stated"),
+    )
+    flags = _request_flags(people.filter("request is not null"), postings, limit, dim)
+    fetched = F.coalesce("fetched", F.lit(0))
+    status = (
+        F.when(F.col("no_text"), "no_text")
+        .when(fetched == 0, "no_jobs")
+        .when(~F.col("scorable") | (F.col("usable") == 0), "none_matched")
+        .when(F.col("stated") & ~F.col("any_match"), "mismatch")
+        .otherwise("ok")
     )
+    message = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
     return (
-        salted_join(narrow, per_request, ["request"], F.col("candidate_id"), "left")
+        salted_join(people, flags, ["request"], F.col("candidate_id"), "left")
         .withColumn("status", status)
-        .select("candidate_id", "status", message.alias("message"), F.coalesce("fetched", F.lit(0)).alias("fetched"))
+        .select("candidate_id", "status", F.try_element_at(message, F.col("status")).alias("message"), fetched.alias("fetched"))
     )

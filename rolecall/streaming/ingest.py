@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,16 +28,22 @@ def posting_stream(spark, path: str, order: T.StructField | None = None, **optio
 
 def append_batch(batch: DataFrame, batch_id: int, table: str, order: str) -> None:
     """Write the new rows of one micro-batch."""
-    spark = batch.sparkSession
-    schema = batch.schema
-    stored = spark.createDataFrame([], schema)
-    if batch_id > 0:
-        partitioned = T.StructType([*schema, T.StructField("batch_id", T.LongType())])
-        stored = spark.read.schema(partitioned).parquet(table).filter(F.col("batch_id") < batch_id)
+    stored = _other_batches(batch, batch_id, table)
     target = os.path.join(table, f"batch_id={batch_id}")
     new_rows(stored, batch, order).write.mode("overwrite").parquet(target)
 
 
+def _other_batches(batch: DataFrame, batch_id: int, table: str) -> DataFrame:
+    spark = batch.sparkSession
+    partitioned = T.StructType([*batch.schema, T.StructField("batch_id", T.LongType())])
+    try:
+        return spark.read.schema(partitioned).parquet(table).filter(F.col("batch_id") != batch_id)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], partitioned)
+
+
 def stream_ingest(
     stream: DataFrame, table: str, checkpoint: str, order: str = "id", mode: str = "exact", delay: str = "7 days"
 ) -> StreamingQuery:
