@@ -43,13 +43,52 @@ def skill_list() -> list[str]:
     return list(dict.fromkeys(s.lower() for s in dims.seed_skills()))
 
 
+TABLES = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def skill_list() -> list[str]:
+    """The distinct lower-cased seed skills."""
+    return list(dict.fromkeys(s.lower() for s in dims.seed_skills()))
+
+
+TABLES = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_count(df: DataFrame) -> Column:
+    """The number of rows as a scalar subquery."""
+    return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
 def pick(values: list, index: Column) -> Column:
     """``values[index % len(values)]``."""
-    literal = F.array(*[F.lit(v).cast("string") for v in values])
+    quoted = ["cast(null as string)" if v is None else "'" + v.replace("'", "\\'") + "'" for v in values]
+    literal = F.expr(f"array({', '.join(quoted)})")
     return F.element_at(literal, (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
 

@@ -19,8 +19,8 @@ def from_json(text: Column) -> Column:
 
 
 def to_json(vector: Column, description: Column) -> Column:
-    """Vector -> JSON list; NULL for a posting without a description."""
-    return F.when(description != NOT_AVAILABLE, F.to_json(vector))
+    """Vector -> JSON list of its exact values; NULL for a posting without a description."""
+    return F.when(description != NOT_AVAILABLE, F.to_json(vector.cast("array<double>")))
 
 
 def is_usable(vector: Column, dim: int | None = None) -> Column:
