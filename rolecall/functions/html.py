@@ -18,7 +18,7 @@ ENTITIES = {
     "&gt;": ">",
     "&quot;": '"',
     "&apos;": "'",
-    "&nbsp;": " ",
+    "&nbsp;": "\u00a0",
     "&ndash;": "–",
     "&mdash;": "—",
     "&lsquo;": "‘",
