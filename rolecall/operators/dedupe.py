@@ -2,39 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..schema import UNIQUE_KEY, clip_to_schema
 
 
-def new_rows(existing: DataFrame, batch: DataFrame, order: str, keys: tuple[str, ...] = UNIQUE_KEY) -> DataFrame:
-    """Rows of ``batch`` to insert: clipped, the first per key, none in ``existing``.
+_Spec = tuple[str, ...]
 
-    ``order`` is the unique arrival order. Keys compare without case; a row with a
-    NULL in its key never collides. Copies of a key are cut to one per task before
-    the shuffle, and rows with a NULL key are spread by a hash of ``order``.
-    """
-    names = [f"_k{i}" for i in range(len(keys))]
-    lowered = {n: F.lower(F.col(k)) for n, k in zip(names, keys)}
-    loose = F.lit(False)
+
+def _lowered(keys: _Spec) -> dict[str, Column]:
+    return {f"_k{i}": F.lower(F.col(k)) for i, k in enumerate(keys)}
+
+
+def _has_null(names: list[str]) -> Column:
+    missing = F.lit(False)
     for name in names:
-        loose = loose | F.col(name).isNull()
-    keyed = (
-        clip_to_schema(batch)
-        .withColumns(lowered)
-        .withColumn("_own", F.when(loose, F.col(order)))
-        .withColumn("_spread", F.when(loose, F.xxhash64(order)).otherwise(F.lit(0)))
-    )
-    arrival = Window.partitionBy(*names, "_own").orderBy(order)
+        missing = missing | F.col(name).isNull()
+    return missing
+
+
+def first_per_key(batch: DataFrame, order: str, keys: _Spec = UNIQUE_KEY) -> DataFrame:
+    """The first row per key in ``order`` (unique); keys compare clipped and without case.
+
+    A row with a NULL in its key never collides. Copies of a key are cut to one
+    per task before the shuffle.
+    """
+    lowered = _lowered(keys)
+    keyed = clip_to_schema(batch).withColumns(lowered)
+    keyed = keyed.withColumn("_own", F.when(_has_null(list(lowered)), F.col(order)))
+    arrival = Window.partitionBy(*lowered, "_own").orderBy(order)
     first = keyed.withColumn("_rn", F.row_number().over(arrival)).filter(F.col("_rn") == 1)
-    stored = existing.select(*[F.lower(F.col(k)).alias(n) for n, k in zip(names, keys)]).withColumn(
-        "_spread", F.lit(0).cast("long")
-    )
-    return first.join(stored, [*names, "_spread"], "left_anti").drop(*names, "_own", "_spread", "_rn")
+    return first.drop(*lowered, "_own", "_rn")
+
+
+def new_rows(existing: DataFrame, batch: DataFrame, order: str, keys: _Spec = UNIQUE_KEY) -> DataFrame:
+    """Rows of ``batch`` to insert: clipped, the first per key, none of them in ``existing``."""
+    lowered = _lowered(keys)
+    names = list(lowered)
+    stored = existing.select(*[c.alias(f"{n}_stored") for n, c in lowered.items()])
+    # A row with a NULL key matches nothing; a hash of its order spreads such rows.
+    loose = _has_null(names)
+    spread = F.when(loose, F.xxhash64(order).cast("string")).otherwise(F.col(names[0]))
+    first = first_per_key(batch, order, keys).withColumns(lowered).withColumn("_loose", loose)
+    first = first.withColumn(names[0], spread)
+    same = ~F.col("_loose")
+    for name in names:
+        same = same & (F.col(name) == F.col(f"{name}_stored"))
+    return first.join(stored, same, "left_anti").drop(*names, "_loose")
 
 
-def append_ignore(existing: DataFrame, batch: DataFrame, order: str, keys: tuple[str, ...] = UNIQUE_KEY) -> DataFrame:
+def append_ignore(existing: DataFrame, batch: DataFrame, order: str, keys: _Spec = UNIQUE_KEY) -> DataFrame:
     """The table after the insert."""
     return existing.unionByName(new_rows(existing, batch, order, keys), allowMissingColumns=True)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 #: Ids that differ only in their last ``BLOCK_BITS`` bits form a block, so a block
-#: holds at most a million ids however the ids are spread.
-BLOCK_BITS = 20
+#: holds at most 65,536 ids however the ids are spread.
+BLOCK_BITS = 16
 # Fixed value: rows per update batch.
 BATCH_ROWS = 1000
 
@@ -17,8 +17,8 @@ def _offsets(counts: DataFrame, levels: int) -> DataFrame:
     """``block, before``: rows in all earlier blocks, from ``block, rows``.
 
     Running sums are taken inside blocks of blocks, level by level, so that no
-    window is larger than a block. 64-bit ids need three levels; what is left for
-    the unpartitioned window is at most 16 rows.
+    window is larger than a block. After three levels of 64-bit ids at most 65,536
+    rows are left for the unpartitioned window.
     """
     earlier = lambda w: F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if levels == 0:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..session import BROADCAST_IDS, staged
 from .filters import contains_like, like_text
 
-#: Pieces a hot key is cut into.
+#: Pieces every key is cut into by ``salted_join``.
 SALTS = 16
+#: Rows of one key that ``spread_join`` leaves in one piece.
+HOT_ROWS = 200_000
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column, how: str = "inner") -> DataFrame:
@@ -23,6 +25,32 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column,
     return cut.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def hot_keys(counts: DataFrame, on: str, rows: int | None = None) -> DataFrame:
+    """``on, pieces`` for the keys of ``counts`` (``on, n``) with more than ``rows`` rows.
+
+    At most one key per ``rows`` rows of the big side can be hot, so the result is
+    small enough to broadcast by construction.
+    """
+    limit = rows or HOT_ROWS
+    return counts.filter(F.col("n") > limit).select(on, F.ceil(F.col("n") / limit).cast("int").alias("_pieces"))
+
+
+def spread_join(
+    big: DataFrame, small: DataFrame, on: str, counts: DataFrame, spread: str, how: str = "inner", rows: int | None = None
+) -> DataFrame:
+    """Join of ``big`` with a wide ``small`` side that has one row per key.
+
+    Only hot keys are cut: their rows in ``big`` go to pieces by a hash of
+    ``spread``, and only their row in ``small`` is repeated. ``counts`` holds the
+    rows per key of ``big`` as ``on, n``.
+    """
+    hot = F.broadcast(hot_keys(counts, on, rows))
+    pieces = F.coalesce("_pieces", F.lit(1))
+    cut = big.join(hot, on, "left").withColumn("_piece", F.pmod(F.xxhash64(spread), pieces).cast("int"))
+    copies = small.join(hot, on, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return cut.drop("_pieces").join(copies.drop("_pieces"), [on, "_piece"], how).drop("_piece")
+
+
 def fetch_by_id(table: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of a wide table whose ``id`` is in the distinct ``ids``.
 

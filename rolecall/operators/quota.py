@@ -10,7 +10,7 @@ from pyspark.sql import Window
 TOTAL = 40
 
 
-def _source_key() -> Column:
+def source_key() -> Column:
     """``source`` as a grouping key in which NULL is a value of its own."""
     return F.to_json(F.array("source"))
 
@@ -18,7 +18,7 @@ def _source_key() -> Column:
 def source_order(scored: DataFrame, key: str, total: int = TOTAL) -> DataFrame:
     """``key, source_key, source_ord, quota``: first fetch rank and places of each source."""
     per_source = (
-        scored.withColumn("source_key", _source_key())
+        scored.withColumn("source_key", source_key())
         .groupBy(key, "source_key")
         .agg(F.min("fetch_rank").alias("source_ord"))
     )
@@ -38,15 +38,16 @@ def quota_rank(scored: DataFrame, total: int = TOTAL, key: str = "candidate_id")
     before the shuffle and a group of any size is sorted in bounded pieces.
     """
     best = Window.partitionBy(key, "source_key").orderBy(F.desc("score"), "fetch_rank")
-    named = scored.withColumn("source_key", _source_key())
+    named = scored.withColumn("source_key", source_key())
     kept = named.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= total)
     return _placed(kept.join(source_order(scored, key, total), [key, "source_key"]), total, key)
 
 
 def quota_rank_bounded(scored: DataFrame, total: int = TOTAL, key: str = "candidate_id") -> DataFrame:
-    """``quota_rank`` for groups of bounded size that carry their ``source_order``.
+    """``quota_rank`` for groups of bounded size.
 
-    One shuffle by ``key`` serves both windows.
+    The rows carry ``source_key``, ``source_ord`` and ``quota``; one shuffle by
+    ``key`` serves both windows.
     """
     best = Window.partitionBy(key, "source_key").orderBy(F.desc("score"), "fetch_rank")
     return _placed(scored.repartition(key).withColumn("rn", F.row_number().over(best)), total, key)

@@ -20,7 +20,7 @@ from ..functions.text import normalise
 from ..schema import SEARCH_COLUMNS, require
 from ..session import staged
 from .filters import experience_filter, has_location, location_like, title_matches_any
-from .joins import fetch_by_id, like_pairs, salted_join
+from .joins import fetch_by_id, like_pairs, salted_join, spread_join
 
 # Fixed value: postings fetched per request.
 FETCH_LIMIT = 100
@@ -68,14 +68,16 @@ def with_request(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("request", F.when(has_location(F.col("pref_location")), key))
 
 
-def _asks(candidates: DataFrame) -> DataFrame:
+def request_counts(asking: DataFrame) -> DataFrame:
+    """``request, n``: the distinct requests and how many candidates have each."""
+    return asking.filter("request is not null").groupBy("request").agg(F.count("*").alias("n"))
+
+
+def _asks(requests: DataFrame) -> DataFrame:
     """One row per distinct request, role and level class; role '' accepts all titles."""
     parsed = F.from_json("request", "pref string, level string, roles array<string>")
     return (
-        candidates.select("request")
-        .filter(F.col("request").isNotNull())
-        .distinct()
-        .withColumn("r", parsed)
+        requests.select("request", parsed.alias("r"))
         .select("request", F.col("r.pref").alias("pref"), F.col("r.level").alias("level"), "r.roles")
         .withColumn("role", F.explode(F.when(F.size("roles") > 0, F.col("roles")).otherwise(F.array(F.lit("")))))
         .withColumn("class", F.explode(allowed_classes(F.col("level"))))
@@ -89,12 +91,9 @@ def _newest_first() -> Column:
     return F.struct(age.alias("age"), F.col("id"), F.col("posted_date"))
 
 
-def search_requests(postings: DataFrame, candidates: DataFrame, limit: int = FETCH_LIMIT) -> DataFrame:
-    """``request, fetch_rank, id, posted_date`` for every distinct request.
-
-    ``candidates`` carries ``request`` (see ``with_request``).
-    """
-    asks = _asks(candidates)
+def search_requests(postings: DataFrame, requests: DataFrame, limit: int = FETCH_LIMIT) -> DataFrame:
+    """``request, fetch_rank, id, posted_date`` for every request (see ``request_counts``)."""
+    asks = _asks(requests)
     rows = postings.select(
         "id",
         "posted_date",
@@ -129,13 +128,15 @@ def search_requests(postings: DataFrame, candidates: DataFrame, limit: int = FET
 def request_bundles(found: DataFrame, details: DataFrame) -> DataFrame:
     """One row per request: its postings with their details, in fetch order.
 
-    At most ``FETCH_LIMIT`` entries per request, so the list is bounded.
+    At most ``FETCH_LIMIT`` entries per request, so the list is bounded. ``found``
+    is read twice and should be stored.
     """
     names = [c for c in details.columns if c != "id"]
+    per_id = found.groupBy("id").agg(F.count("*").alias("n"))
     return (
-        found.select("request", "fetch_rank", "id")
-        .join(details, "id")
+        spread_join(found.select("request", "fetch_rank", "id"), details, "id", per_id, "request")
         .groupBy("request")
+        # The sort compares fetch_rank, which is unique within a request.
         .agg(F.array_sort(F.collect_list(F.struct("fetch_rank", "id", *names))).alias("bundle"))
     )
 
@@ -143,13 +144,12 @@ def request_bundles(found: DataFrame, details: DataFrame) -> DataFrame:
 def search_postings(postings: DataFrame, candidates: DataFrame, limit: int = FETCH_LIMIT) -> DataFrame:
     """``candidate_id, fetch_rank`` and the search columns of each candidate's postings."""
     asking = with_request(candidates).select("candidate_id", "request").filter("request is not null")
-    found = staged(search_requests(postings, asking, limit), "found")
+    requests = staged(request_counts(asking), "requests")
+    found = staged(search_requests(postings, requests, limit), "found")
     details = fetch_by_id(postings.select(*SEARCH_COLUMNS), found)
     keyed = details.select("id", F.struct(*[c for c in SEARCH_COLUMNS if c != "id"]).alias("row"))
-    # array_sort compares fetch_rank first, which is unique within a request.
-    bundles = request_bundles(found, keyed)
     return (
-        salted_join(asking, bundles, ["request"], F.col("candidate_id"))
+        spread_join(asking, request_bundles(found, keyed), "request", requests, "candidate_id")
         .select("candidate_id", F.inline("bundle"))
         .select("candidate_id", "fetch_rank", "id", "row.*")
     )

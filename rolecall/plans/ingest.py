@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NOT_AVAILABLE
-from ..operators.dedupe import new_rows
+from ..operators.dedupe import first_per_key, new_rows
 from ..operators.quota import crawl_quota
 from ..schema import POSTING_SCHEMA
 from ..sources.pages import extract_cards, extract_detail_pages, with_card_details
@@ -40,13 +40,15 @@ def listing_postings(
 ) -> DataFrame:
     """Postings of listing pages (``page_id, role, page, html``), with ``arrival``.
 
-    ``details`` (``url, html``) are the cards' own pages.
+    ``details`` (``url, html``) are the cards' own pages. Only the first card of a
+    key can be inserted, so the others leave before the details are joined; a
+    posting listed on very many pages does not make its link a hot join key.
     """
     cards = extract_cards(listings, as_of)
     if limits:
         cards = crawl_quota(cards, "role", *limits)
     arrival = F.struct(F.lit(1), F.col("page_id"), F.col("pos")).cast(_ARRIVAL)
-    return with_card_details(cards, details).withColumn("arrival", arrival)
+    return with_card_details(first_per_key(cards.withColumn("arrival", arrival), "arrival"), details)
 
 
 def as_postings(df: DataFrame, scraped_at, embed: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:

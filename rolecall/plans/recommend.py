@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, vectors
 from ..functions.bands import bands_overlap, chosen_category
-from ..operators.joins import fetch_by_id, salted_join
-from ..operators.quota import TOTAL, quota_rank_bounded, source_order
-from ..operators.search import FETCH_LIMIT, request_bundles, search_requests, with_request
+from ..operators.joins import fetch_by_id, spread_join
+from ..operators.quota import TOTAL, quota_rank_bounded, source_key
+from ..operators.search import FETCH_LIMIT, request_bundles, request_counts, search_requests, with_request
 from ..operators.skills import bounded_dictionary, extract_skills_by_join, matched_skills, skill_counts, skills_in
 from ..schema import DISPLAY_COLUMNS
 from ..session import staged
@@ -34,25 +34,24 @@ def asking(candidates: DataFrame) -> DataFrame:
     return with_request(candidates.withColumn("category", category))
 
 
-def _posting_details(postings: DataFrame, found: DataFrame, skills: DataFrame, dim: int | None) -> DataFrame:
+def _posting_details(postings: DataFrame, found: DataFrame, skills: DataFrame) -> DataFrame:
     """``id``, usable vector and norm, counted description skills and shown columns.
 
     Computed once per posting that any request fetched, not once per pair.
     """
     wide = fetch_by_id(postings.select("id", *_SHOWN, "job_description", "embedding"), found)
+    wide = wide.filter(vectors.is_usable(F.col("embedding")))
     phrases = bounded_dictionary(skills)
     if phrases is None:
         wide = extract_skills_by_join(wide, skills, "job_description", "id", "_skills")
     else:
         wide = wide.withColumn("_skills", skills_in(F.col("job_description"), phrases))
-    usable = vectors.is_usable(F.col("embedding"), dim)
-    return wide.withColumn("vector", F.when(usable, F.col("embedding"))).select(
+    return wide.select(
         "id",
-        "vector",
-        vectors.norm(F.col("vector")).alias("vector_norm"),
+        F.col("embedding").alias("vector"),
+        vectors.norm(F.col("embedding")).alias("vector_norm"),
         skill_counts(F.col("job_description"), F.col("_skills")).alias("skill_counts"),
-        F.col("source"),
-        "experience_level",
+        source_key().alias("source_key"),
         F.struct(*_SHOWN).alias("shown"),
     )
 
@@ -64,54 +63,47 @@ def recommend(
     skills: DataFrame,
     total: int = TOTAL,
     limit: int = FETCH_LIMIT,
-    dim: int | None = None,
 ) -> DataFrame:
     """Ranked postings per candidate.
 
     ``candidates`` has ``candidate_id, pref_location, form_level, parsed_level,
     best_job_roles, skills, embedding``. Returns one row per place in a list:
     ``candidate_id, position``, the shown columns, ``match_score``,
-    ``matched_skills`` and ``days_since_posted``. ``dim`` fixes the length of a
-    usable vector.
+    ``matched_skills`` and ``days_since_posted``.
     """
-    people = asking(candidates).filter("request is not null")
-    found = staged(search_requests(postings, people, limit), "found")
-    details = staged(_posting_details(postings, found, skills, dim), "details").filter("vector is not null")
-    usable = found.select("request", "fetch_rank", "id").join(details.select("id", "source"), "id")
-    order = source_order(usable, "request", total)
-    bundles = _with_order(request_bundles(found, details), order)
     mine = F.col("embedding")
-    scorers = people.filter(vectors.is_usable(mine, dim)).select(
-        "candidate_id", "request", "skills", "embedding", vectors.norm(mine).alias("my_norm")
+    people = (
+        asking(candidates)
+        .filter("request is not null")
+        .select("candidate_id", "request", "skills", "embedding", vectors.norm(mine).alias("my_norm"))
     )
-    return _ranked(scorers, bundles, as_of, total)
-
+    requests = staged(request_counts(people), "requests")
+    found = staged(search_requests(postings, requests, limit), "found")
+    details = staged(_posting_details(postings, found, skills), "details")
+    bundles = request_bundles(found, details)
+    pairs = spread_join(people.filter(vectors.is_usable(mine)), bundles, "request", requests, "candidate_id")
+    return _ranked(pairs, as_of, total)
 
-def _with_order(bundles: DataFrame, order: DataFrame) -> DataFrame:
-    """Adds the request's source order as a map; a request has at most as many sources as postings."""
-    entry = F.struct("source_key", F.struct("source_ord", "quota"))
-    maps = order.groupBy("request").agg(F.map_from_entries(F.collect_list(entry)).alias("order"))
-    return bundles.join(maps, "request")
 
+def _ranked(pairs: DataFrame, as_of, total: int) -> DataFrame:
+    """Scores the bundle of every row and keeps its balanced list.
 
-def _ranked(scorers: DataFrame, bundles: DataFrame, as_of, total: int) -> DataFrame:
-    score = vectors.cosine_percent(
-        F.col("p.vector"), F.col("embedding"), F.col("p.vector_norm"), F.col("my_norm")
-    )
-    same_length = F.size("p.vector") == F.size("embedding")
+    Sources in order of first fetch, and so the quota, come from the bundle itself.
+    """
+    same_length = F.filter("bundle", lambda p: F.size(p["vector"]) == F.size("embedding"))
+    sources = F.array_distinct(F.transform("bundle", lambda p: p["source_key"]))
+    score = vectors.cosine_percent(F.col("p.vector"), F.col("embedding"), F.col("p.vector_norm"), F.col("my_norm"))
     scored = (
-        salted_join(scorers, bundles, ["request"], F.col("candidate_id"))
-        .select("candidate_id", "skills", "embedding", "my_norm", "order", F.explode("bundle").alias("p"))
-        .filter(same_length)
-        .withColumn("source_key", F.to_json(F.array("p.source")))
+        pairs.withColumn("bundle", same_length)
+        .withColumn("sources", sources)
+        .select("candidate_id", "skills", "embedding", "my_norm", "sources", F.explode("bundle").alias("p"))
         .select(
             "candidate_id",
             "p.fetch_rank",
             "p.id",
-            "p.source",
-            "source_key",
-            F.col("order")[F.col("source_key")]["source_ord"].alias("source_ord"),
-            F.col("order")[F.col("source_key")]["quota"].alias("quota"),
+            "p.source_key",
+            F.array_position("sources", F.col("p.source_key")).alias("source_ord"),
+            F.ceil(F.lit(total) / F.size("sources")).alias("quota"),
             score.alias("score"),
             matched_skills(F.col("p.skill_counts"), F.col("skills")).alias("matched_skills"),
             "p.shown",
@@ -133,19 +125,19 @@ def _ranked(scorers: DataFrame, bundles: DataFrame, as_of, total: int) -> DataFr
     )
 
 
-def _request_flags(people: DataFrame, postings: DataFrame, limit: int, dim: int | None) -> DataFrame:
+def _request_flags(requests: DataFrame, postings: DataFrame, limit: int) -> DataFrame:
     """Per request: postings fetched, those with a usable vector, any in the experience band.
 
     The band belongs to the request, so it is checked once per request.
     """
-    found = staged(search_requests(postings, people, limit), "found")
+    found = staged(search_requests(postings, requests, limit), "found")
     flags = fetch_by_id(postings.select("id", "experience_level", "embedding"), found).select(
-        "id", "experience_level", vectors.is_usable(F.col("embedding"), dim).alias("usable")
+        "id", "experience_level", vectors.is_usable(F.col("embedding")).alias("usable")
     )
     level = F.get_json_object("request", "$.level")
+    per_id = found.groupBy("id").agg(F.count("*").alias("n"))
     return (
-        found.select("request", "id")
-        .join(flags, "id")
+        spread_join(found.select("request", "id"), flags, "id", per_id, "request")
         .groupBy("request")
         .agg(
             F.count("*").cast("int").alias("fetched"),
@@ -155,34 +147,34 @@ def _request_flags(people: DataFrame, postings: DataFrame, limit: int, dim: int
     )
 
 
-def mismatch_flags(
-    candidates: DataFrame, postings: DataFrame, limit: int = FETCH_LIMIT
-) -> DataFrame:
-    """``candidate_id, mismatch`` for candidates with a category and fetched postings.
+def mismatch_flags(candidates: DataFrame, postings: DataFrame, limit: int = FETCH_LIMIT) -> DataFrame:
+    """``candidate_id, mismatch`` for candidates with fetched postings.
 
     Looks at everything fetched, before vectors are checked.
     """
     people = asking(candidates).filter("request is not null")
     stated = F.coalesce(F.col("category"), F.lit("")) != ""
-    flags = _request_flags(people, postings, limit, None)
     asked = people.select("candidate_id", "request", stated.alias("stated"))
-    return salted_join(asked, flags, ["request"], F.col("candidate_id")).select(
+    requests = staged(request_counts(asked), "requests")
+    flags = _request_flags(requests, postings, limit)
+    return spread_join(asked, flags, "request", requests, "candidate_id").select(
         "candidate_id", (F.col("stated") & ~F.col("any_match")).alias("mismatch")
     )
 
 
-def candidate_status(
-    candidates: DataFrame, postings: DataFrame, limit: int = FETCH_LIMIT, dim: int | None = None
-) -> DataFrame:
+def candidate_status(candidates: DataFrame, postings: DataFrame, limit: int = FETCH_LIMIT) -> DataFrame:
     """``candidate_id, status, message, fetched``; also needs ``resume_text``."""
     people = asking(candidates).select(
         "candidate_id",
         "request",
         (F.coalesce(F.col("resume_text"), F.lit("")) == "").alias("no_text"),
-        vectors.is_usable(F.col("embedding"), dim).alias("scorable"),
+        vectors.is_usable(F.col("embedding")).alias("scorable"),
         (F.coalesce(F.col("category"), F.lit("")) != "").alias("stated"),
     )
-    flags = _request_flags(people.filter("request is not null"), postings, limit, dim)
+    requests = staged(request_counts(people), "requests")
+    flags = _request_flags(requests, postings, limit)
+    # Candidates without a request meet nobody; their own id spreads them.
+    keyed = people.withColumn("request", F.coalesce("request", F.col("candidate_id").cast("string")))
     fetched = F.coalesce("fetched", F.lit(0))
     status = (
         F.when(F.col("no_text"), "no_text")
@@ -193,7 +185,7 @@ def candidate_status(
     )
     message = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
     return (
-        salted_join(people, flags, ["request"], F.col("candidate_id"), "left")
+        spread_join(keyed, flags, "request", requests, "candidate_id", "left")
         .withColumn("status", status)
         .select("candidate_id", "status", F.try_element_at(message, F.col("status")).alias("message"), fetched.alias("fetched"))
     )

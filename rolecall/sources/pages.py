@@ -166,7 +166,9 @@ def card_details(pages: DataFrame) -> DataFrame:
 
 def with_card_details(cards: DataFrame, pages: DataFrame) -> DataFrame:
     """Cards joined to their own pages on the link; a missing page gives defaults."""
-    details = card_details(pages).dropDuplicates(["job_link"])
+    details = card_details(pages)
+    first = F.min(F.struct(*[c for c in details.columns if c != "job_link"])).alias("page")
+    details = details.groupBy("job_link").agg(first).select("job_link", "page.*")
     defaults = {"job_description": t.NOT_AVAILABLE, "job_type": t.NOT_AVAILABLE}
     return (
         cards.join(details, "job_link", "left")
