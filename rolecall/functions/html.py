@@ -43,23 +43,31 @@ def visible(html: Column) -> Column:
 
 
 def start_tag(tag: str, cls: str | None = None) -> str:
-    """Pattern of a start tag that carries the class ``cls`` among its classes."""
+    """Pattern of a start tag that carries the class ``cls`` (exact case) among its classes."""
     if cls is None:
         return rf"(?i)<{tag}\b[^>]*>"
     name = cls.replace("-", r"\-")
-    return rf"""(?i)<{tag}\b[^>]*?\bclass\s*=\s*["'](?:[^"'>]*\s)?{name}(?:\s[^"'>]*)?["'][^>]*>"""
+    return rf"""(?i:<{tag}\b)[^>]*?(?i:\bclass)\s*=\s*["'](?:[^"'>]*\s)?{name}(?:\s[^"'>]*)?["'][^>]*>"""
 
 
-def inner(rest: Column, tag: str) -> Column:
+def _end_tag(tag: str) -> str:
+    return rf"(?i)</{tag}\s*>"
+
+
+def up_to_end(rest: Column, tag: str) -> Column:
+    """What follows a start tag up to the next end tag of that kind."""
+    return F.split(rest, _end_tag(tag), 2)[0]
+
+
+def inner(rest: Column, tag: str, first: Column | None = None) -> Column:
     """What follows a start tag up to its own end tag, nested elements included.
 
     ``rest`` is split at the end tags; the element ends at the first piece by
     which as many end tags as start tags were seen. An unclosed element runs to
-    the end, as in a browser.
+    the end, as in a browser. ``first`` is ``up_to_end`` where it is known.
     """
-    close = rf"(?i)</{tag}\s*>"
+    first = up_to_end(rest, tag) if first is None else first
     opened = lambda piece: F.regexp_count(piece, F.lit(rf"(?i)<{tag}\b"))
-    first = F.split(rest, close, 2)[0]
     start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("html"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -71,20 +79,24 @@ def inner(rest: Column, tag: str) -> Column:
             F.when(done, acc["html"]).otherwise(html).alias("html"),
         )
 
-    nested = F.aggregate(F.split(rest, close), start, step, lambda acc: acc["html"])
-    return F.when(opened(first) == 0, first).otherwise(nested)
+    nested = F.aggregate(F.split(rest, _end_tag(tag)), start, step, lambda acc: acc["html"])
+    flat = ~first.contains("<") | (opened(first) == 0)
+    return F.when(flat, first).otherwise(nested)
 
 
 def after(html: Column, tag: str, cls: str | None = None) -> Column:
     """What follows the first such start tag; NULL when there is none."""
-    return F.try_element_at(F.split(html, start_tag(tag, cls), 2), F.lit(2))
+    found = F.try_element_at(F.split(html, start_tag(tag, cls), 2), F.lit(2))
+    # A plain search for the class name spares most pages the pattern.
+    return found if cls is None else F.when(html.contains(cls), found)
 
 
 def elements(html: Column, tag: str, cls: str) -> Column:
     """Inner HTML of every such element, in page order."""
     pieces = F.split(html, start_tag(tag, cls))
     later = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.transform(later, lambda piece: inner(piece, tag))
+    none = F.array().cast("array<string>")
+    return F.when(html.contains(cls), F.transform(later, lambda piece: inner(piece, tag))).otherwise(none)
 
 
 def attribute(html: Column, tag: str, cls: str | None, name: str) -> Column:
@@ -118,7 +130,7 @@ def decode_entities(text: Column) -> Column:
 
 
 def without_tags(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?s)<[^>]*>", "")
+    return F.when(html.contains("<"), F.regexp_replace(html, r"(?s)<[^>]*>", "")).otherwise(html)
 
 
 def text_of(html: Column) -> Column:
@@ -132,20 +144,25 @@ def read_texts(df: DataFrame, html: str, fields: dict[str, list[tuple[str, str |
     The work is laid out in steps, each a column of its own, so that no step is
     evaluated more than once per row.
     """
-    rests, inners = {}, {}
+    rests, firsts, inners = {}, {}, {}
     for name, selectors in fields.items():
         tags = [t for t, _ in selectors]
         runs = [[s for s in selectors if s[0] == t] for t in dict.fromkeys(tags)]
         if [s for run in runs for s in run] != selectors:
             raise ValueError(f"selectors of {name} must be grouped by tag")
+        found = []
         for run in runs:
-            rests[f"_{name}_{run[0][0]}"] = F.coalesce(*[after(F.col(html), t, c) for t, c in run])
-        found = [inner(F.col(f"_{name}_{run[0][0]}"), run[0][0]) for run in runs]
+            tag = run[0][0]
+            rest, first = f"_{name}_{tag}", f"_{name}_{tag}_first"
+            rests[rest] = F.coalesce(*[after(F.col(html), t, c) for t, c in run])
+            firsts[first] = up_to_end(F.col(rest), tag)
+            found.append(inner(F.col(rest), tag, F.col(first)))
         inners[name] = F.coalesce(*found)
     return (
         df.withColumns(rests)
+        .withColumns(firsts)
         .withColumns(inners)
-        .drop(*rests)
+        .drop(*rests, *firsts)
         .withColumns({n: without_tags(F.col(n)) for n in fields})
         .withColumns({n: decode_entities(F.col(n)) for n in fields})
         .withColumns({n: strip(F.col(n)) for n in fields})

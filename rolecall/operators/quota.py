@@ -43,14 +43,21 @@ def quota_rank(scored: DataFrame, total: int = TOTAL, key: str = "candidate_id")
     return _placed(kept.join(source_order(scored, key, total), [key, "source_key"]), total, key)
 
 
-def quota_rank_bounded(scored: DataFrame, total: int = TOTAL, key: str = "candidate_id") -> DataFrame:
-    """``quota_rank`` for groups of bounded size.
+def quota_order(items: Column, sources: Column, total: int = TOTAL) -> Column:
+    """``quota_rank`` of one bounded list, inside the row.
 
-    The rows carry ``source_key``, ``source_ord`` and ``quota``; one shuffle by
-    ``key`` serves both windows.
+    ``items`` is an array of ``(neg_score, fetch_rank, source_ord, at)``, where
+    ``source_ord`` is the place of the item's source in the array ``sources``.
     """
-    best = Window.partitionBy(key, "source_key").orderBy(F.desc("score"), "fetch_rank")
-    return _placed(scored.repartition(key).withColumn("rn", F.row_number().over(best)), total, key)
+    quota = F.ceil(F.lit(total) / F.size(sources)).cast("int")
+    best = F.array_sort(items)
+    per_source = F.transform(sources, lambda _, i: F.filter(best, lambda x: x["source_ord"] == i + 1))
+    head = F.flatten(F.transform(per_source, lambda a: F.slice(a, F.lit(1), quota)))
+    rest = F.flatten(F.transform(per_source, lambda a: F.slice(a, quota + 1, F.size(a))))
+    fields = ("neg_score", "source_ord", "fetch_rank", "at")
+    fill = F.array_sort(F.transform(rest, lambda x: F.struct(*[x[f].alias(f) for f in fields])))
+    pick = lambda array: F.transform(array, lambda x: F.struct(x["neg_score"], x["at"]))
+    return F.slice(F.concat(pick(head), pick(fill)), 1, total)
 
 
 def _placed(ranked: DataFrame, total: int, key: str) -> DataFrame:

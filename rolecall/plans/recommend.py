@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions import dates, vectors
 from ..functions.bands import bands_overlap, chosen_category
 from ..operators.joins import fetch_by_id, spread_join
-from ..operators.quota import TOTAL, quota_rank_bounded, source_key
-from ..operators.search import FETCH_LIMIT, request_bundles, request_counts, search_requests, with_request
+from ..operators.quota import TOTAL, quota_order, source_key
+from ..operators.search import (
+    FETCH_LIMIT,
+    request_bundles,
+    request_counts,
+    search_one,
+    search_requests,
+    with_request,
+)
 from ..operators.skills import bounded_dictionary, extract_skills_by_join, matched_skills, skill_counts, skills_in
 from ..schema import DISPLAY_COLUMNS
 from ..session import staged
@@ -40,7 +48,10 @@ def _posting_details(postings: DataFrame, found: DataFrame, skills: DataFrame) -
     Computed once per posting that any request fetched, not once per pair.
     """
     wide = fetch_by_id(postings.select("id", *_SHOWN, "job_description", "embedding"), found)
-    wide = wide.filter(vectors.is_usable(F.col("embedding")))
+    return _described(wide.filter(vectors.is_usable(F.col("embedding"))), skills)
+
+
+def _described(wide: DataFrame, skills: DataFrame, *keep: str) -> DataFrame:
     phrases = bounded_dictionary(skills)
     if phrases is None:
         wide = extract_skills_by_join(wide, skills, "job_description", "id", "_skills")
@@ -48,7 +59,8 @@ def _posting_details(postings: DataFrame, found: DataFrame, skills: DataFrame) -
         wide = wide.withColumn("_skills", skills_in(F.col("job_description"), phrases))
     return wide.select(
         "id",
-        F.col("embedding").alias("vector"),
+        *keep,
+        F.col("embedding").cast("array<double>").alias("vector"),
         vectors.norm(F.col("embedding")).alias("vector_norm"),
         skill_counts(F.col("job_description"), F.col("_skills")).alias("skill_counts"),
         source_key().alias("source_key"),
@@ -75,7 +87,7 @@ def recommend(
     people = (
         asking(candidates)
         .filter("request is not null")
-        .select("candidate_id", "request", "skills", "embedding", vectors.norm(mine).alias("my_norm"))
+        .select("candidate_id", "request", "skills", mine.cast("array<double>").alias("embedding"), vectors.norm(mine).alias("my_norm"))
     )
     requests = staged(request_counts(people), "requests")
     found = staged(search_requests(postings, requests, limit), "found")
@@ -85,43 +97,75 @@ def recommend(
     return _ranked(pairs, as_of, total)
 
 
+def recommend_one(
+    candidate: DataFrame,
+    postings: DataFrame,
+    as_of,
+    skills: DataFrame,
+    location: str,
+    category: str | None,
+    roles: list[str],
+    total: int = TOTAL,
+    limit: int = FETCH_LIMIT,
+) -> DataFrame:
+    """``recommend`` for one request known to the caller, in a single pass.
+
+    ``candidate`` is the one row with ``candidate_id, skills, embedding``. The
+    search is a filtered scan with a distributed top-n; the at most ``limit``
+    postings left travel with the candidate.
+    """
+    mine = F.col("embedding")
+    newest = search_one(postings, location, category, roles, limit)
+    arrival = Window.orderBy(F.desc_nulls_last("posted_date"), "id")
+    ranked = newest.withColumn("fetch_rank", F.row_number().over(arrival))
+    details = _described(ranked.filter(vectors.is_usable(mine)), skills, "fetch_rank")
+    names = [c for c in details.columns if c not in ("id", "fetch_rank")]
+    bundle = details.agg(F.array_sort(F.collect_list(F.struct("fetch_rank", "id", *names))).alias("bundle"))
+    person = candidate.filter(vectors.is_usable(mine)).select(
+        "candidate_id", "skills", mine.cast("array<double>").alias("embedding"), vectors.norm(mine).alias("my_norm"), F.lit(1).alias("one")
+    )
+    return _ranked(person.join(bundle.withColumn("one", F.lit(1)), "one"), as_of, total)
+
+
 def _ranked(pairs: DataFrame, as_of, total: int) -> DataFrame:
     """Scores the bundle of every row and keeps its balanced list.
 
-    Sources in order of first fetch, and so the quota, come from the bundle itself.
+    A bundle is bounded, so scoring and ranking stay inside the row: nothing is
+    shuffled, and only the places of the final list leave it. Each step is a column
+    of its own so that no step is evaluated twice.
     """
-    same_length = F.filter("bundle", lambda p: F.size(p["vector"]) == F.size("embedding"))
-    sources = F.array_distinct(F.transform("bundle", lambda p: p["source_key"]))
-    score = vectors.cosine_percent(F.col("p.vector"), F.col("embedding"), F.col("p.vector_norm"), F.col("my_norm"))
-    scored = (
-        pairs.withColumn("bundle", same_length)
-        .withColumn("sources", sources)
-        .select("candidate_id", "skills", "embedding", "my_norm", "sources", F.explode("bundle").alias("p"))
-        .select(
-            "candidate_id",
-            "p.fetch_rank",
-            "p.id",
-            "p.source_key",
-            F.array_position("sources", F.col("p.source_key")).alias("source_ord"),
-            F.ceil(F.lit(total) / F.size("sources")).alias("quota"),
-            score.alias("score"),
-            matched_skills(F.col("p.skill_counts"), F.col("skills")).alias("matched_skills"),
-            "p.shown",
-        )
+    score = lambda p: vectors.cosine_percent(p["vector"], F.col("embedding"), p["vector_norm"], F.col("my_norm"))
+    item = lambda p, i: F.struct(
+        (-score(p)).alias("neg_score"),
+        p["fetch_rank"].alias("fetch_rank"),
+        F.array_position("sources", p["source_key"]).alias("source_ord"),
+        (i + 1).alias("at"),
+    )
+    entry = lambda x: F.struct(
+        (-x["neg_score"]).alias("score"),
+        F.element_at("bundle", x["at"])["id"].alias("id"),
+        F.element_at("bundle", x["at"])["skill_counts"].alias("skill_counts"),
+        F.element_at("bundle", x["at"])["shown"].alias("shown"),
+    )
+    listed = (
+        pairs.withColumn("bundle", F.filter("bundle", lambda p: F.size(p["vector"]) == F.size("embedding")))
+        .withColumn("sources", F.array_distinct(F.transform("bundle", lambda p: p["source_key"])))
+        .filter(F.size("sources") > 0)
+        .withColumn("items", F.transform("bundle", item))
+        .withColumn("items", quota_order(F.col("items"), F.col("sources"), total))
+        .withColumn("items", F.transform("items", entry))
+        .select("candidate_id", "skills", F.posexplode_outer("items").alias("pos", "p"))
+        .withColumn("matched_skills", matched_skills(F.col("p.skill_counts"), F.col("skills")))
     )
     matched = F.size("matched_skills")
-    return (
-        quota_rank_bounded(scored, total)
-        .withColumn("match_score", vectors.with_bonus(F.bround("score", 2), matched))
-        .select(
-            "candidate_id",
-            "position",
-            "id",
-            "shown.*",
-            "match_score",
-            "matched_skills",
-            dates.days_since(F.col("shown.posted_date"), as_of).alias("days_since_posted"),
-        )
+    return listed.select(
+        "candidate_id",
+        (F.col("pos") + 1).alias("position"),
+        "p.id",
+        "p.shown.*",
+        vectors.with_bonus(F.bround("p.score", 2), matched).alias("match_score"),
+        "matched_skills",
+        dates.days_since(F.col("p.shown.posted_date"), as_of).alias("days_since_posted"),
     )
 
 

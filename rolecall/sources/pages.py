@@ -74,16 +74,18 @@ def _first_inner(markup: Column, *selectors: tuple[str, str | None]) -> Column:
     return F.coalesce(*[h.inner(h.after(markup, tag, cls), tag) for tag, cls in selectors])
 
 
-def _criteria_job_type(page: Column) -> Column:
-    """Value of the first criteria item whose label names the employment type."""
-    lists = [h.elements(page, tag, cls) for tag, cls in CRITERIA_ITEMS]
-    items = F.when(F.size(lists[0]) > 0, lists[0]).otherwise(lists[1])
-    labelled = lambda item: F.coalesce(
-        F.lower(h.without_tags(_first_inner(item, CRITERIA_LABEL, ("span", None)))).contains(CRITERIA_NAME), F.lit(False)
-    )
+def _with_criteria_job_type(df: DataFrame) -> DataFrame:
+    """Adds ``job_type``: inner HTML of the first criteria value whose label names the employment type."""
+    page, items = F.col("_page"), F.col("_items")
+    names = lambda text: F.coalesce(F.lower(h.without_tags(text)).contains(CRITERIA_NAME), F.lit(False))
+    label = lambda item: _first_inner(item, CRITERIA_LABEL, ("span", None))
     value = lambda item: _first_inner(item, CRITERIA_VALUE, ("span", None))
-    values = F.transform(F.filter(items, labelled), value)
-    return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(1))
+    df = df.withColumn("_items", h.elements(page, *CRITERIA_ITEMS[0]))
+    df = df.withColumn("_items", F.when(F.size(items) > 0, items).otherwise(h.elements(page, *CRITERIA_ITEMS[1])))
+    # An item whose label names the type names it somewhere; the label is looked up only there.
+    labelled = F.filter(F.filter(items, names), lambda item: names(label(item)))
+    values = F.filter(F.transform(labelled, value), lambda v: v.isNotNull())
+    return df.withColumn("job_type", F.try_element_at(values, F.lit(1))).drop("_items")
 
 
 def _with_skills(df: DataFrame, skills: DataFrame, key: str) -> DataFrame:
@@ -104,8 +106,8 @@ def extract_detail_pages(pages: DataFrame, skills: DataFrame, as_of) -> DataFram
     # Without an applicants element, any text such as "25 applicants" counts.
     stray = r"(?i)>([^<>]*?\d\s*(?:applicants|applied)[^<>]*)<"
     read = (
-        read.withColumn("_stray", t.first_group(F.col("_page"), stray))
-        .withColumn("job_type", _criteria_job_type(F.col("_page")))
+        _with_criteria_job_type(read)
+        .withColumn("_stray", F.when(F.col("applicants_text").isNull(), t.first_group(F.col("_page"), stray)))
         .drop("_page")
         .withColumn("job_type", F.coalesce(h.text_of(F.col("job_type")), F.lit(t.NOT_AVAILABLE)))
         .withColumns(_defaults(DETAIL_DEFAULTS))
