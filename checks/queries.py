@@ -19,7 +19,7 @@ from rolecall.operators.quota import crawl_quota as quota_per_title, quota_rank
 from rolecall.operators.search import search_postings as search
 from rolecall.plans import ingest as ing, present, profile as prof, recommend as rec
 from rolecall.plans.maintain import maintain as maintain_table, normalise_levels as levels, normalise_levels_by_table
-from rolecall.session import fresh_dir
+from rolecall.session import fresh_dir, staged
 from rolecall.sources import pages as pg, uploads
 from rolecall.streaming.ingest import posting_stream, stream_ingest as start_ingest
 
@@ -400,13 +400,24 @@ def quota_rank(spark: SparkSession, sf: str) -> DataFrame:
     return rank_by_quota(scored, key="nation").select("nation", "position", "fetch_rank", "source", "score")
 
 
-def _recommended(spark, sf):
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _recommend(spark, sf):
     return rec.recommend(fx.candidates(spark, sf), fx.postings(spark, sf), AS_OF, _skills(spark))
 
 
+def _recommended(spark, sf):
+    """The stored recommendation lists that the views read."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        _STORED[key] = staged(_recommend(spark, sf), "results")
+    return _STORED[key]
+
+
 def recommend(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        _recommended(spark, sf)
+        _recommend(spark, sf)
         .withColumn("posted_date", F.col("posted_date").cast("string"))
         .withColumn("matched_skills", _joined("matched_skills"))
         .withColumn("match_score", F.round("match_score", 4))

@@ -11,7 +11,7 @@ from ..schema import POSTING_SCHEMA
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
     """Postings stored as Parquet, with the fixed schema; nothing is inferred."""
-    return spark.read.schema(POSTING_SCHEMA).parquet(path)
+    return spark.read.schema(POSTING_SCHEMA).parquet(path).select(*POSTING_SCHEMA.names)
 
 
 def read_postings_jdbc(spark: SparkSession, **options: str) -> DataFrame:
