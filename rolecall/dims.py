@@ -64,13 +64,9 @@ def role_skills() -> list[tuple[str, list[str]]]:
 def skills_frame(spark: SparkSession, skills: list[str] | None = None) -> DataFrame:
     """``skill, ord, first_word``: lower-cased, each phrase once, first place kept."""
     listed = seed_skills() if skills is None else skills
-    rows = spark.createDataFrame([(s, i) for i, s in enumerate(listed)], "skill string, ord int")
-    return (
-        rows.withColumn("skill", F.lower("skill"))
-        .groupBy("skill")
-        .agg(F.min("ord").alias("ord"))
-        .withColumn("first_word", F.regexp_extract("skill", r"[\p{L}\p{N}_]+", 0))
-    )
+    phrases = list(dict.fromkeys(s.lower() for s in listed))
+    rows = spark.createDataFrame(list(zip(phrases, range(len(phrases)))), "skill string, ord int")
+    return rows.withColumn("first_word", F.regexp_extract("skill", r"[\p{L}\p{N}_]+", 0))
 
 
 def role_skills_frame(spark: SparkSession) -> DataFrame:

@@ -12,6 +12,8 @@ from .filters import contains_like, like_text
 SALTS = 16
 #: Rows of one key that ``spread_join`` leaves in one piece.
 HOT_ROWS = 200_000
+#: Most keys that ``spread_join`` cuts and broadcasts.
+HOT_KEYS = 100_000
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column, how: str = "inner") -> DataFrame:
@@ -25,30 +27,42 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column,
     return cut.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def hot_keys(counts: DataFrame, on: str, rows: int | None = None) -> DataFrame:
-    """``on, pieces`` for the keys of ``counts`` (``on, n``) with more than ``rows`` rows.
+def _names(on: str | list[str]) -> list[str]:
+    return [on] if isinstance(on, str) else on
 
-    At most one key per ``rows`` rows of the big side can be hot, so the result is
-    small enough to broadcast by construction.
+
+def hot_keys(counts: DataFrame, on: str | list[str], rows: int | None = None) -> DataFrame:
+    """Keys of ``counts`` (key columns, ``n``) with more than ``rows`` rows, and their ``_pieces``.
+
+    At most the ``HOT_KEYS`` hottest keys are returned, which bounds the result; a
+    hot key beyond them holds less than one row in ``HOT_KEYS`` and stays whole.
     """
     limit = rows or HOT_ROWS
-    return counts.filter(F.col("n") > limit).select(on, F.ceil(F.col("n") / limit).cast("int").alias("_pieces"))
+    hot = counts.filter(F.col("n") > limit).orderBy(F.desc("n")).limit(HOT_KEYS)
+    return hot.select(*_names(on), F.ceil(F.col("n") / limit).cast("int").alias("_pieces"))
 
 
 def spread_join(
-    big: DataFrame, small: DataFrame, on: str, counts: DataFrame, spread: str, how: str = "inner", rows: int | None = None
+    big: DataFrame,
+    small: DataFrame,
+    on: str | list[str],
+    counts: DataFrame,
+    spread: str,
+    how: str = "inner",
+    rows: int | None = None,
 ) -> DataFrame:
     """Join of ``big`` with a wide ``small`` side that has one row per key.
 
     Only hot keys are cut: their rows in ``big`` go to pieces by a hash of
     ``spread``, and only their row in ``small`` is repeated. ``counts`` holds the
-    rows per key of ``big`` as ``on, n``.
+    rows per key of ``big`` as key columns and ``n``.
     """
-    hot = F.broadcast(hot_keys(counts, on, rows))
+    keys = _names(on)
+    hot = F.broadcast(hot_keys(counts, keys, rows))
     pieces = F.coalesce("_pieces", F.lit(1))
-    cut = big.join(hot, on, "left").withColumn("_piece", F.pmod(F.xxhash64(spread), pieces).cast("int"))
-    copies = small.join(hot, on, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    return cut.drop("_pieces").join(copies.drop("_pieces"), [on, "_piece"], how).drop("_piece")
+    cut = big.join(hot, keys, "left").withColumn("_piece", F.pmod(F.xxhash64(spread), pieces).cast("int"))
+    copies = small.join(hot, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return cut.drop("_pieces").join(copies.drop("_pieces"), [*keys, "_piece"], how).drop("_piece")
 
 
 def fetch_by_id(table: DataFrame, ids: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ SKILL_POINTS = 10
 TOP_ROLES = 3
 FEW_ROLES = 2
 
-#: Largest role table that is evaluated inside the row.
-ROW_ROLES = 500
+#: Largest role table (rows) that is evaluated inside the row.
+ROW_SKILLS = 5000
 
 
 def role_score(matched: Column, required: Column) -> Column:
@@ -28,10 +28,14 @@ def with_default_roles(roles: Column) -> Column:
     return F.when(F.size(roles) < FEW_ROLES, padded).otherwise(roles)
 
 
-def _bounded_roles(role_skills: DataFrame) -> list | None:
-    per_role = role_skills.groupBy("role", "role_ord").agg(F.collect_list("skill").alias("skills"))
-    rows = per_role.limit(ROW_ROLES + 1).collect()
-    return None if len(rows) > ROW_ROLES else sorted(rows, key=lambda r: r.role_ord)
+def _bounded_roles(role_skills: DataFrame) -> dict[tuple[int, str], list[str]] | None:
+    rows = role_skills.select("role", "role_ord", "skill").limit(ROW_SKILLS + 1).collect()
+    if len(rows) > ROW_SKILLS:
+        return None
+    roles: dict[tuple[int, str], list[str]] = {}
+    for row in rows:
+        roles.setdefault((row.role_ord, row.role), []).append(row.skill)
+    return roles
 
 
 def best_roles(df: DataFrame, role_skills: DataFrame, key: str = "candidate_id", out: str = "best_job_roles") -> DataFrame:
@@ -40,17 +44,18 @@ def best_roles(df: DataFrame, role_skills: DataFrame, key: str = "candidate_id",
     ``skills`` is an array of distinct skills. A role table of bounded size is
     compared inside each row, without a shuffle.
     """
-    rows = _bounded_roles(role_skills)
-    if rows is None:
+    known = _bounded_roles(role_skills)
+    if known is None:
         return best_roles_by_join(df, role_skills, key, out)
 
-    def scored(row) -> Column:
-        wanted = F.array(*map(F.lit, row.skills))
+    def scored(ord_: int, role: str, required: list[str]) -> Column:
+        wanted = F.array(*map(F.lit, required))
         matched = F.size(F.array_intersect(F.transform("skills", F.lower), wanted))
-        score = role_score(matched, F.lit(len(row.skills)))
-        return F.struct((-score).alias("rank"), F.lit(row.role_ord).alias("ord"), F.lit(row.role).alias("role"))
+        score = role_score(matched, F.lit(len(required)))
+        return F.struct((-score).alias("rank"), F.lit(ord_).alias("ord"), F.lit(role).alias("role"))
 
-    some = F.filter(F.array(*map(scored, rows)), lambda r: r["rank"] < 0)
+    scores = [scored(ord_, role, required) for (ord_, role), required in known.items()]
+    some = F.filter(F.array(*scores), lambda r: r["rank"] < 0)
     top = F.transform(F.slice(F.array_sort(some), 1, TOP_ROLES), lambda r: slug(r["role"]))
     return df.withColumn("_top", top).withColumn(out, with_default_roles(F.col("_top"))).drop("_top")
 

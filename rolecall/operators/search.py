@@ -116,8 +116,10 @@ def search_requests(postings: DataFrame, requests: DataFrame, limit: int = FETCH
     # At most ``limit`` entries per key, so the lists are bounded.
     lists = offered.groupBy("pref", "role", "class").agg(F.collect_list(_newest_first()).alias("found"))
     best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, limit)
+    keys = ["pref", "role", "class"]
+    per_key = asks.groupBy(*keys).agg(F.count("*").alias("n"))
     return (
-        asks.join(lists, ["pref", "role", "class"])
+        spread_join(asks, lists, keys, per_key, "request")
         .groupBy("request")
         .agg(best.alias("found"))
         .select("request", F.posexplode("found").alias("pos", "hit"))

@@ -28,11 +28,10 @@ _IS_WORD = re.compile(r"\w")
 
 def bounded_dictionary(skills: DataFrame) -> list[str] | None:
     """Lower-cased phrases in dictionary order, or None when there are too many."""
-    ordered = skills.groupBy(F.lower("skill").alias("skill")).agg(F.min("ord").alias("ord"))
-    rows = ordered.limit(PATTERN_SKILLS + 1).collect()
+    rows = skills.select(F.lower("skill").alias("skill"), "ord").limit(PATTERN_SKILLS + 1).collect()
     if len(rows) > PATTERN_SKILLS:
         return None
-    return [r.skill for r in sorted(rows, key=lambda r: r.ord)]
+    return list(dict.fromkeys(r.skill for r in sorted(rows, key=lambda r: r.ord) if r.skill))
 
 
 def _quoted(phrase: str) -> str:
