@@ -37,9 +37,30 @@ ENTITIES = {
 }
 
 
+#: Marks cut places; a control character that ``visible`` removes from pages.
+_CUT = "\x01"
+
+
 def visible(html: Column) -> Column:
     """HTML without comments, scripts, styles and templates."""
-    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>", "")
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>|\x01", "")
+
+
+def _pieces(html: Column, pattern: str) -> Column:
+    """Split at a pattern. ``split`` would compile the pattern once per row."""
+    return F.split(F.regexp_replace(html, pattern, _CUT), _CUT)
+
+
+def after_first(html: Column, pattern: str) -> Column:
+    """What follows the first match; NULL without one."""
+    place = F.regexp_instr(html, F.lit(pattern))
+    return F.when(place > 0, F.substr(html, place + F.length(F.regexp_extract(html, pattern, 0))))
+
+
+def _before_first(html: Column, pattern: str) -> Column:
+    """What precedes the first match; everything without one."""
+    place = F.regexp_instr(html, F.lit(pattern))
+    return F.when(place > 0, F.substr(html, F.lit(1), place - 1)).otherwise(html)
 
 
 def start_tag(tag: str, cls: str | None = None) -> str:
@@ -55,8 +76,10 @@ def _end_tag(tag: str) -> str:
 
 
 def up_to_end(rest: Column, tag: str) -> Column:
-    """What follows a start tag up to the next end tag of that kind."""
-    return F.split(rest, _end_tag(tag), 2)[0]
+    """What follows a start tag up to the next end tag of that kind; ``rest`` is a stored column."""
+    # The usual spelling is found by a plain search; the pattern serves the others.
+    plain = F.substring_index(rest, f"</{tag}>", 1)
+    return F.when(~F.regexp_like(plain, F.lit(rf"(?i)</{tag}\s*>")), plain).otherwise(_before_first(rest, _end_tag(tag)))
 
 
 def inner(rest: Column, tag: str, first: Column | None = None) -> Column:
@@ -66,7 +89,7 @@ def inner(rest: Column, tag: str, first: Column | None = None) -> Column:
     which as many end tags as start tags were seen. An unclosed element runs to
     the end, as in a browser. ``first`` is ``up_to_end`` where it is known.
     """
-    first = up_to_end(rest, tag) if first is None else first
+    first = F.split(rest, _end_tag(tag), 2)[0] if first is None else first
     opened = lambda piece: F.regexp_count(piece, F.lit(rf"(?i)<{tag}\b"))
     start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("html"))
 
@@ -79,9 +102,8 @@ def inner(rest: Column, tag: str, first: Column | None = None) -> Column:
             F.when(done, acc["html"]).otherwise(html).alias("html"),
         )
 
-    nested = F.aggregate(F.split(rest, _end_tag(tag)), start, step, lambda acc: acc["html"])
-    flat = ~first.contains("<") | (opened(first) == 0)
-    return F.when(flat, first).otherwise(nested)
+    nested = F.aggregate(_pieces(rest, _end_tag(tag)), start, step, lambda acc: acc["html"])
+    return F.when(opened(first) == 0, first).otherwise(nested)
 
 
 def after(html: Column, tag: str, cls: str | None = None) -> Column:
@@ -93,7 +115,7 @@ def after(html: Column, tag: str, cls: str | None = None) -> Column:
 
 def elements(html: Column, tag: str, cls: str) -> Column:
     """Inner HTML of every such element, in page order."""
-    pieces = F.split(html, start_tag(tag, cls))
+    pieces = _pieces(html, start_tag(tag, cls))
     later = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
     none = F.array().cast("array<string>")
     return F.when(html.contains(cls), F.transform(later, lambda piece: inner(piece, tag))).otherwise(none)
@@ -144,7 +166,8 @@ def read_texts(df: DataFrame, html: str, fields: dict[str, list[tuple[str, str |
     The work is laid out in steps, each a column of its own, so that no step is
     evaluated more than once per row.
     """
-    rests, firsts, inners = {}, {}, {}
+    page = F.col(html)
+    heads, tails, attributes, rests, firsts, inners = {}, {}, {}, {}, {}, {}
     for name, selectors in fields.items():
         tags = [t for t, _ in selectors]
         runs = [[s for s in selectors if s[0] == t] for t in dict.fromkeys(tags)]
@@ -154,12 +177,35 @@ def read_texts(df: DataFrame, html: str, fields: dict[str, list[tuple[str, str |
         for run in runs:
             tag = run[0][0]
             rest, first = f"_{name}_{tag}", f"_{name}_{tag}_first"
-            rests[rest] = F.coalesce(*[after(F.col(html), t, c) for t, c in run])
+            options = []
+            for i, (_, cls) in enumerate(run):
+                if cls is None:
+                    options.append(after(page, tag))
+                    continue
+                # The first place of the class name, by a plain search. When it lies in a
+                # start tag that fits, that is the first one; else the pattern decides.
+                head, tail, attribute_ = (f"{rest}_{part}{i}" for part in ("head", "tail", "attributes"))
+                heads[head] = F.when(page.contains(cls), F.substring_index(page, cls, 1))
+                tails[tail] = F.substr(page, F.length(head) + (len(cls) + 1))
+                attributes[attribute_] = F.substring_index(tail, ">", 1)
+                start = F.concat(
+                    F.lit("<"), F.substring_index(head, "<", -1), F.lit(cls), F.col(attribute_), F.lit(">")
+                )
+                pattern = start_tag(tag, cls)
+                fits = F.col(tail).contains(">") & F.regexp_like(start, F.lit(f"^(?:{pattern})$"))
+                plain = F.substr(tail, F.length(attribute_) + 2)
+                options.append(F.when(F.col(head).isNotNull(), F.when(fits, plain).otherwise(after_first(page, pattern))))
+            rests[rest] = F.coalesce(*options)
             firsts[first] = up_to_end(F.col(rest), tag)
             found.append(inner(F.col(rest), tag, F.col(first)))
         inners[name] = F.coalesce(*found)
+    places = [*heads, *tails, *attributes]
     return (
-        df.withColumns(rests)
+        df.withColumns(heads)
+        .withColumns(tails)
+        .withColumns(attributes)
+        .withColumns(rests)
+        .drop(*places)
         .withColumns(firsts)
         .withColumns(inners)
         .drop(*rests, *firsts)

@@ -135,17 +135,20 @@ def extract_cards(pages: DataFrame, as_of) -> DataFrame:
     )
     read = h.read_texts(cards, "_card", CARD_FIELDS)
     tags = F.transform(h.elements(F.col("_card"), *CARD_TAG), h.without_tags)
+    complete = F.col("job_title").isNotNull() & F.col("job_link").isNotNull() & F.col("posted_text").isNotNull()
     return (
         read.withColumn("job_link", h.attribute(F.col("_card"), *CARD_TITLE, "href"))
         .withColumn("_tags", tags)
-        .filter("job_title is not null and job_link is not null and posted_text is not null")
+        # A plain filter would be pushed below and repeat the extraction; a generated column is not.
+        .withColumn("_keep", F.explode_outer(F.when(complete, F.array(F.lit(1)))))
+        .filter("_keep = 1")
         .withColumn("_tags", F.array_distinct(F.transform("_tags", lambda x: F.lower(t.strip(h.decode_entities(x))))))
         .withColumn("skills_required", t.joined_skills(F.col("_tags")))
         .withColumns(_defaults(CARD_DEFAULTS))
         .withColumn("posted_date", dates.parse_posted(F.col("posted_text"), as_of))
         .withColumn("role", t.slug_from_hyphens(F.col("role")))
         .withColumn("source", F.lit(LISTING_SOURCE))
-        .drop("_card", "_tags")
+        .drop("_card", "_tags", "_keep")
     )
 
 
@@ -155,7 +158,7 @@ def card_details(pages: DataFrame) -> DataFrame:
     read = h.read_texts(read, "_page", CARD_DESCRIPTION)
     # The number is in the first span after the label.
     label = rf"(?is)<label\b[^>]*>[^<]*{APPLICANTS_LABEL}[^<]*</label\s*>"
-    behind = F.try_element_at(F.split("_page", label, 2), F.lit(2))
+    behind = h.after_first(F.col("_page"), label)
     return (
         read.withColumn("_count", h.after(behind, "span"))
         .drop("_page")
