@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from rolecall.llm.bagminhash import op9_bagminhash
+from rolecall.llm.brown import op2_brown
 from rolecall.llm.decontaminate import OP1_SQL, op1_decontaminate
 from rolecall.llm.langid import op7_langid
 from rolecall.llm.license_scan import op6_license_scan
 from rolecall.llm.line_rules import OP3_SQL, op3_line_rules
+from rolecall.llm.lpf_dedup import op4_lpf_dedup
 from rolecall.llm.packing import op10_packing
 from rolecall.llm.toxicity import op5_toxicity
 from rolecall.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_brown": op2_brown,
     "op3_line_rules": op3_line_rules,
+    "op4_lpf_dedup": op4_lpf_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_license_scan": op6_license_scan,
     "op7_langid": op7_langid,
