@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from rolecall.llm import ragged, rows
 from rolecall.llm.components import components
+from rolecall.llm.keep import without
 from rolecall.session import staged
 
 SHINGLE = 5
@@ -246,11 +247,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
 
 
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class and group of every whole document; ``kept`` marks the one document that stands for its group."""
+    """Class and group of every whole document; ``kept`` marks the one document that stands for its group.
+
+    Classes and groups are named by their smallest doc_id, or by row numbers where ids are repeated or null.
+    """
     docs = rows.keyed(rows.table(spark, sf_dir, "documents"), "doc_id", "text")
     groups, _ = near_duplicates(docs)
-    return groups.select(
-        F.col("_key").alias("doc_id"),
+    return groups.join(docs.select("_key", "_id"), "_key").select(
+        F.col("_id").alias("doc_id"),
         F.col("class_key").alias("class_id"),
         F.col("group_key").alias("group_id"),
         (F.col("_key") == F.col("group_key")).alias("kept"),
@@ -259,6 +263,4 @@ def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that with the smallest id; the columns stay as they are."""
-    from rolecall.llm.keep import without
-
     return without(docs, "doc_id", lambda keyed: near_duplicates(keyed)[0].filter("_key <> group_key").select("_key"))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolecall.llm import rows
+from rolecall.llm.keep import without
 from rolecall.session import staged
 
 SHINGLE = 5
@@ -97,13 +98,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rows.keyed(rows.table(spark, sf_dir, "documents"), "doc_id", "text")
     items = rows.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
     found = contained(docs, items)
-    return found.select(F.col("_key").alias("doc_id"), F.col("item").alias("item_id"), "shared", "size")
+    named = docs.select("_key", F.col("_id").alias("doc_id")).join(found, "_key")
+    return named.select("doc_id", F.col("item").alias("item_id"), "shared", "size")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item; the columns stay as they are."""
-    from rolecall.llm.keep import without
-
     items = rows.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
     return without(docs, "doc_id", lambda keyed: contained(keyed, items).select("_key"))
 

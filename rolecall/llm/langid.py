@@ -241,10 +241,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: flo
     """Documents whose text has a recognisable language; the columns stay as they are.
 
     Fitted on the documents' own ``lang`` like ``op7_langid``. Rejected: ``und``, and
-    texts whose calibrated probability is below ``least``.
+    texts whose calibrated probability is below ``least``; without any labelled document all are ``und``.
     """
     model = fit(docs.filter(rows.training("doc_id", 3, 1)))
-    found = predict(docs, model, docs.columns)
-    if model is None:
-        return docs.limit(0)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    places = [f"_place{i}" for i in range(len(docs.columns))]
+    flat = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, places, strict=True)], F.col("text"))
+    found = predict(flat, model, places).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, places, strict=True)])

@@ -91,6 +91,8 @@ def inspect(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> tuple[np.nda
     """Counts per text (columns ``COUNTS``) and (start, end, text) of the kept lines."""
     n = len(offsets) - 1
     starts, ends, text = ragged.token_spans(data, offsets)
+    if not len(starts):
+        return np.zeros((len(COUNTS), n), np.int64), starts, ends, text
     per_text = lambda values, owner: np.bincount(owner, values, n).astype(np.int64)
     lead = _sums((data & 0xC0) != 0x80)
     symbol = _sums(_table(SYMBOLS)[data])
