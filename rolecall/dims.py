@@ -5,34 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Seed dictionary; pass a frame of your own with a ``skill`` column for a larger one.
-SEED_SKILLS = """
-c; c++; c#; java; python; javascript; typescript; go; rust; r; ruby; scala; kotlin; swift; php; perl; bash
-html; css; react; react.js; vue.js; angular; svelte; node.js; express.js; next.js; jquery; bootstrap; tailwind css
-redux; webpack; vite; figma; graphql; rest; rest apis; grpc; websockets; .net; asp.net; django; flask; spring boot
-laravel; sql; mysql; postgresql; mongodb; redis; oracle; sqlite; cassandra; elasticsearch; snowflake; bigquery
-pandas; numpy; scikit-learn; tensorflow; pytorch; keras; xgboost; matplotlib; seaborn; statistics
-machine learning; deep learning; natural language processing; natural language processing (nlp); nlp
-computer vision; data visualization; data analysis; data modeling; data lakes; etl; spark; hadoop; hive; kafka
-flink; airflow; tableau; power bi; excel; aws; aws glue; azure; google cloud; docker; kubernetes; helm; terraform
-ansible; jenkins; ci/cd; git; git & github; linux; prometheus; grafana; monitoring; agile; scrum; oop
-design patterns; code review; testing; unit testing; selenium; pytest; junit; maven; gradle; microservices
-version control; project management; stakeholder management; communication; Public Speaking; Technical Writing; git
-"""
-
-# Role -> required skills, in order (the order breaks ties).
-ROLE_SKILLS = """
-Full Stack Developer: javascript, react, node.js, html, css, sql, mongodb, express.js, angular, vue.js, next.js, svelte, rest apis, graphql, websockets, docker
-Python Developer: python, django, flask, pandas, numpy, sql, mysql, postgresql, fastapi, tensorflow, pytorch, matplotlib, git, restful apis, celery, redis
-Java Developer: java, spring boot, hibernate, sql, mysql, oracle, rest, microservices, junit, maven, gradle, kafka, docker
-Data Scientist: python, machine learning, deep learning, tensorflow, pytorch, pandas, numpy, scikit-learn, statistics, data visualization, seaborn, matplotlib, sql, nlp
-DevOps Engineer: aws, docker, kubernetes, jenkins, terraform, ansible, cicd, linux, bash, monitoring, prometheus, grafana, gitops, helm, argocd
-Frontend Developer: javascript, react, angular, vue.js, html, css, jquery, bootstrap, tailwind css, svelte, redux, typescript, webpack, vite, figma
-Backend Developer: node.js, express.js, django, flask, spring boot, laravel, sql, mongodb, rest, graphql, grpc, redis, jwt, kafka
-Software Engineer: software development, agile, scrum, git, version control, design patterns, oop, data structures & algorithms, code review, testing, rest apis
-AI/ML Engineer: python, tensorflow, pytorch, ml algorithms, mlops, scikit-learn, data preprocessing, model deployment, onnx, huggingface, automl
-Data Engineer: python, spark, hadoop, kafka, airflow, sql, etl pipelines, aws glue, bigquery, snowflake, data lakes
-"""
+#: Seed dictionary; pass a frame of your own with a ``skill`` column for a larger one.
+#: It holds nested phrases, phrases with signs in and around them, capitals and a repeat.
+SEED_SKILLS = [
+    "c", "c++", "++", "c#", ".net", "go", "r", "java", "python", "javascript", "typescript", "kotlin", "bash",
+    "html", "css", "react", "react.js", "vue.js", "node.js", "angular", "graphql", "rest", "rest apis", "websockets",
+    "sql", "mysql", "postgresql", "mongodb", "redis", "snowflake", "spark", "kafka", "airflow", "etl",
+    "pandas", "numpy", "statistics", "machine learning", "deep learning", "nlp",
+    "natural language processing", "natural language processing (nlp)", "data analysis", "data visualization",
+    "tableau", "power bi", "excel", "aws", "aws glue", "azure", "docker", "kubernetes", "terraform", "linux",
+    "ci/cd", "git", "git & github", "monitoring", "agile", "scrum", "testing", "unit testing", "selenium",
+    "code review", "project management", "communication", "Public Speaking", "Technical Writing", "figma", "git",
+]
+
+#: Role -> required skills, in order (the order breaks ties). "Game Developer" and "Mobile Developer" need
+#: skills that the dictionary doesn't hold; "Release Manager" and "Test Engineer" tie; one requirement is listed twice.
+ROLE_SKILLS = {
+    "Data Engineer": ["python", "sql", "spark", "kafka", "airflow", "etl", "aws glue", "snowflake"],
+    "Data Analyst": ["sql", "excel", "tableau", "power bi", "statistics", "data analysis", "data visualization"],
+    "Language Engineer": ["python", "nlp", "natural language processing", "deep learning", "machine learning", "numpy"],
+    "Web Developer": ["html", "css", "javascript", "react", "node.js", "rest apis", "graphql", "html"],
+    "Interface Designer": ["figma", "html", "css", "communication", "typescript"],
+    "Platform Engineer": ["linux", "docker", "kubernetes", "terraform", "monitoring", "ci/cd", "bash", "azure"],
+    "Release Manager": ["git", "ci/cd", "scrum", "agile"],
+    "Test Engineer": ["git", "ci/cd", "testing", "selenium"],
+    "Game Developer": ["c++", "c#", "shader design", "physics engines"],
+    "Mobile Developer": ["kotlin", "java", "app stores", "redis", "websockets"],
+}
 
 # Skills and roles added when too few were found.
 DEFAULT_SKILLS = ["python", "java", "javascript", "sql", "html", "css"]
@@ -52,13 +51,12 @@ LEVEL_BANDS = {
 
 def seed_skills() -> list[str]:
     """The seed dictionary as written, duplicates and capitals included."""
-    return [s.strip() for line in SEED_SKILLS.strip().splitlines() for s in line.split(";") if s.strip()]
+    return list(SEED_SKILLS)
 
 
 def role_skills() -> list[tuple[str, list[str]]]:
     """Roles and their required skills in tie-breaking order."""
-    rows = [line.split(":", 1) for line in ROLE_SKILLS.strip().splitlines()]
-    return [(role.strip(), [s.strip() for s in skills.split(",")]) for role, skills in rows]
+    return list(ROLE_SKILLS.items())
 
 
 def skills_frame(spark: SparkSession, skills: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from .. import dims
 from ..functions.text import slug
+from .joins import salted_join
 
 # Weights of the role score, roles kept, and when defaults are added.
 MATCH_WEIGHT = 0.7
@@ -61,11 +62,16 @@ def best_roles(df: DataFrame, role_skills: DataFrame, key: str = "candidate_id",
 
 
 def role_scores(df: DataFrame, role_skills: DataFrame, key: str = "candidate_id") -> DataFrame:
-    """``key, role, role_ord, matched, score`` for roles with a matching skill."""
+    """``key, role, role_ord, matched, score`` for roles with a matching skill.
+
+    A skill counts once however often the role or the candidate lists it; the number
+    required counts every listing. Common skills are spread over pieces of their key.
+    """
     required = role_skills.groupBy("role", "role_ord").agg(F.count("*").alias("required"))
+    wanted = role_skills.select("role", "role_ord", "skill").distinct()
+    mine = df.select(key, F.explode(F.array_distinct(F.transform("skills", F.lower))).alias("skill"))
     return (
-        df.select(key, F.explode(F.array_distinct(F.transform("skills", F.lower))).alias("skill"))
-        .join(role_skills, "skill")
+        salted_join(mine, wanted, ["skill"], F.col(key))
         .groupBy(key, "role", "role_ord")
         .agg(F.count("*").alias("matched"))
         .join(required, ["role", "role_ord"])
@@ -74,18 +80,25 @@ def role_scores(df: DataFrame, role_skills: DataFrame, key: str = "candidate_id"
 
 
 def best_roles_by_join(df: DataFrame, role_skills: DataFrame, key: str, out: str) -> DataFrame:
-    """``best_roles`` for a role table of any size."""
-    order = Window.partitionBy(key).orderBy(F.desc("score"), "role_ord")
+    """``best_roles`` for a role table of any size.
+
+    Works per distinct set of skills, so rows with a NULL or repeated ``key`` get their
+    roles like all others.
+    """
+    held = df.withColumn("_held", F.array_sort(F.array_distinct(F.transform("skills", F.lower))))
+    held = held.withColumn("_set", F.sha2(F.to_json(F.coalesce("_held", F.array().cast("array<string>"))), 256))
+    sets = held.groupBy("_set").agg(F.first("_held").alias("skills"))
+    order = Window.partitionBy("_set").orderBy(F.desc("score"), "role_ord")
     top = (
-        role_scores(df, role_skills, key)
+        role_scores(sets, role_skills, "_set")
         .withColumn("rn", F.row_number().over(order))
         .filter(F.col("rn") <= TOP_ROLES)
-        .groupBy(key)
+        .groupBy("_set")
         .agg(F.array_sort(F.collect_list(F.struct("rn", slug(F.col("role")).alias("role"))))["role"].alias("_top"))
     )
     none = F.array().cast("array<string>")
     return (
-        df.join(top, key, "left")
+        held.join(top, "_set", "left")
         .withColumn(out, with_default_roles(F.coalesce("_top", none)))
-        .drop("_top")
+        .drop("_top", "_held", "_set")
     )

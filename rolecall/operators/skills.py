@@ -31,7 +31,7 @@ def bounded_dictionary(skills: DataFrame) -> list[str] | None:
     rows = skills.select(F.lower("skill").alias("skill"), "ord").limit(PATTERN_SKILLS + 1).collect()
     if len(rows) > PATTERN_SKILLS:
         return None
-    return list(dict.fromkeys(r.skill for r in sorted(rows, key=lambda r: r.ord) if r.skill))
+    return list(dict.fromkeys(r.skill for r in sorted(rows, key=lambda r: r.ord) if r.skill and r.skill.strip()))
 
 
 def _quoted(phrase: str) -> str:
@@ -103,22 +103,25 @@ def extract_skills(
 def extract_skills_by_join(df: DataFrame, skills: DataFrame, text: str, key: str, out: str) -> DataFrame:
     """``extract_skills`` for a dictionary of any size.
 
-    Distinct words of a text meet the phrases with that first word; only keys and
-    words travel. The texts then check their few phrases in place.
+    Distinct words of a text meet the phrases with that first word; only hashes of texts
+    and words travel. The texts then check their few phrases in place. Texts are known
+    by their digest, so rows with a NULL or repeated ``key`` are read like all others.
+    Phrases without a word character meet on their first sign instead.
     """
-    phrase = F.lower("skill")
-    known = skills.select(
-        phrase.alias("skill"), F.regexp_extract(phrase, f"{WORD}+", 0).alias("word")
-    ).distinct()
-    words = df.select(
-        key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}+"), F.lit(0)))).alias("word")
+    lowered, first = F.lower(text), rf"{WORD}+|[^\s]"
+    known = skills.select(F.lower("skill").alias("skill")).filter(F.trim("skill") != "").distinct()
+    word = F.regexp_extract("skill", f"{WORD}+", 0)
+    known = known.select("skill", F.when(word != "", word).otherwise(F.left(F.trim("skill"), F.lit(1))).alias("word"))
+    texts = df.withColumn("_text", F.sha2(lowered, 256))
+    words = texts.select(
+        "_text", F.explode(F.array_distinct(F.regexp_extract_all(lowered, F.lit(first), F.lit(0)))).alias("word")
     )
     possible = (
-        salted_join(words, known, ["word"], F.col(key)).groupBy(key).agg(F.collect_set("skill").alias("_possible"))
+        salted_join(words, known, ["word"], F.col("_text")).groupBy("_text").agg(F.collect_set("skill").alias("_possible"))
     )
-    sure = F.filter("_possible", lambda s: F.regexp_like(F.lower(text), bounded_pattern(s)))
+    sure = F.filter("_possible", lambda s: F.regexp_like(lowered, bounded_pattern(s)))
     found = F.coalesce(F.array_sort(sure), F.array().cast("array<string>"))
-    return df.join(possible, key, "left").withColumn(out, found).drop("_possible")
+    return texts.join(possible, "_text", "left").withColumn(out, found).drop("_possible", "_text")
 
 
 def overlap(mine: Column, wanted: Column) -> Column:

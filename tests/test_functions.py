@@ -163,7 +163,7 @@ def test_read_texts(spark):
 
 def test_seed_dimensions():
     skills = dims.seed_skills()
-    assert len(skills) >= 100 and len({s.lower() for s in skills}) < len(skills)
+    assert len(skills) >= 60 and len({s.lower() for s in skills}) < len(skills)
     roles = dims.role_skills()
     assert len(roles) == 10
     assert {s for _, needed in roles for s in needed} - {s.lower() for s in skills}
