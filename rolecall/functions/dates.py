@@ -25,18 +25,35 @@ def parse_posted(text: Column, as_of: date | str | Column) -> Column:
     """Relative age text ("3 days ago") -> date; anything unreadable is ``as_of``."""
     today = as_date(as_of)
     lowered = F.lower(text)
-    number = first_match(lowered, r"\d+").try_cast("int")
+    number = first_match(lowered, r"\d+").try_cast("bigint")
     has = lambda *words: F.regexp_like(lowered, F.lit("|".join(words)))
     days = F.when(has("hour", "minute", "just now", "today"), 0).when(has("yesterday"), 1)
     for unit, length in DAYS_PER.items():
-        days = days.when(has(unit), number * length)
-    return F.date_sub(today, F.coalesce(days, F.lit(0)))
+        days = days.when(has(unit), F.try_multiply(number, F.lit(length)))
+    # A date before year 1 can't be meant.
+    sound = days.between(0, F.datediff(today, F.lit("0001-01-01").cast("date")))
+    return F.date_sub(today, F.when(sound, days).otherwise(0).cast("int"))
+
+
+def written_date(text: Column) -> Column:
+    """Date of "2001-03-05", "March 5, 2001", "5 Mar 2001" or "03/05/2001" (month first); else NULL."""
+    plain = F.trim(F.regexp_replace(text.cast("string"), r"(?<=\d)(?:st|nd|rd|th)\b|[.,]", " "))
+    word, number = F.lower(first_match(plain, "[A-Za-z]+")), F.regexp_extract_all(plain, F.lit(r"\d+"), F.lit(0))
+    month = F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), F.left(word, F.lit(3))).cast("string")
+    known = F.regexp_like(word, F.lit(f"^(?:{_MONTH}|sept)$"))
+    named = F.regexp_like(plain, F.lit(r"^(?:[A-Za-z]+\s+\d{1,2}\s+\d{4}|\d{1,2}\s+[A-Za-z]+\s+\d{4})$"))
+    parts = lambda y, m, d: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
+    at = lambda i: F.try_element_at(number, F.lit(i))
+    slashed = F.regexp_like(plain, F.lit(r"^\d{1,2}/\d{1,2}/\d{4}$"))
+    return F.coalesce(
+        text.try_cast("date"), F.when(named & known, parts(at(2), month, at(1))), F.when(slashed, parts(at(3), at(1), at(2)))
+    )
 
 
 def days_since(posted: Column, as_of: date | str | Column) -> Column:
-    """Whole days since posting, never negative; unusable dates count as today."""
+    """Whole days since posting (a date or its text), never negative; unusable dates count as today."""
     today = as_date(as_of)
-    return F.greatest(F.datediff(today, F.coalesce(posted.try_cast("date"), today)), F.lit(0))
+    return F.greatest(F.datediff(today, F.coalesce(written_date(posted), today)), F.lit(0))
 
 
 def age_label(days: Column) -> Column:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,22 +14,30 @@ from pyspark.sql import types as T
 DIM = 256
 
 
-def hashed_embedding(df: DataFrame, text: str, out: str = "embedding", dim: int = DIM) -> DataFrame:
-    """Unit vectors of hashed, inverse-frequency weighted words of the whole text.
-
-    The fitted model holds one number per dimension, whatever the data's size.
-    """
+def word_counts(df: DataFrame, text: str, dim: int = DIM) -> DataFrame:
+    """Adds ``_counts``: the hashed words of the whole text; the same for a text in any batch."""
     words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+")
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim)
-    weights = IDF(inputCol="_counts", outputCol="_weights")
-    unit = Normalizer(inputCol="_weights", outputCol="_unit")
-    ready = df.withColumn("_text", F.coalesce(text, F.lit("")))
-    model = Pipeline(stages=[words, counts, weights, unit]).fit(ready)
-    return (
-        model.transform(ready)
-        .withColumn(out, vector_to_array("_unit", "float32"))
-        .drop("_text", "_words", "_counts", "_weights", "_unit")
-    )
+    return counts.transform(words.transform(df.withColumn("_text", F.coalesce(text, F.lit(""))))).drop("_text", "_words")
+
+
+def fit_weights(df: DataFrame, text: str, dim: int = DIM) -> IDFModel:
+    """Inverse document frequencies of a corpus, one number per dimension.
+
+    Save it with ``model.save(path)``, load it with ``IDFModel.load(path)`` and use it for
+    postings and resumes alike: vectors compare only under one model.
+    """
+    return IDF(inputCol="_counts", outputCol="_weights").fit(word_counts(df, text, dim))
+
+
+def hashed_embedding(
+    df: DataFrame, text: str, out: str = "embedding", dim: int = DIM, weights: IDFModel | None = None
+) -> DataFrame:
+    """Unit vectors of hashed words, weighted by ``weights`` if a model is given. Nothing is fitted here."""
+    counted = word_counts(df, text, dim)
+    weighted = counted.withColumn("_weights", F.col("_counts")) if weights is None else weights.transform(counted)
+    unit = Normalizer(inputCol="_weights", outputCol="_unit").transform(weighted)
+    return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_counts", "_weights", "_unit")
 
 
 def embed_text(
@@ -39,14 +46,16 @@ def embed_text(
     encoder: Callable | None = None,
     out: str = "embedding",
     batch_size: int = 256,
+    weights: IDFModel | None = None,
 ) -> DataFrame:
     """Adds a vector per text.
 
     ``encoder`` is a function without arguments that loads a model once per
     Python worker and returns a function from a numpy array of texts to a matrix
-    of vectors. Without one, ``hashed_embedding`` is used.
+    of vectors. Without one, ``hashed_embedding``
+    is used, with ``weights`` from ``fit_weights`` if given.
     """
     if encoder is None:
-        return hashed_embedding(df, text, out)
+        return hashed_embedding(df, text, out, weights=weights)
     predict = predict_batch_udf(encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     return df.withColumn(out, predict(F.coalesce(text, F.lit(""))))

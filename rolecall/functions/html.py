@@ -68,7 +68,8 @@ def start_tag(tag: str, cls: str | None = None) -> str:
     if cls is None:
         return rf"(?i)<{tag}\b[^>]*>"
     name = cls.replace("-", r"\-")
-    return rf"""(?i:<{tag}\b)[^>]*?(?i:\bclass)\s*=\s*["'](?:[^"'>]*\s)?{name}(?:\s[^"'>]*)?["'][^>]*>"""
+    quoted = rf"""["'](?:[^"'>]*\s)?{name}(?:\s[^"'>]*)?["']"""
+    return rf"""(?i:<{tag}\b)[^>]*?(?i:\sclass)\s*=\s*(?:{quoted}|{name}(?=[\s>]))[^>]*>"""
 
 
 def _end_tag(tag: str) -> str:
@@ -133,17 +134,18 @@ def attribute_of(tag: Column, name: str) -> Column:
 
 
 def _code_point(reference: Column) -> Column:
-    """The character of ``&#8364;`` or ``&#x20AC;``."""
-    hexadecimal = F.regexp_extract(reference, r"(?i)^&#x([0-9a-f]{1,6});$", 1)
-    decimal = F.regexp_extract(reference, r"^&#([0-9]{1,7});$", 1)
-    digits = F.when(hexadecimal != "", hexadecimal).otherwise(F.hex(decimal.try_cast("bigint")))
-    return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+    """The character of ``&#8364;`` or ``&#x20AC;``; U+FFFD for numbers that are no character."""
+    hexadecimal = F.regexp_extract(reference, r"(?i)^&#x0*([0-9a-f]{0,6});$", 1)
+    decimal = F.regexp_extract(reference, r"^&#0*([0-9]{0,7});$", 1)
+    value = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).otherwise(decimal).try_cast("bigint")
+    sound = value.between(1, 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(sound, value).otherwise(0xFFFD)), 8, "0")), "UTF-32")
 
 
 def decode_entities(text: Column) -> Column:
     """Numeric and common named character references -> characters."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(?s)&#x?[0-9a-fA-F]{1,7};|[^&]+|&"), F.lit(0))
-    is_number = lambda p: F.regexp_like(p, F.lit(r"^&#(?:[0-9]{1,7}|x[0-9a-fA-F]{1,6});$"))
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)&#(?:[0-9]+|[xX][0-9a-fA-F]+);|[^&]+|&"), F.lit(0))
+    is_number = lambda p: F.regexp_like(p, F.lit(r"^&#(?:[0-9]+|[xX][0-9a-fA-F]+);$"))
     numbers = F.array_join(F.transform(pieces, lambda p: F.when(is_number(p), _code_point(p)).otherwise(p)), "")
     named = F.when(text.contains("&#"), numbers).otherwise(text)
     for reference, character in ENTITIES.items():

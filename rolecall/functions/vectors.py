@@ -24,8 +24,8 @@ def to_json(vector: Column, description: Column) -> Column:
 
 
 def is_usable(vector: Column, dim: int | None = None) -> Column:
-    """A non-empty vector of the right length without NULL or NaN entries."""
-    sound = ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    """A non-empty vector of the right length without NULL, NaN or infinite entries."""
+    sound = ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     length = F.size(vector) > 0 if dim is None else F.size(vector) == dim
     return F.coalesce(vector.isNotNull() & length & sound, F.lit(False))
 
