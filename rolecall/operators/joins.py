@@ -12,6 +12,8 @@ from .filters import contains_like, like_text
 SALTS = 16
 #: Rows of one key that ``spread_join`` leaves in one piece.
 HOT_ROWS = 200_000
+#: Patterns of wildcards only that are tried on every value in place.
+OPEN_PATTERNS = 100
 #: Most keys that ``spread_join`` cuts and broadcasts.
 HOT_KEYS = 100_000
 
@@ -79,12 +81,12 @@ def fetch_by_id(table: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _grams(text: Column) -> Column:
-    """Distinct substrings of 1 to 3 characters, and the empty one."""
+    """Distinct substrings of 1 to 3 characters."""
     length = F.length(text)
     of = lambda n: F.when(
         length >= n, F.transform(F.sequence(F.lit(1), length - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
     ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
 
 
 def like_pairs(values: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -94,18 +96,16 @@ def like_pairs(values: DataFrame, patterns: DataFrame) -> DataFrame:
     ``pattern``. A value that matches contains every literal piece of the
     pattern, so it contains the pattern's key: the substring of at most three
     characters of the longest piece that the fewest values hold. Values join on
-    their substrings, and LIKE confirms. A pattern of wildcards only has the key
-    '' and meets every value, as it must.
+    those of their substrings that some pattern has, and LIKE confirms. Patterns of
+    wildcards only can meet every value: while they are few they are tried on each value
+    in place, else they join in pieces.
     """
-    grams = values.select("value", F.explode(_grams(F.col("value"))).alias("gram"))
-    held = grams.groupBy("gram").agg(F.count("*").alias("held"))
-
     pieces = F.split(like_text(F.col("pattern")), r"\\.|[%_]")
     longest = F.element_at(F.array_sort(F.transform(pieces, lambda p: F.struct(F.length(p), p.alias("piece")))), -1)
     piece = F.col("piece")
-    keys = (
-        patterns.withColumn("piece", longest["piece"])
-        .select(
+    cut = patterns.withColumn("piece", longest["piece"])
+    options = (
+        cut.filter(piece != "").select(
             "pattern",
             F.explode(
                 F.when(
@@ -116,12 +116,25 @@ def like_pairs(values: DataFrame, patterns: DataFrame) -> DataFrame:
                 ).otherwise(F.array(piece))
             ).alias("gram"),
         )
-        .join(held, "gram", "left")
+    )
+    asked = options.select("gram").distinct()
+    grams = values.select("value", F.explode(_grams(F.col("value"))).alias("gram")).join(asked, "gram", "left_semi")
+    held = grams.groupBy("gram").agg(F.count("*").alias("held"))
+    keys = (
+        options.join(held, "gram", "left")
         .groupBy("pattern")
         .agg(F.min(F.struct(F.coalesce("held", F.lit(0)), F.col("gram")))["gram"].alias("gram"))
     )
-    return (
-        grams.join(keys, "gram")
-        .filter(contains_like(F.col("value"), F.col("pattern")))
-        .select("value", "pattern")
-    )
+    matches = contains_like(F.col("value"), F.col("pattern"))
+    found = grams.join(keys, "gram").filter(matches).select("value", "pattern")
+    open_ones = cut.filter(piece == "").select("pattern")
+    few = [r.pattern for r in open_ones.limit(OPEN_PATTERNS + 1).collect()]
+    if not few:
+        return found
+    if len(few) <= OPEN_PATTERNS:
+        tried = values.select("value", F.explode(F.array(*map(F.lit, few))).alias("pattern"))
+    else:
+        tried = salted_join(
+            values.withColumn("gram", F.lit("")), open_ones.withColumn("gram", F.lit("")), ["gram"], F.col("value")
+        ).select("value", "pattern")
+    return found.unionByName(tried.filter(matches))

@@ -20,7 +20,7 @@ from ..functions.text import normalise
 from ..schema import SEARCH_COLUMNS, require
 from ..session import staged
 from .filters import experience_filter, has_location, location_like, title_matches_any
-from .joins import fetch_by_id, like_pairs, salted_join, spread_join
+from .joins import fetch_by_id, like_pairs, spread_join
 
 # Fixed value: postings fetched per request.
 FETCH_LIMIT = 100
@@ -29,18 +29,25 @@ FETCH_LIMIT = 100
 def search_one(
     postings: DataFrame, location: str, category: str | None, roles: list[str], limit: int = FETCH_LIMIT
 ) -> DataFrame:
-    """One request: a filtered scan and a distributed top-n."""
+    """One request: a distributed top-n over the narrow columns, then its few rows by id.
+
+    The at most ``limit`` ids reach the driver, so that the wide columns are read with a
+    filter on ids that Parquet can use.
+    """
     if not location.strip():
         return postings.select(*SEARCH_COLUMNS).limit(0)
     wanted = F.array(*map(F.lit, roles)) if roles else F.array().cast("array<string>")
-    return (
+    newest_ids = (
         postings.filter(location_like(F.col("location"), F.lit(location.strip())))
         .filter(experience_filter(F.col("experience_level"), F.lit(category)))
         .filter(title_matches_any(F.col("job_title"), wanted))
-        .select(*SEARCH_COLUMNS)
+        .select("id", "posted_date")
         .orderBy(F.desc_nulls_last("posted_date"), "id")
         .limit(limit)
     )
+    ids = [r.id for r in newest_ids.collect()]
+    found = postings.filter(F.col("id").isin(ids)).select(*SEARCH_COLUMNS)
+    return found.orderBy(F.desc_nulls_last("posted_date"), "id").limit(limit)
 
 
 def newest(by: list[str], limit: int, df: DataFrame) -> DataFrame:
@@ -111,8 +118,13 @@ def search_requests(postings: DataFrame, requests: DataFrame, limit: int = FETCH
     ).select(F.col("value").alias("title"), F.col("pattern").alias("role"))
 
     cells = newest(["location", "title", "class"], limit, rows.filter("location is not null and title is not null"))
-    wanted = newest(["pref", "title", "class"], limit, salted_join(cells, at_location, ["location"], F.col("id")))
-    offered = newest(["pref", "role", "class"], limit, salted_join(wanted, for_role, ["title"], F.col("id")))
+    per = lambda df, key: df.groupBy(key).agg(F.count("*").alias("n"))
+    # only locations and titles that many rows hold are cut into pieces
+    wanted = newest(
+        ["pref", "title", "class"], limit, spread_join(cells, at_location, "location", per(cells, "location"), "id")
+    )
+    titles = per(rows.select("title"), "title")  # at least as many rows as are left of a title
+    offered = newest(["pref", "role", "class"], limit, spread_join(wanted, for_role, "title", titles, "id"))
     # At most ``limit`` entries per key, so the lists are bounded.
     lists = offered.groupBy("pref", "role", "class").agg(F.collect_list(_newest_first()).alias("found"))
     best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, limit)

@@ -60,7 +60,7 @@ def _described(wide: DataFrame, skills: DataFrame, *keep: str) -> DataFrame:
     return wide.select(
         "id",
         *keep,
-        F.col("embedding").cast("array<double>").alias("vector"),
+        F.col("embedding").alias("vector"),
         vectors.norm(F.col("embedding")).alias("vector_norm"),
         skill_counts(F.col("job_description"), F.col("_skills")).alias("skill_counts"),
         source_key().alias("source_key"),
@@ -87,7 +87,7 @@ def recommend(
     people = (
         asking(candidates)
         .filter("request is not null")
-        .select("candidate_id", "request", "skills", mine.cast("array<double>").alias("embedding"), vectors.norm(mine).alias("my_norm"))
+        .select("candidate_id", "request", "skills", mine.alias("embedding"), vectors.norm(mine).alias("my_norm"))
     )
     requests = staged(request_counts(people), "requests")
     found = staged(search_requests(postings, requests, limit), "found")
