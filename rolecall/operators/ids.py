@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
+
+from ..session import staged
 
 #: Ids that differ only in their last ``BLOCK_BITS`` bits form a block, so a block
 #: holds at most 65,536 ids however the ids are spread.
 BLOCK_BITS = 16
+#: The blocks of rows without an id start here, after all others.
+LAST_BLOCK = 1 << 48
 # Fixed value: rows per update batch.
 BATCH_ROWS = 1000
 
@@ -34,14 +39,19 @@ def _offsets(counts: DataFrame, levels: int) -> DataFrame:
 
 
 def renumber(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Replaces the distinct ids by 1..N in their order; ``batch`` counts thousands.
+    """Replaces the ids by 1..N in their order; ``batch`` counts thousands.
 
+    Rows without an id come last, in the order of a hash of their plain columns.
     ``row_number`` runs per block of old ids and the blocks' offsets come from
-    their sizes, so no task sees more than one block.
+    their sizes, which are stored once, so no task sees more than one block and the
+    table is read twice: its ids, then its rows.
     """
-    blocks = df.withColumn("block", F.shiftright(F.col(id_col).cast("long"), BLOCK_BITS))
-    offsets = _offsets(blocks.groupBy("block").agg(F.count("*").alias("rows")), levels=2)
-    order = Window.partitionBy("block").orderBy(id_col)
+    plain = [F.col(f.name) for f in df.schema if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType)]
+    rest = F.lit(LAST_BLOCK) + F.pmod(F.xxhash64(*plain), F.lit(1 << BLOCK_BITS))
+    blocks = df.withColumn("block", F.coalesce(F.shiftright(F.col(id_col).cast("long"), BLOCK_BITS), rest))
+    sizes = staged(blocks.groupBy("block").agg(F.count("*").alias("rows")), "blocks")
+    offsets = _offsets(sizes, levels=2)
+    order = Window.partitionBy("block").orderBy(id_col, F.xxhash64(*plain))
     numbered = blocks.withColumn("_rn", F.row_number().over(order)).join(offsets, "block")
     new_id = (F.col("before") + F.col("_rn")).cast("long")
     return (
@@ -56,3 +66,15 @@ def next_id(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.agg(
         F.count("*").alias("rows"), (F.coalesce(F.max(id_col), F.lit(0)) + 1).cast("long").alias("next_id")
     )
+
+
+def with_ids(existing: DataFrame, fresh: DataFrame, id_col: str = "id") -> DataFrame:
+    """``fresh`` with an id, above all ids of both, for every row that has none; given ids stay.
+
+    The new ids are unique and have gaps; the maintenance job makes them dense.
+    """
+    if id_col not in fresh.columns:
+        fresh = fresh.withColumn(id_col, F.lit(None).cast("long"))
+    top = lambda df: F.coalesce(df.agg(F.max(id_col).alias("top")).scalar(), F.lit(0)).cast("long")
+    start = F.greatest(top(existing), top(fresh)) + 1
+    return fresh.withColumn(id_col, F.coalesce(F.col(id_col), start + F.monotonically_increasing_id()))

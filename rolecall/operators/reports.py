@@ -11,17 +11,20 @@ from .filters import invalid_reason
 def run_report(before: DataFrame, after: DataFrame, seconds: float | None = None) -> DataFrame:
     """Per source and role: rows before and after a run, inserted and deleted.
 
-    Rows are matched by ``id`` being in one table or both, counted per id first.
-    With the run's ``seconds`` it adds the average per inserted row.
+    Rows are matched by ``id`` being in one table or both, counted per id first; rows
+    without an id can't be matched and only their numbers are compared. With the run's ``seconds`` it adds the average per inserted row.
     """
     side = lambda df, b, a: df.select("id", "source", "role", F.lit(b).alias("b"), F.lit(a).alias("a"))
     rows = side(before, 1, 0).unionByName(side(after, 0, 1)).groupBy("id", "source", "role")
-    per_id = rows.agg(F.max("b").alias("b"), F.max("a").alias("a"))
+    unnamed = F.col("id").isNull()
+    matched = lambda c: F.when(unnamed, F.sum(c)).otherwise(F.max(c)).alias(c)
+    per_id = rows.agg(matched("b"), matched("a"))
+    more = lambda x, y: F.sum(F.greatest(F.col(x) - F.col(y), F.lit(0)))
     report = per_id.groupBy("source", "role").agg(
         F.sum("b").alias("rows_before"),
         F.sum("a").alias("rows_after"),
-        F.count_if((F.col("b") == 0)).alias("inserted"),
-        F.count_if((F.col("a") == 0)).alias("deleted"),
+        more("a", "b").alias("inserted"),
+        more("b", "a").alias("deleted"),
     )
     if seconds is None:
         return report

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NOT_AVAILABLE
-from ..operators.dedupe import first_per_key, new_rows
+from ..operators.dedupe import first_per_key, insertable
 from ..operators.quota import crawl_quota
 from ..schema import POSTING_SCHEMA
 from ..sources.pages import extract_cards, extract_detail_pages, with_card_details
@@ -79,12 +79,7 @@ def ingest(
     listing_limits: tuple[int, int] | None = None,
     embed: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
-    """The rows to append to ``existing``: extracted, clipped, first per key, not yet stored."""
+    """The rows to append to ``existing``: extracted, clipped, first per key, not yet stored, with ids."""
     detail = as_postings(detail_postings(pages, skills, as_of, detail_limits), scraped_at, embed)
     listed = as_postings(listing_postings(listings, listing_details, as_of, listing_limits), scraped_at, embed)
-    return new_rows(existing, detail.unionByName(listed), "arrival").drop("arrival")
-
-
-def with_new_ids(fresh: DataFrame, start: int) -> DataFrame:
-    """Unique ids from ``start`` on, with gaps; the maintenance job makes them dense."""
-    return fresh.withColumn("id", F.monotonically_increasing_id() + F.lit(start))
+    return insertable(existing, detail.unionByName(listed), "arrival").select(*POSTING_SCHEMA.names)

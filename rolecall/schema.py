@@ -83,13 +83,18 @@ def clip_to_schema(df: DataFrame) -> DataFrame:
     return df.withColumns(clipped)
 
 
-def _missing_required() -> Column:
+def _missing_required(names: tuple[str, ...] = REQUIRED) -> Column:
     missing = F.lit(False)
-    for name in REQUIRED:
+    for name in names:
         missing = missing | F.col(name).isNull()
     return missing
 
 
+def accepted(df: DataFrame) -> DataFrame:
+    """Rows with all the required columns that ``df`` has."""
+    return df.filter(~_missing_required(tuple(c for c in REQUIRED if c in df.columns)))
+
+
 def validate_postings(df: DataFrame) -> DataFrame:
     """Rows the table accepts: right columns and types, nothing required missing."""
     require(df, POSTING_SCHEMA.names)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of ids (8 bytes each) that may be broadcast; above it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Tables staged by this process and not yet dropped.
+_STAGED: list[str] = []
 
 
 def build_session(app: str = "rolecall", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if configured:
+        if not context.master.startswith("local") and ":" not in configured and _scheme(spark, configured) == "file":
+            raise RuntimeError(f"spark.checkpoint.dir={configured} is local to each machine; name a shared file system")
         return configured
     if context.getCheckpointDir():
         return context.getCheckpointDir()
@@ -51,6 +55,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _scheme(spark: SparkSession, path: str) -> str:
+    """Scheme of the file system that ``path`` resolves to."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables this process has staged; call it once their results are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        place = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        place.getFileSystem(conf).delete(place, True)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, not yet existing path below the shared folder."""
     return os.path.join(shared_dir(spark), "rolecall", f"{label}-{uuid.uuid4().hex}")
@@ -64,5 +83,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedupe import new_rows
+from ..operators.dedupe import insertable
 from ..schema import POSTING_SCHEMA, UNIQUE_KEY
 
 
@@ -30,7 +30,7 @@ def append_batch(batch: DataFrame, batch_id: int, table: str, order: str) -> Non
     """Write the new rows of one micro-batch."""
     stored = _other_batches(batch, batch_id, table)
     target = os.path.join(table, f"batch_id={batch_id}")
-    new_rows(stored, batch, order).write.mode("overwrite").parquet(target)
+    insertable(stored, batch, order).write.mode("overwrite").parquet(target)
 
 
 def _other_batches(batch: DataFrame, batch_id: int, table: str) -> DataFrame:
