@@ -337,14 +337,14 @@ SQL["experience_years"] = _chain(_RESUMES, _SPANS, f"SELECT candidate_id, {_WORK
 _EDU = ["b.tech:computer science", "bachelor of:arts", "m.sc:physics|ph.d:statistics", "master of:business administration", ""]
 SQL["education"] = _sql(_RESUMES, f"SELECT candidate_id, {_pick(_EDU, 'candidate_id')} AS education FROM resumes")
 _DEGREES = ["|".join(e.split(":")[0] for e in x.split("|") if e) for x in _EDU]
+_READ_SKILLS = f"""bodies AS (SELECT candidate_id, regexp_replace(text, '\\s+$', '') AS body FROM resumes),
+read_skills AS (SELECT candidate_id, list(skill ORDER BY skill) AS skills FROM bodies CROSS JOIN skill_dim WHERE {_IN_TEXT} GROUP BY candidate_id),
+mine AS (SELECT candidate_id, CASE WHEN len(skills) < 3
+    THEN list_sort(list_distinct(list_concat(skills, ['python', 'java', 'javascript', 'sql', 'html', 'css']))) ELSE skills END AS mine FROM read_skills)"""
 SQL["profile"] = _chain(
     (*_RESUMES, "skill_dim", "role_dim"),
     _SPANS,
-    f"""
-, bodies AS (SELECT candidate_id, regexp_replace(text, '\\s+$', '') AS body FROM resumes),
-read_skills AS (SELECT candidate_id, list(skill ORDER BY skill) AS skills FROM bodies CROSS JOIN skill_dim WHERE {_IN_TEXT} GROUP BY candidate_id),
-mine AS (SELECT candidate_id, CASE WHEN len(skills) < 3
-    THEN list_sort(list_distinct(list_concat(skills, ['python', 'java', 'javascript', 'sql', 'html', 'css']))) ELSE skills END AS mine FROM read_skills)""",
+    f", {_READ_SKILLS}",
     _SCORES,
     _BEST,
     rf"""
@@ -448,6 +448,33 @@ SQL["recommend"] = _sql(_REC, """
 SELECT candidate_id, position, id, job_title, company, location, salary, skills_required, job_link,
        CAST(posted_date AS VARCHAR) AS posted_date, applicants, source, experience_level, job_type,
        round(match_score, 4) AS match_score, array_to_string(matched, '|') AS matched_skills, days_since_posted FROM recommended""")
+# The same search and ranking for people whose level, roles and skills are read from their resumes.
+_READ_PEOPLE = """
+texted AS (SELECT * FROM mine WHERE candidate_id % 13 <> 0),
+readers AS (SELECT p.candidate_id, p.pref_location, p.embedding, coalesce(t.mine, []) AS skills, coalesce(best.roles, []) AS roles,
+    CASE WHEN t.candidate_id IS NULL THEN '' ELSE 'text' END AS resume_text,
+    CASE p.candidate_id % 4 WHEN 0 THEN 'Fresher' WHEN 1 THEN 'Experienced'
+      ELSE CASE WHEN t.candidate_id IS NULL THEN NULL WHEN months / 12 <= 1 THEN 'Fresher' ELSE 'Experienced' END END AS category
+  FROM people p LEFT JOIN texted t ON t.candidate_id = p.candidate_id LEFT JOIN worked w ON w.candidate_id = t.candidate_id
+  LEFT JOIN best ON best.candidate_id = t.candidate_id)"""
+_READERS = ", ".join(
+    f"{name} AS ({CTES[name].strip().replace('people c', 'readers c')})"
+    for name in ("fetched", "scored", "in_source", "with_quota", "placed", "recommended")
+)
+SQL["resume_recommendations"] = _sql(
+    (*_POST, "people", "ordered_skills", "resumes", "skill_dim", "role_dim", "level_bands", "texts", "text_skills", "text_lists", "posting_skills"),
+    f"""{_SPANS.strip()}, {_READ_SKILLS}{_SCORES.strip()}{_BEST.strip()}, {_READ_PEOPLE}, {_READERS}{_FLAGS.replace('people c', 'readers c')}
+SELECT s.candidate_id, status, CASE status WHEN 'no_text' THEN 'Failed to extract data from resume'
+  WHEN 'no_jobs' THEN 'No jobs found matching your criteria. Try broadening your search.'
+  WHEN 'none_matched' THEN 'No jobs matched your resume.'
+  WHEN 'mismatch' THEN 'Experience levels don''t match closely. Consider adjusting your experience level.' END AS message, fetched,
+  position, id, round(match_score, 4) AS match_score, array_to_string(matched, '|') AS matched_skills
+FROM (SELECT c.candidate_id, coalesce(fetched, 0) AS fetched, CASE WHEN resume_text = '' THEN 'no_text'
+        WHEN coalesce(fetched, 0) = 0 THEN 'no_jobs' WHEN usable = 0 THEN 'none_matched'
+        WHEN coalesce(c.category, '') <> '' AND NOT any_match THEN 'mismatch' ELSE 'ok' END AS status
+      FROM readers c LEFT JOIN flags f ON f.candidate_id = c.candidate_id) s
+LEFT JOIN (SELECT * FROM recommended WHERE candidate_id IN (SELECT candidate_id FROM texted)) r ON r.candidate_id = s.candidate_id""",
+).replace(") , ranges", "), ranges")
 _PAGE = "CAST(ceil(place / 10.0) AS INTEGER) AS page"
 SQL["views_all"] = _sql(_REC, f"""
 SELECT candidate_id, place, {_PAGE}, position, id, job_title, coalesce(applicants, 0) AS applicants,

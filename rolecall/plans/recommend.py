@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -21,6 +23,7 @@ from ..operators.search import (
 from ..operators.skills import bounded_dictionary, extract_skills_by_join, matched_skills, skill_counts, skills_in
 from ..schema import DISPLAY_COLUMNS
 from ..session import staged
+from .profile import profile
 
 # Messages of the status ladder.
 MESSAGES = {
@@ -42,6 +45,12 @@ def asking(candidates: DataFrame) -> DataFrame:
     return with_request(candidates.withColumn("category", category))
 
 
+def searched(candidates: DataFrame, postings: DataFrame, limit: int = FETCH_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """The stored requests of ``candidates`` and what each found; lists and status can share them."""
+    requests = staged(request_counts(asking(candidates).select("request")), "requests")
+    return requests, staged(search_requests(postings, requests, limit), "found")
+
+
 def _posting_details(postings: DataFrame, found: DataFrame, skills: DataFrame) -> DataFrame:
     """``id``, usable vector and norm, counted description skills and shown columns.
 
@@ -75,8 +84,9 @@ def recommend(
     skills: DataFrame,
     total: int = TOTAL,
     limit: int = FETCH_LIMIT,
+    search: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """Ranked postings per candidate.
+    """Ranked postings per candidate. ``search`` is ``searched`` of the same arguments, where it is at hand.
 
     ``candidates`` has ``candidate_id, pref_location, form_level, parsed_level,
     best_job_roles, skills, embedding``. Returns one row per place in a list:
@@ -87,10 +97,9 @@ def recommend(
     people = (
         asking(candidates)
         .filter("request is not null")
-        .select("candidate_id", "request", "skills", mine.alias("embedding"), vectors.norm(mine).alias("my_norm"))
+        .select("candidate_id", "request", "skills", mine.cast("array<double>").alias("embedding"), vectors.norm(mine).alias("my_norm"))
     )
-    requests = staged(request_counts(people), "requests")
-    found = staged(search_requests(postings, requests, limit), "found")
+    requests, found = search or searched(candidates, postings, limit)
     details = staged(_posting_details(postings, found, skills), "details")
     bundles = request_bundles(found, details)
     pairs = spread_join(people.filter(vectors.is_usable(mine)), bundles, "request", requests, "candidate_id")
@@ -169,12 +178,11 @@ def _ranked(pairs: DataFrame, as_of, total: int) -> DataFrame:
     )
 
 
-def _request_flags(requests: DataFrame, postings: DataFrame, limit: int) -> DataFrame:
+def _request_flags(found: DataFrame, postings: DataFrame) -> DataFrame:
     """Per request: postings fetched, those with a usable vector, any in the experience band.
 
     The band belongs to the request, so it is checked once per request.
     """
-    found = staged(search_requests(postings, requests, limit), "found")
     flags = fetch_by_id(postings.select("id", "experience_level", "embedding"), found).select(
         "id", "experience_level", vectors.is_usable(F.col("embedding")).alias("usable")
     )
@@ -199,14 +207,19 @@ def mismatch_flags(candidates: DataFrame, postings: DataFrame, limit: int = FETC
     people = asking(candidates).filter("request is not null")
     stated = F.coalesce(F.col("category"), F.lit("")) != ""
     asked = people.select("candidate_id", "request", stated.alias("stated"))
-    requests = staged(request_counts(asked), "requests")
-    flags = _request_flags(requests, postings, limit)
+    requests, found = searched(candidates, postings, limit)
+    flags = _request_flags(found, postings)
     return spread_join(asked, flags, "request", requests, "candidate_id").select(
         "candidate_id", (F.col("stated") & ~F.col("any_match")).alias("mismatch")
     )
 
 
-def candidate_status(candidates: DataFrame, postings: DataFrame, limit: int = FETCH_LIMIT) -> DataFrame:
+def candidate_status(
+    candidates: DataFrame,
+    postings: DataFrame,
+    limit: int = FETCH_LIMIT,
+    search: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """``candidate_id, status, message, fetched``; also needs ``resume_text``."""
     people = asking(candidates).select(
         "candidate_id",
@@ -215,8 +228,8 @@ def candidate_status(candidates: DataFrame, postings: DataFrame, limit: int = FE
         vectors.is_usable(F.col("embedding")).alias("scorable"),
         (F.coalesce(F.col("category"), F.lit("")) != "").alias("stated"),
     )
-    requests = staged(request_counts(people), "requests")
-    flags = _request_flags(requests, postings, limit)
+    requests, found = search or searched(candidates, postings, limit)
+    flags = _request_flags(found, postings)
     # Candidates without a request meet nobody; their own id spreads them.
     keyed = people.withColumn("request", F.coalesce("request", F.col("candidate_id").cast("string")))
     fetched = F.coalesce("fetched", F.lit(0))
@@ -233,3 +246,32 @@ def candidate_status(candidates: DataFrame, postings: DataFrame, limit: int = FE
         .withColumn("status", status)
         .select("candidate_id", "status", F.try_element_at(message, F.col("status")).alias("message"), fetched.alias("fetched"))
     )
+
+
+def recommend_resumes(
+    resumes: DataFrame,
+    preferences: DataFrame,
+    postings: DataFrame,
+    as_of,
+    skills: DataFrame,
+    role_skills: DataFrame,
+    embed: Callable[[DataFrame, str], DataFrame],
+    total: int = TOTAL,
+    limit: int = FETCH_LIMIT,
+) -> DataFrame:
+    """Resume texts to ranked lists with the status and message of every candidate, in one search.
+
+    ``resumes`` has ``candidate_id, text``, ``preferences`` has ``candidate_id,
+    pref_location, form_level``; ``embed(df, text)`` adds ``embedding`` in the postings'
+    vector space. A candidate without a list has one row whose ``position`` is NULL.
+    """
+    read = profile(resumes, as_of, skills, role_skills).select(
+        "candidate_id", "skills", "best_job_roles", F.col("experience_category").alias("parsed_level"), "resume_text"
+    )
+    asked = preferences.select("candidate_id", "pref_location", "form_level").join(read, "candidate_id", "left")
+    text = F.coalesce("resume_text", F.lit(""))
+    people = embed(asked.withColumn("resume_text", text), "resume_text")
+    people = staged(people.withColumn("embedding", F.when(F.col("resume_text") != "", F.col("embedding"))), "people")
+    search = searched(people, postings, limit)
+    lists = recommend(people, postings, as_of, skills, total, limit, search)
+    return candidate_status(people, postings, limit, search).join(lists, "candidate_id", "left")
