@@ -106,8 +106,8 @@ def write_archives(
     )
     heads = staged(decide(headers(source), least), "warc-heads")
     total = heads.agg(F.sum(F.when(F.col("response_key").isNull(), F.col("payload_bytes")).otherwise(0) + F.lit(600)).alias("n")).first().n or 0
-    joined = source.select("_key", "url", "html").join(heads, "_key")
-    dealt = joined.repartition(max(1, rows.shards(total, FILE_BYTES)), "_key")
+    # dealt by key into as many parts as files; the join keeps that dealing, so payloads move once
+    dealt = source.select("_key", "url", "html").repartition(rows.shards(total, FILE_BYTES), "_key").join(heads, "_key")
 
     def build(batches):
         for batch in batches:
