@@ -13,14 +13,14 @@ Texts with equal words are one class; only one row of each class is compared. Re
 are banded; classes that share a band meet in a bucket. A bucket is never expanded into
 all its pairs unless few of its classes are unconnected:
 
-1. every class is compared with the bucket's pivot, the class that shares most buckets
-   with others (the likely original of a family of copies);
+1. a bucket's pivot is the class that shares most buckets with others, the likely
+   original of a family of copies; every class is compared with the best of its pivots;
 2. components are formed from the verified links;
 3. buckets that still hold several components are taken up again: with at most
-   ``SMALL`` classes across components by all pairs between components, else by a
-   further pivot among the classes not connected to the earlier ones, until no
-   bucket has a class that hasn't been connected or been a pivot, or ``ROUNDS`` is done;
-   what is left then is compared in sub-buckets that agree in a second band.
+   ``SMALL`` classes by all pairs across components, else by comparing their pivot with
+   the classes not connected to it, which then go on among themselves;
+4. what is left after ``ROUNDS`` of this is compared in sub-buckets that agree in a second
+   band as well.
 
 Links are verified by the exact multiset overlap.
 
@@ -46,7 +46,9 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 #: Unconnected classes of a bucket that are compared by all pairs across components.
 SMALL = 12
-ROUNDS = 4
+ROUNDS = 3
+#: Keys (8 bytes each) that may be broadcast; above it the texts are joined by key.
+FEW_KEYS = 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,13 +158,20 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared) if len(both) else 0.0
 
 
+def fetch(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with the distinct ``keys``; texts move only if there are more than ``FEW_KEYS`` of them."""
+    stored = staged(keys, "keys")
+    few = stored.count() <= FEW_KEYS
+    return docs.join(F.broadcast(stored) if few else stored, "_key", "left_semi")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the ``pairs`` (a, b) that reach ``threshold`` by their exact multisets."""
     wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
-    held = staged(bag_rows(docs.join(wanted, "_key", "left_semi")), "bags")
-    # neither side of a join grows beyond the pairs: a pivot's bag is one row, its pairs are spread by their other end
-    one = pairs.join(held.select(F.col("_key").alias("b"), F.col("bag").alias("bag_b")), "b")
-    both = one.join(held.select(F.col("_key").alias("a"), F.col("bag").alias("bag_a")), "a").select("a", "b", "bag_a", "bag_b")
+    held = staged(bag_rows(fetch(docs, wanted)), "bags")
+    # the first join has narrow rows only on its other side, the second is spread by whichever end has more pairs
+    one = pairs.join(held.select(F.col("_key").alias("a"), F.col("bag").alias("bag_a")), "a")
+    both = one.join(held.select(F.col("_key").alias("b"), F.col("bag").alias("bag_b")), "b").select("a", "b", "bag_a", "bag_b")
 
     def work(batches):
         for batch in batches:
@@ -181,17 +190,52 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def candidates(buckets: DataFrame) -> DataFrame:
-    """Pairs to compare in ``buckets`` (bucket, _key, weight, component): pivots or, if few are unconnected, all across."""
-    shape = buckets.groupBy("bucket").agg(
-        F.max(F.struct("weight", (-F.col("_key")).alias("low"), "component")).alias("top"), F.count(F.lit(1)).alias("n")
+def _shape(buckets: DataFrame) -> DataFrame:
+    """Per bucket its pivot (``top``: weight, negated key, component) and number of classes, if it holds several components."""
+    return (
+        buckets.groupBy("bucket")
+        .agg(
+            F.max(F.struct("weight", (-F.col("_key")).alias("low"), "component")).alias("top"),
+            F.count(F.lit(1)).alias("n"),
+            (F.min("component") != F.max("component")).alias("open"),
+        )
+        .filter("open")
+        .drop("open")
     )
-    told = buckets.join(shape, "bucket")
-    star = told.filter(F.col("component") != F.col("top.component")).select("_key", (-F.col("top.low")).alias("pivot"))
+
+
+def nearest_pivots(buckets: DataFrame) -> DataFrame:
+    """One pair per class: the pivot that shares most buckets with others, of all pivots of the class's buckets."""
+    told = buckets.join(_shape(buckets), "bucket").filter(F.col("_key") != -F.col("top.low"))
+    best = told.groupBy("_key").agg(F.max(F.struct("top.weight", "top.low")).alias("best"))
+    return _ordered(best.select(F.col("_key").alias("a"), (-F.col("best.low")).alias("b")))
+
+
+def candidates(buckets: DataFrame) -> DataFrame:
+    """Pairs still to compare: classes with their bucket's pivot or, if few are in it, across all its components."""
+    told = buckets.join(_shape(buckets), "bucket")
+    star = told.filter((F.col("component") != F.col("top.component")) & (F.col("n") > SMALL))
     few = told.filter(F.col("n") <= SMALL)
-    other = few.select("bucket", F.col("_key").alias("b"), F.col("component").alias("component_b"))
-    across = few.select("bucket", F.col("_key").alias("a"), "component").join(other, "bucket").filter("a < b and component <> component_b")
-    return _ordered(star.select(F.col("_key").alias("a"), F.col("pivot").alias("b")).unionByName(across.select("a", "b")))
+    held = few.groupBy("bucket").agg(F.collect_list(F.struct("_key", "component")).alias("held"))  # at most SMALL
+    one = held.select(F.explode("held").alias("x"), "held")
+    across = one.select("x", F.explode("held").alias("y")).filter("x._key < y._key and x.component <> y.component")
+    return _ordered(
+        star.select(F.col("_key").alias("a"), (-F.col("top.low")).alias("b")).unionByName(
+            across.select(F.col("x._key").alias("a"), F.col("y._key").alias("b"))
+        )
+    )
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after the links ``found`` between nodes; only components that links touch move."""
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    links = found.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    links = links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b")
+    moved = components(links)
+    kept = labels.join(moved.withColumnRenamed("component", "to").withColumnRenamed("node", "component"), "component", "left")
+    old = kept.select("node", F.coalesce("to", "component").alias("component"))
+    fresh = moved.join(labels, "node", "left_anti")
+    return staged(old.unionByName(fresh), "labels")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -208,33 +252,37 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = staged(spread.join(shared, "bucket"), "buckets")
     weight = met.groupBy("_key").agg(F.sum("n").alias("weight"))
-    open_buckets = staged(met.join(weight, "_key").select("bucket", "_key", "weight", F.col("_key").alias("component")), "buckets")
+    buckets = staged(met.join(weight, "_key").select("bucket", "_key", "weight", F.col("_key").alias("component")), "buckets")
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a bigint, b bigint, similarity double")
     compared = spark.createDataFrame([], "a bigint, b bigint")
     labels = spark.createDataFrame([], "node bigint, component bigint")
-    for turn in range(ROUNDS + 1):
-        if turn == ROUNDS:  # what is left meets again where it agrees in a second band
-            second = first.select("_key", F.explode("bands").alias("also")).join(open_buckets, "_key").filter(F.col("also") > F.col("bucket"))
-            pairs_of = second.groupBy("bucket", "also").count().filter("count > 1").select("bucket", "also")
-            open_buckets = second.join(pairs_of, ["bucket", "also"]).select(F.xxhash64("bucket", "also").alias("bucket"), "_key", "weight", "component")
-        fresh = staged(candidates(open_buckets).join(compared, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.limit(1).count():
+    pairs = nearest_pivots(buckets)
+    for turn in range(ROUNDS + 2):
+        fresh = staged(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        if fresh.limit(1).count():
+            found = staged(verify(fresh, docs, threshold), "links")
+            compared = compared.unionByName(fresh)
+            if found.limit(1).count():
+                links = links.unionByName(found)
+                labels = _merged(labels, found)
+        if turn > ROUNDS:
             break
-        found = staged(verify(fresh, docs, threshold), "links")
-        links, compared = links.unionByName(found), compared.unionByName(fresh)
-        labels = components(links)
-        if turn == ROUNDS:
-            break
-        known = open_buckets.drop("component").join(labels, F.col("_key") == F.col("node"), "left").select(
+        known = buckets.drop("component").join(labels, F.col("_key") == F.col("node"), "left").select(
             "bucket", "_key", "weight", F.coalesce("component", "_key").alias("component")
         )
-        # a bucket's pivot leaves with all that is connected to it; small buckets leave altogether
-        shape = known.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("_key")).alias("low"), "component")).alias("top"), F.count(F.lit(1)).alias("n"))
-        left = known.join(shape, "bucket").filter((F.col("n") > SMALL) & (F.col("component") != F.col("top.component")))
-        rest = left.select("bucket", "_key", "weight", "component")
-        alive = rest.groupBy("bucket").agg(F.countDistinct("component").alias("k")).filter("k > 1").select("bucket")
-        open_buckets = staged(rest.join(alive, "bucket"), "buckets")
+        told = known.join(_shape(known), "bucket")
+        if turn:  # small buckets are done, and so is what their pivot is connected to, or what it was compared with
+            told = told.filter((F.col("n") > SMALL) & (F.col("component") != F.col("top.component")))
+        buckets = staged(told.select("bucket", "_key", "weight", "component"), "buckets")
+        if not buckets.limit(1).count():
+            break
+        if turn < ROUNDS:
+            pairs = candidates(buckets)
+        else:  # what is left meets again where it agrees in a second band
+            second = first.select("_key", F.explode("bands").alias("also")).join(buckets, "_key").filter(F.col("also") > F.col("bucket"))
+            both = second.withColumn("bucket", F.xxhash64("bucket", "also")).drop("also")
+            pairs = candidates(both)
     grouped = classes.join(labels, F.col("class_key") == F.col("node"), "left").select(
         "d1", "d2", "class_key", F.coalesce("component", "class_key").alias("group_key")
     )
