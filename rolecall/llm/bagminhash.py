@@ -280,8 +280,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
         if turn < ROUNDS:
             pairs = candidates(buckets)
         else:  # what is left meets again where it agrees in a second band
-            second = first.select("_key", F.explode("bands").alias("also")).join(buckets, "_key").filter(F.col("also") > F.col("bucket"))
-            both = second.withColumn("bucket", F.xxhash64("bucket", "also")).drop("also")
+            other = met.select("_key", F.col("bucket").alias("also"))  # only bands that another class has, too
+            second = buckets.join(other, "_key").filter(F.col("also") != F.col("bucket"))
+            pair = F.xxhash64(F.least("bucket", "also"), F.greatest("bucket", "also"))
+            both = second.withColumn("bucket", pair).drop("also").distinct()
             pairs = candidates(both)
     grouped = classes.join(labels, F.col("class_key") == F.col("node"), "left").select(
         "d1", "d2", "class_key", F.coalesce("component", "class_key").alias("group_key")
