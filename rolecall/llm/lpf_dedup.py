@@ -175,19 +175,19 @@ def previous_factors(rank: np.ndarray, position: np.ndarray) -> tuple[np.ndarray
 def sort_block(block: list[tuple], least: int):
     """Runs of repeating strings of the pieces of whole anchors.
 
-    ``block``: (anchor, part, key, start, strings, bytes). Gives rows (key, start, strings,
-    kind) with kind 2 for later and 1 for first copies, and for parted anchors, whose
-    firsts are not settled, rows (anchor, string hash, key, start, kind) with kind 0 for
-    strings without a copy in their part.
+    ``block``: (anchor, part, parts, key, start, strings, bytes). Gives rows (key, start,
+    strings, kind) with kind 2 for later and 1 for first copies, and for parted anchors,
+    whose firsts are not settled, rows (anchor, parts, string hash, key, start, kind) with
+    kind 0 for strings without a copy in their part.
     """
-    raw = np.frombuffer(b"".join(x[5] for x in block), np.uint8)
-    length = np.array([len(x[5]) for x in block])
-    count = np.array([x[4] for x in block])
+    raw = np.frombuffer(b"".join(x[6] for x in block), np.uint8)
+    length = np.array([len(x[6]) for x in block])
+    count = np.array([x[5] for x in block])
     base = np.cumsum(length) - length
     piece = np.repeat(np.arange(len(block)), count)
     inner = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
     at = base[piece] + inner
-    key, start = np.array([x[2] for x in block]), np.array([x[3] for x in block])
+    key, start = np.array([x[3] for x in block]), np.array([x[4] for x in block])
     place = start[piece] + inner
     position = np.empty(len(piece), np.int64)
     position[np.lexsort((place, key[piece]))] = np.arange(len(piece))
@@ -203,8 +203,8 @@ def sort_block(block: list[tuple], least: int):
     again = np.flatnonzero(parted & (kind < 2))
     sums = ragged.prefix(raw)
     strings = ragged.span_hash(sums, at[again], at[again] + least).view(np.int64)
-    anchor = np.array([x[0] for x in block], np.int64)
-    return runs, (anchor[piece[again]], strings, key[piece[again]], place[again], kind[again])
+    anchor, parts = np.array([x[0] for x in block], np.int64), np.array([x[2] for x in block])
+    return runs, (anchor[piece[again]], parts[piece[again]], strings, key[piece[again]], place[again], kind[again])
 
 
 def copies(docs: DataFrame, least: int) -> DataFrame:
@@ -223,18 +223,19 @@ def copies(docs: DataFrame, least: int) -> DataFrame:
     is_first = (F.col("_key") == F.col("at._key")) & (F.col("start") == F.col("at.start"))
     members = told.select("_key", "start", "n", F.when(is_first, 1).otherwise(2).alias("kind"))
 
-    part = F.when(F.col("k") > HOT, F.pmod("piece", F.ceil(F.col("k") / HOT))).otherwise(F.lit(-1)).alias("part")
-    asked = classes.join(several, "anchor").select("anchor", part.cast("int"), F.col("at._key").alias("_key"), F.col("at.start").alias("start"), "n")
-    by_text = asked.groupBy("_key").agg(F.collect_list(F.struct("anchor", "part", "start", "n")).alias("wanted"))  # at most one text's pieces
+    parts = F.ceil(F.col("k") / HOT).cast("int")
+    part = F.when(parts > 1, F.pmod("piece", parts)).otherwise(F.lit(-1)).cast("int").alias("part")
+    asked = classes.join(several, "anchor").select("anchor", part, parts.alias("parts"), F.col("at._key").alias("_key"), F.col("at.start").alias("start"), "n")
+    by_text = asked.groupBy("_key").agg(F.collect_list(F.struct("anchor", "part", "parts", "start", "n")).alias("wanted"))  # at most one text's pieces
 
     def cut(batches):
         for batch in batches:
             for key, text, wanted in zip(*batch.columns, strict=True):
                 raw = text.as_py().encode()
-                own = [(w["anchor"], w["part"], key.as_py(), w["start"], w["n"], raw[w["start"] : w["start"] + w["n"] + least - 1]) for w in wanted.as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*own, strict=True)], ["anchor", "part", "_key", "start", "n", "bytes"])
+                own = [(w["anchor"], w["part"], w["parts"], key.as_py(), w["start"], w["n"], raw[w["start"] : w["start"] + w["n"] + least - 1]) for w in wanted.as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*own, strict=True)], ["anchor", "part", "parts", "_key", "start", "n", "bytes"])
 
-    sent = docs.select("_key", "text").join(by_text, "_key").mapInArrow(cut, "anchor bigint, part bigint, _key bigint, start bigint, n bigint, bytes binary")
+    sent = docs.select("_key", "text").join(by_text, "_key").mapInArrow(cut, "anchor bigint, part bigint, parts bigint, _key bigint, start bigint, n bigint, bytes binary")
 
     def sort(batches):
         block, size, last = [], 0, None
@@ -244,37 +245,51 @@ def copies(docs: DataFrame, least: int) -> DataFrame:
                     yield from found(block)
                     block, size = [], 0
                 block.append(row)
-                size, last = size + len(row[5]), row[:2]
+                size, last = size + len(row[6]), row[:2]
         if block:
             yield from found(block)
 
     def found(block):
-        (key, start, n, kind), (anchor, string, key2, start2, kind2) = sort_block(block, least)
+        (key, start, n, kind), again = sort_block(block, least)
+        none = [None] * len(key)
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([key, key2])),
-                pa.array(np.concatenate([start, start2])),
-                pa.array(np.concatenate([n, np.ones(len(key2), np.int64)])),
-                pa.array(np.concatenate([kind, kind2]).astype(np.int32)),
-                pa.array(np.concatenate([np.zeros(len(key), np.int64), anchor])),
-                pa.array(np.concatenate([np.zeros(len(key), np.int64), string]), mask=np.concatenate([np.ones(len(key), bool), np.zeros(len(key2), bool)])),
-            ],
-            ["_key", "start", "n", "kind", "anchor", "string"],
+            [pa.array(key), pa.array(start), pa.array(n), pa.array(kind.astype(np.int32)), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary())],
+            names,
         )
-
+        # strings that are first in their part go to the bucket of their hash, packed: an anchor has as many buckets as parts
+        anchor, parts, string = again[:3]
+        bucket = (string.view(np.uint64) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((bucket, anchor))
+        edges = np.flatnonzero((np.diff(anchor[order]) != 0) | (np.diff(bucket[order]) != 0)) + 1
+        for at in np.split(order, edges) if len(order) else []:
+            packed = np.stack([x[at].astype(np.int64) for x in again[2:]]).tobytes()
+            yield pa.RecordBatch.from_pylist([{"anchor": int(anchor[at[0]]), "bucket": int(bucket[at[0]]), "packed": packed}], schema=arrow)
+
+    def settle(table: pa.Table) -> pa.Table:
+        """Runs of the strings of one bucket of a parted anchor: at most one row per string and part comes in."""
+        string, key, start, kind = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(4, -1) for x in table["packed"]], axis=1)
+        order = np.lexsort((start, key, string))
+        string, key, start, kind = (x[order] for x in (string, key, start, kind))
+        a, b = ragged.runs(string)
+        kind = np.where(np.repeat(b - a, b - a) > 1, 2, kind)
+        kind[a] = np.where(b - a > 1, 1, kind[a])
+        some = np.flatnonzero(kind > 0)
+        some = some[np.lexsort((start[some], key[some], kind[some]))]
+        key, start, kind = key[some], start[some], kind[some]
+        new = np.ones(len(some), bool)
+        new[1:] = (np.diff(key) != 0) | (np.diff(kind) != 0) | (np.diff(start) != 1)
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(some)))
+        return pa.table([pa.array(key[first]), pa.array(start[first]), pa.array(n), pa.array(kind[first].astype(np.int32))], names=names[:4])
+
+    names = ["_key", "start", "n", "kind", "anchor", "bucket", "packed"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    arrow = pa.schema(list(zip(names, types, strict=True)))
+    run = "_key bigint, start bigint, n bigint, kind int"
     dealt = sent.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    sorted_runs = staged(dealt.mapInArrow(sort, "_key bigint, start bigint, n bigint, kind int, anchor bigint, string bigint"), "runs")
-    settled = sorted_runs.filter("string is null").select("_key", "start", "n", "kind")
-    # strings of parted anchors that are first in their part: one row per string and part at most
-    open_ones = sorted_runs.filter("string is not null")
-    tops = open_ones.groupBy("anchor", "string").agg(F.min(F.struct("_key", "start")).alias("top"), F.count(F.lit(1)).alias("k"))
-    ahead = (F.col("_key") == F.col("top._key")) & (F.col("start") == F.col("top.start"))
-    merged = (
-        open_ones.join(tops, ["anchor", "string"])
-        .withColumn("kind", F.when(~ahead, 2).when(F.col("k") > 1, 1).otherwise(F.col("kind")))
-        .filter("kind > 0")
-        .select("_key", "start", "n", "kind")
-    )
+    sorted_runs = staged(dealt.mapInArrow(sort, f"{run}, anchor bigint, bucket bigint, packed binary"), "runs")
+    settled = sorted_runs.filter("packed is null").select("_key", "start", "n", "kind")
+    merged = sorted_runs.filter("packed is not null").select("anchor", "bucket", "packed").groupBy("anchor", "bucket").applyInArrow(settle, run)
     return settled.unionByName(members).unionByName(merged)
 
 
