@@ -10,17 +10,17 @@ earliest point. Two registers agree with exactly the weighted Jaccard similarity
 can't matter, so the processes stop early.
 
 Texts with equal words are one class; only one row of each class is compared. Registers
-are banded; classes that share a band meet in a bucket. A bucket is never expanded into
-all its pairs unless few of its classes are unconnected:
+are banded; classes that share a band meet in a bucket. No bucket is left before all its
+pairs of different components are compared, and only small ones become rows of pairs:
 
 1. a bucket's pivot is the class that shares most buckets with others, the likely
    original of a family of copies; every class is compared with the best of its pivots;
 2. components are formed from the verified links;
-3. buckets that still hold several components are taken up again: with at most
-   ``SMALL`` classes by all pairs across components, else by comparing their pivot with
-   the classes not connected to it, which then go on among themselves;
-4. what is left after ``ROUNDS`` of this is compared in sub-buckets that agree in a second
-   band as well.
+3. buckets of at most ``SMALL`` classes that still hold several components are compared by
+   all pairs across components;
+4. in larger ones that still do, every class outside the largest component meets all
+   classes of the bucket, connected or not, blocks by blocks inside a task, which sends one
+   link for each two components that it finds connected.
 
 Links are verified by the exact multiset overlap.
 
@@ -44,9 +44,10 @@ from rolecall.session import staged
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
-#: Unconnected classes of a bucket that are compared by all pairs across components.
+#: Classes of a bucket that are compared by rows of pairs; larger buckets are compared in blocks.
 SMALL = 12
-ROUNDS = 3
+#: Classes and shingles of a block, in expectation.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Keys (8 bytes each) that may be broadcast; above it the texts are joined by key.
 FEW_KEYS = 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -212,18 +213,103 @@ def nearest_pivots(buckets: DataFrame) -> DataFrame:
 
 
 def candidates(buckets: DataFrame) -> DataFrame:
-    """Pairs still to compare: classes with their bucket's pivot or, if few are in it, across all its components."""
-    told = buckets.join(_shape(buckets), "bucket")
-    star = told.filter((F.col("component") != F.col("top.component")) & (F.col("n") > SMALL))
-    few = told.filter(F.col("n") <= SMALL)
+    """All pairs across components of the buckets of at most ``SMALL`` classes."""
+    few = buckets.join(_shape(buckets).filter(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
     held = few.groupBy("bucket").agg(F.collect_list(F.struct("_key", "component")).alias("held"))  # at most SMALL
     one = held.select(F.explode("held").alias("x"), "held")
     across = one.select("x", F.explode("held").alias("y")).filter("x._key < y._key and x.component <> y.component")
-    return _ordered(
-        star.select(F.col("_key").alias("a"), (-F.col("top.low")).alias("b")).unionByName(
-            across.select(F.col("x._key").alias("a"), F.col("y._key").alias("b"))
-        )
+    return _ordered(across.select(F.col("x._key").alias("a"), F.col("y._key").alias("b")))
+
+
+def blocks(buckets: DataFrame, held: DataFrame) -> DataFrame:
+    """(seekers, targets) of the buckets (bucket, _key, component) of more than ``SMALL`` classes in several components.
+
+    Both are lists of (_key, component, bag), the bags from ``held`` (_key, bag, shingles). Every class outside a
+    bucket's largest component is among the seekers of rows whose targets are, together, all classes of the bucket.
+    """
+    told = buckets.join(held.select("_key", "shingles"), "_key")
+    sizes = told.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("shingles"))
+    total = [F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "component", "shingles")).alias("top")]
+    shape = sizes.groupBy("bucket").agg(*total).filter((F.col("n") > F.col("top.n")) & (F.col("n") > SMALL))
+    parts = lambda n, shingles: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(shingles / F.lit(BLOCK_SHINGLES))).cast("int")
+    shape = shape.select(
+        "bucket",
+        F.col("top.component").alias("main"),
+        parts(F.col("n") - F.col("top.n"), F.col("shingles") - F.col("top.shingles")).alias("of_s"),
+        parts(F.col("n"), F.col("shingles")).alias("of_t"),
     )
+    whole = buckets.select("bucket", "_key", "component").join(shape, "bucket").join(held.select("_key", "bag"), "_key")
+
+    def packed(members, part, of, other, name):
+        """The members in ``of`` parts by key, once for each part of the other side."""
+        dealt = members.withColumn(part, F.pmod(F.xxhash64("_key"), F.col(of)).cast("int"))
+        lists = dealt.groupBy("bucket", part, f"of_{other}").agg(F.collect_list(F.struct("_key", "component", "bag")).alias(name))
+        return lists.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"of_{other}") - 1))).drop(f"of_{other}")
+
+    seekers = packed(whole.filter("component <> main"), "s", "of_s", "t", "seekers")
+    return seekers.join(packed(whole, "t", "of_t", "s", "targets"), ["bucket", "s", "t"]).select("seekers", "targets")
+
+
+def occurrences(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One hash per shingle and place among its repeats, so that shared ones are the sum of minima; and the bags' starts."""
+    size = np.array([len(b) for b in bags])
+    starts = np.cumsum(size) - size
+    values, owner = np.concatenate(bags), np.repeat(np.arange(len(bags)), size)
+    first, end = ragged.runs(ragged.mix(values) + owner.astype(np.uint64))
+    place = np.arange(len(values)) - np.repeat(first, end - first)
+    return ragged.mix(values + GOLDEN * place.astype(np.uint64)), starts
+
+
+def forest(keys: np.ndarray, component: np.ndarray, bags: list[np.ndarray], seekers: int, threshold: float) -> list[tuple[int, int, float]]:
+    """Links (a, b, similarity) of the first ``seekers`` to the others, one for each two components that are thereby connected."""
+    hashes, starts = occurrences(bags)
+    _, number = np.unique(hashes, return_inverse=True)
+    size = np.diff(np.append(starts, len(hashes)))
+    cut = starts[seekers]
+    targets, begins = number[cut:], starts[seekers:] - cut
+    mark = np.zeros(len(hashes), np.int32)
+    root = {c: c for c in component.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for x in range(seekers):
+        own = number[starts[x] : starts[x] + size[x]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[targets], begins)
+        mark[own] = 0
+        similar = shared / (size[x] + size[seekers:] - shared)
+        near = seekers + np.flatnonzero((similar >= threshold) & (component[seekers:] != component[x]))
+        for y in near[np.unique(component[near], return_index=True)[1]].tolist():
+            low, high = sorted((find(int(component[x])), find(int(component[y]))))
+            if low != high:
+                root[high] = low
+                out.append((*sorted((int(keys[x]), int(keys[y]))), float(similar[y - seekers])))
+    return out
+
+
+def block_links(buckets: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): links that connect whatever is connected within a large bucket."""
+    some = buckets.join(_shape(buckets).filter(F.col("n") > SMALL).select("bucket"), "bucket", "left_semi")
+    some = staged(some.select("bucket", "_key", "component"), "open")
+    held = staged(bag_rows(fetch(docs, some.select("_key").distinct())).withColumn("shingles", F.length("bag") / 8), "bags")
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for row in range(batch.num_rows):
+                sides = [batch.column(c).slice(row, 1).flatten().flatten() for c in (0, 1)]
+                keys, component = (np.concatenate([side[k].to_numpy() for side in sides]) for k in (0, 1))
+                bags = [np.frombuffer(b.as_buffer(), np.uint64) for side in sides for b in side[2]]
+                out += forest(keys, component, bags, len(sides[0][0]), threshold)
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            kinds = [pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "similarity"])
+
+    return blocks(some, held).mapInArrow(work, "a bigint, b bigint, similarity double").dropDuplicates(["a", "b"])
 
 
 def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -255,36 +341,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     buckets = staged(met.join(weight, "_key").select("bucket", "_key", "weight", F.col("_key").alias("component")), "buckets")
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a bigint, b bigint, similarity double")
-    compared = spark.createDataFrame([], "a bigint, b bigint")
     labels = spark.createDataFrame([], "node bigint, component bigint")
-    pairs = nearest_pivots(buckets)
-    for turn in range(ROUNDS + 2):
-        fresh = staged(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        if fresh.limit(1).count():
-            found = staged(verify(fresh, docs, threshold), "links")
-            compared = compared.unionByName(fresh)
-            if found.limit(1).count():
-                links = links.unionByName(found)
-                labels = _merged(labels, found)
-        if turn > ROUNDS:
+    steps = (
+        lambda met: verify(staged(nearest_pivots(met), "pairs"), docs, threshold),
+        lambda met: verify(staged(candidates(met), "pairs"), docs, threshold),
+        lambda met: block_links(met, docs, threshold),
+    )
+    for step in steps:
+        found = staged(step(buckets), "links")
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            labels = _merged(labels, found)
+        if step is steps[-1]:
             break
         known = buckets.drop("component").join(labels, F.col("_key") == F.col("node"), "left").select(
             "bucket", "_key", "weight", F.coalesce("component", "_key").alias("component")
         )
-        told = known.join(_shape(known), "bucket")
-        if turn:  # small buckets are done, and so is what their pivot is connected to, or what it was compared with
-            told = told.filter((F.col("n") > SMALL) & (F.col("component") != F.col("top.component")))
-        buckets = staged(told.select("bucket", "_key", "weight", "component"), "buckets")
+        buckets = staged(known.join(_shape(known).select("bucket"), "bucket", "left_semi"), "buckets")
         if not buckets.limit(1).count():
             break
-        if turn < ROUNDS:
-            pairs = candidates(buckets)
-        else:  # what is left meets again where it agrees in a second band
-            other = met.select("_key", F.col("bucket").alias("also"))  # only bands that another class has, too
-            second = buckets.join(other, "_key").filter(F.col("also") != F.col("bucket"))
-            pair = F.xxhash64(F.least("bucket", "also"), F.greatest("bucket", "also"))
-            both = second.withColumn("bucket", pair).drop("also").distinct()
-            pairs = candidates(both)
     grouped = classes.join(labels, F.col("class_key") == F.col("node"), "left").select(
         "d1", "d2", "class_key", F.coalesce("component", "class_key").alias("group_key")
     )

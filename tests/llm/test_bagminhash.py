@@ -91,6 +91,18 @@ def test_a_large_family_meets_through_its_original(spark):
     assert np.mean([want[k] == got[k] for k in texts]) > 0.99
 
 
+def chains(seed, size):
+    """A base, copies of it, and copies of these that are mostly unlike the base and each other."""
+    base = prose(seed, 200)
+    first = [edited(base, 4, 10_000 * seed + i) for i in range(size)]
+    return [base, *first, *(edited(text, 4, 10_000 * seed + 5000 + i) for i, text in enumerate(first))]
+
+
+def test_copies_of_copies_meet_in_large_buckets(spark):
+    texts = dict(enumerate(chains(21, 150)))
+    assert groups(spark, texts) == brute(texts)
+
+
 def test_weights_count(spark):
     run = prose(3, 6)
     texts = {1: " ".join([run] * 10), 2: " ".join([run] * 11), 3: " ".join([run] * 40)}
