@@ -103,6 +103,17 @@ def test_copies_of_copies_meet_in_large_buckets(spark):
     assert groups(spark, texts) == brute(texts)
 
 
+def test_every_bucket_is_settled_however_many_families_it_holds(spark):
+    base = prose(31, 200)
+    heads = [edited(base, 8, i) for i in range(6)]  # share buckets, but are no near copies
+    texts = {}
+    for family, head in enumerate(heads):
+        first = [edited(head, 4, 100 * family + i) for i in range(16)]
+        second = [edited(text, 4, 5000 + 100 * family + i) for i, text in enumerate(first)]
+        texts |= {1000 * family + i: text for i, text in enumerate([*first, *second])}
+    assert groups(spark, texts) == brute(texts)
+
+
 def test_weights_count(spark):
     run = prose(3, 6)
     texts = {1: " ".join([run] * 10), 2: " ".join([run] * 11), 3: " ".join([run] * 40)}
