@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rolecall.llm.bagminhash import op9_bagminhash
 from rolecall.llm.brown import op2_brown
+from rolecall.llm.collocations import OP11_SQL, op11_collocations
 from rolecall.llm.decontaminate import OP1_SQL, op1_decontaminate
 from rolecall.llm.langid import op7_langid
 from rolecall.llm.license_scan import op6_license_scan
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_bagminhash": op9_bagminhash,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
 }
-SQL = {"op1_decontaminate": OP1_SQL, "op3_line_rules": OP3_SQL, "op8_warc": OP8_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op3_line_rules": OP3_SQL, "op8_warc": OP8_SQL, "op11_collocations": OP11_SQL}
