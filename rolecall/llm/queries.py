@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rolecall.llm.bagminhash import op9_bagminhash
 from rolecall.llm.brown import op2_brown
+from rolecall.llm.cap_filters import OP12_SQL, op12_cap_filters
 from rolecall.llm.collocations import OP11_SQL, op11_collocations
 from rolecall.llm.decontaminate import OP1_SQL, op1_decontaminate
 from rolecall.llm.langid import op7_langid
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_bagminhash": op9_bagminhash,
     "op10_packing": op10_packing,
     "op11_collocations": op11_collocations,
+    "op12_cap_filters": op12_cap_filters,
 }
-SQL = {"op1_decontaminate": OP1_SQL, "op3_line_rules": OP3_SQL, "op8_warc": OP8_SQL, "op11_collocations": OP11_SQL}
+SQL = {"op1_decontaminate": OP1_SQL, "op3_line_rules": OP3_SQL, "op8_warc": OP8_SQL, "op11_collocations": OP11_SQL, "op12_cap_filters": OP12_SQL}
