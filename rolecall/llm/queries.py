@@ -12,6 +12,7 @@ from rolecall.llm.license_scan import op6_license_scan
 from rolecall.llm.line_rules import OP3_SQL, op3_line_rules
 from rolecall.llm.lpf_dedup import op4_lpf_dedup
 from rolecall.llm.packing import op10_packing
+from rolecall.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from rolecall.llm.toxicity import op5_toxicity
 from rolecall.llm.warc import OP8_SQL, op8_warc
 
@@ -28,5 +29,13 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_collocations": op11_collocations,
     "op12_cap_filters": op12_cap_filters,
+    "op13_prefix_trie": op13_prefix_trie,
+}
+SQL = {
+    "op1_decontaminate": OP1_SQL,
+    "op3_line_rules": OP3_SQL,
+    "op8_warc": OP8_SQL,
+    "op11_collocations": OP11_SQL,
+    "op12_cap_filters": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
-SQL = {"op1_decontaminate": OP1_SQL, "op3_line_rules": OP3_SQL, "op8_warc": OP8_SQL, "op11_collocations": OP11_SQL, "op12_cap_filters": OP12_SQL}
