@@ -338,10 +338,13 @@ def remove(docs: DataFrame, least: int = 400, keep: str = "first", carry: tuple[
 
 
 def op4_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole document without the bytes covered by repeating 400-byte strings, first copies included."""
+    """Every whole document without the bytes covered by repeating 400-byte strings, first copies included.
+
+    ``kept_text`` is what is left of the text.
+    """
     docs = rows.keyed(rows.table(spark, sf_dir, "documents"), "doc_id", "text")
     found = remove(docs, 400, "none", ("_id",))
-    return found.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: int = 256) -> DataFrame:

@@ -99,7 +99,7 @@ def test_nearest_smaller():
 
 def test_stage_and_odd_rows(spark, odd_docs, sf):
     got = op4_lpf_dedup(spark, sf.write("documents", odd_docs))
-    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     assert got.count() == odd_docs.count()
     base = len(prose(1, 120))
     assert got.filter(f"n_removed = {base}").count() == 4
