@@ -28,7 +28,8 @@ def test_renumber_keeps_rows_without_an_id(spark):
 def test_renumber_reads_the_table_twice(spark, tmp_path):
     fx.postings(spark, SF).drop("posted_text").write.parquet(f"{tmp_path}/posts")
     plan = plan_of(maintain(spark.read.parquet(f"{tmp_path}/posts"))).split("== Initial Plan ==")[-1]
-    scans = [line for line in plan.splitlines() if "FileScan" in line and "/posts" in line]
+    # known by a column, as long locations are cut in the plan's text
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "job_title#" in line]
     assert len(scans) == 1  # the other pass has read the ids and stored their blocks
 
 
