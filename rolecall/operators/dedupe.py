@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..schema import UNIQUE_KEY, accepted, clip_to_schema
+from ..schema import UNIQUE_KEY, WIDTHS, accepted, clip_to_schema
 from .ids import with_ids
 
 
@@ -54,6 +54,11 @@ def new_rows(existing: DataFrame, batch: DataFrame, order: str, keys: _Spec = UN
     return first.join(stored, same, "left_anti").drop(*names, "_loose")
 
 
+def key_columns(keys: _Spec = UNIQUE_KEY) -> list[Column]:
+    """The key as it is compared: clipped and without case."""
+    return [F.lower(F.left(F.col(k), F.lit(WIDTHS[k])) if k in WIDTHS else F.col(k)) for k in keys]
+
+
 def insertable(
     existing: DataFrame, batch: DataFrame, order: str, keys: _Spec = UNIQUE_KEY, scraped_at=None
 ) -> DataFrame:
@@ -62,7 +67,7 @@ def insertable(
     Rows that miss a required column are refused (``rejected_postings`` lists them).
     ``scraped_at`` is the time for rows that have none.
     """
-    fresh = with_ids(existing, new_rows(existing, accepted(batch), order, keys))
+    fresh = with_ids(existing, new_rows(existing, accepted(batch), order, keys), order)
     if "scraped_at" in fresh.columns and scraped_at is not None:
         fresh = fresh.withColumn("scraped_at", F.coalesce("scraped_at", F.lit(scraped_at).cast("timestamp")))
     return fresh

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,12 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    configured = configured or context.getCheckpointDir()
     if configured:
-        if not context.master.startswith("local") and ":" not in configured and _scheme(spark, configured) == "file":
+        if not context.master.startswith("local") and _machine_local(spark, configured):
             raise RuntimeError(f"spark.checkpoint.dir={configured} is local to each machine; name a shared file system")
         return configured
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     own = tempfile.mkdtemp(prefix="rolecall-")
@@ -55,19 +56,47 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def _scheme(spark: SparkSession, path: str) -> str:
-    """Scheme of the file system that ``path`` resolves to."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
+def _machine_local(spark: SparkSession, path: str) -> bool:
+    """True for a plain path on machines' own disks, and for a temporary folder even if named as ``file:``.
 
-
-def drop_staged(spark: SparkSession) -> None:
-    """Delete the tables this process has staged; call it once their results are written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        place = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        place.getFileSystem(conf).delete(place, True)
+    ``file:`` with another folder may be a mount that all machines share; who names it so, decides.
+    """
+    scheme, _, rest = path.partition(":") if ":" in path else ("", "", path)
+    if scheme == "file":
+        place = os.path.normpath("/" + rest.lstrip("/"))
+        return any(f"{place}/".startswith(f"{temporary}/") for temporary in {tempfile.gettempdir(), "/tmp", "/var/tmp"})
+    return not scheme and file_system(spark, path)[0].getUri().getScheme() == "file"
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path``, and the path as it takes it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def read_if_present(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The Parquet table, or an empty one where nothing has been written yet."""
+    files, place = file_system(spark, path)
+    if files.exists(place):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
+def drop_staged(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables this process has staged, or those after the first ``since``; call it once their results are written."""
+    while len(_STAGED) > since:
+        files, place = file_system(spark, _STAGED.pop())
+        files.delete(place, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block are deleted at its end; write the result before it ends."""
+    since = len(_STAGED)
+    try:
+        yield
+    finally:
+        drop_staged(spark, since)
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
