@@ -97,21 +97,35 @@ def pieces(data: np.ndarray, offsets: np.ndarray, least: int):
     return text[starts], first, count, ragged.mix(value[anchor[starts]]).view(np.int64), whole.view(np.int64)
 
 
+def fold(text: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray, whole: np.ndarray):
+    """The same with ``times``: equal pieces in a row, as a repeated character or line gives, are one entry."""
+    new = np.ones(len(text), bool)
+    for x in (text, n, anchor, whole):
+        new[1:] &= x[1:] == x[:-1]
+    new[1:] = ~(new[1:] & (start[1:] == start[:-1] + n[:-1]))
+    first = np.flatnonzero(new)
+    return *(x[first] for x in (text, start, n, anchor, whole)), np.diff(np.append(first, len(text)))
+
+
 def piece_rows(docs: DataFrame, least: int) -> DataFrame:
-    """(anchor, piece, _key, start, n) of every piece of ``docs`` (_key, text)."""
+    """(anchor, piece, _key, start, n, times) of every piece of ``docs`` (_key, text); ``times`` equal ones follow each other."""
 
     def work(batches):
         for batch in batches:
             data, offsets = ragged.texts(batch.column(1))
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for own, base, d, o in segments(data, offsets, least):
-                text, start, count, anchor, whole = pieces(d, o, least)
+                text, start, count, anchor, whole, times = fold(*pieces(d, o, least))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(whole), pa.array(keys[own[text]]), pa.array(start - o[text] + base[text]), pa.array(count.astype(np.int32))],
-                    ["anchor", "piece", "_key", "start", "n"],
+                    [
+                        *map(pa.array, (anchor, whole, keys[own[text]], start - o[text] + base[text])),
+                        pa.array(count.astype(np.int32)),
+                        pa.array(times.astype(np.int32)),
+                    ],
+                    ["anchor", "piece", "_key", "start", "n", "times"],
                 )
 
-    return docs.select("_key", "text").mapInArrow(work, "anchor bigint, piece bigint, _key bigint, start bigint, n int")
+    return docs.select("_key", "text").mapInArrow(work, "anchor bigint, piece bigint, _key bigint, start bigint, n int, times int")
 
 
 def ranks(data: np.ndarray, least: int) -> np.ndarray:
@@ -210,10 +224,10 @@ def sort_block(block: list[tuple], least: int):
 def copies(docs: DataFrame, least: int) -> DataFrame:
     """(_key, start, n, kind): runs of strings that repeat in ``docs`` (_key, text); kind 2: later, 1: first copies."""
     all_pieces = staged(piece_rows(docs, least), "pieces")
-    met = all_pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("anchor")
+    met = all_pieces.groupBy("anchor").agg(F.sum("times").alias("k")).filter("k > 1").select("anchor")
     shared = staged(all_pieces.join(met, "anchor", "left_semi"), "shared-pieces")
     classes = staged(
-        shared.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_key", "start")).alias("at"), F.max("n").alias("n")),
+        shared.groupBy("anchor", "piece").agg(F.sum("times").alias("copies"), F.min(F.struct("_key", "start")).alias("at"), F.max("n").alias("n")),
         "piece-classes",
     )
     several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
@@ -221,7 +235,12 @@ def copies(docs: DataFrame, least: int) -> DataFrame:
     many = classes.filter("copies > 1").select("anchor", "piece", "at")
     told = shared.join(many, ["anchor", "piece"])
     is_first = (F.col("_key") == F.col("at._key")) & (F.col("start") == F.col("at.start"))
-    members = told.select("_key", "start", "n", F.when(is_first, 1).otherwise(2).alias("kind"))
+    covered = (F.col("n") * F.col("times")).alias("n")
+    first = told.filter(is_first).select("_key", "start", "n", F.lit(1).alias("kind"))
+    after = told.filter(is_first & (F.col("times") > 1)).select(
+        "_key", (F.col("start") + F.col("n")).alias("start"), (F.col("n") * (F.col("times") - 1)).alias("n"), F.lit(2).alias("kind")
+    )
+    members = told.filter(~is_first).select("_key", "start", covered, F.lit(2).alias("kind")).unionByName(first).unionByName(after)
 
     parts = F.ceil(F.col("k") / HOT).cast("int")
     part = F.when(parts > 1, F.pmod("piece", parts)).otherwise(F.lit(-1)).cast("int").alias("part")
