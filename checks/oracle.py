@@ -502,3 +502,56 @@ FROM recommended GROUP BY candidate_id, lower(source)""")
 SQL["stream_ingest"] = _sql(_POST, """
 SELECT job_title, company, source, CASE WHEN source IS NULL THEN count(*) ELSE 1 END AS rows
 FROM (SELECT job_title, company, CASE WHEN id % 10 <> 0 THEN source END AS source FROM postings) GROUP BY job_title, company, source""")
+
+# Crawls ---------------------------------------------------------------------
+
+_SIGHTINGS = f"""
+, sightings AS (SELECT CASE WHEN id % 13 = 0 THEN '' WHEN id % 7 = 0 THEN 'https://jobs.example.com/' || (id - id % {5 * fx.LISTING_PAGE}) ELSE job_link END AS url,
+    role, id // {fx.LISTING_PAGE} + 1 AS page, min(id) OVER (PARTITION BY id // {fx.LISTING_PAGE}, role) AS page_id,
+    row_number() OVER (PARTITION BY id // {fx.LISTING_PAGE}, role ORDER BY id) - 1 AS pos FROM postings),
+links0 AS (SELECT * FROM sightings WHERE url <> '' AND page <= 2 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, pos) = 1),
+links1 AS (SELECT * FROM sightings WHERE url <> '' QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, pos) = 1),
+links AS (SELECT 0 AS batch_id, * FROM links0 UNION ALL SELECT 1, * FROM links1 WHERE url NOT IN (SELECT url FROM links0)),
+ranked_links AS (SELECT *, row_number() OVER (PARTITION BY batch_id, role ORDER BY page, page_id, pos) AS place FROM links WHERE page <= 5),
+followed AS (SELECT batch_id, url, role FROM ranked_links WHERE place <= 10)"""
+SQL["crawl_frontier"] = _chain(_POST, _SIGHTINGS, """
+SELECT batch_id, url, role, page, page_id, pos, url IN (SELECT url FROM followed f WHERE f.batch_id = l.batch_id) AS taken FROM links l""")
+SQL["discover_and_ingest"] = _chain(
+    (*_POST, "skill_dim"),
+    _DETAIL.replace("{posts}", "postings"),
+    _CARDS.replace("{posts}", "postings"),
+    _SIGHTINGS,
+    """
+, quota_cards AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY page, pos) AS rn FROM cards WHERE page + 1 <= 3) WHERE rn <= 30),
+batch AS (
+  SELECT batch_id, job_link, job_title, company, 'LinkedIn' AS source, f.role, applicants, coalesce(skills, 'Not Available') AS skills_required,
+         0 AS kind, page_id AS a, 0 AS b FROM detail d JOIN followed f ON f.url = d.job_link LEFT JOIN found ON body = lower(job_description)
+  UNION ALL
+  SELECT 0 AS batch_id, job_link, job_title, company, 'Naukri' AS source, role, applicants, skills_required, 1 AS kind,
+         (SELECT min(id) FROM listed l WHERE l.page = c.page AND l.role = c.role) AS a, pos AS b FROM quota_cards c),
+firsts AS (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY lower(job_title), lower(company), source ORDER BY batch_id, kind, a, b) = 1)
+SELECT batch_id, row_number() OVER (ORDER BY batch_id, kind, a, b) AS id, job_link, job_title, company, source, role, applicants, skills_required
+FROM firsts""",
+)
+SQL["stream_batches"] = _sql(_POST, f"""
+, arrivals AS (SELECT id AS arrival, job_title, company, CASE WHEN id % 10 <> 0 THEN source END AS source,
+    CASE WHEN posted_date < DATE '1994-01-01' THEN 0 WHEN posted_date < DATE '{SPLIT_DATE}' THEN 1 ELSE 2 END AS part FROM postings),
+firsts AS (SELECT * FROM arrivals
+  QUALIFY source IS NULL OR row_number() OVER (PARTITION BY lower(job_title), lower(company), lower(source) ORDER BY part, arrival) = 1)
+SELECT greatest(part, 1) AS batch_id, row_number() OVER (ORDER BY part, arrival) AS id, arrival, job_title, company, source FROM firsts
+""").replace(") , arrivals", "), arrivals")
+SQL["read_source"] = _sql(_POST, """
+SELECT id, CASE WHEN id % 10 <> 0 THEN source END AS source, CAST(posted_date AS VARCHAR) AS posted_date FROM postings
+WHERE (id % 10 = 0 OR lower(source) = 'naukri') AND posted_date >= DATE '1996-01-01'""")
+SQL["run_report_totals"] = _sql(_POST, f"""
+, marked AS (SELECT *, {_VALID} AS stays, ({_LEVEL_CASE}) IS DISTINCT FROM experience_level AS changes FROM postings)
+SELECT CASE WHEN grouping(source) = 0 AND grouping(role) = 0 THEN 'source and role' WHEN grouping(source) = 0 THEN 'source'
+            WHEN grouping(role) = 0 THEN 'role' ELSE 'total' END AS scope, source, role,
+       count(*) AS rows_before, count(*) FILTER (stays) AS rows_after, 0 AS inserted, count(*) FILTER (NOT stays) AS deleted,
+       count(*) FILTER (stays AND changes) AS updated FROM marked GROUP BY CUBE (source, role)""").replace(") , marked", "), marked")
+SQL["checked_postings"] = _sql(_POST, """
+SELECT source, count(*) FILTER (id % 11 <> 0) AS accepted, count(*) FILTER (id % 11 = 0) AS refused FROM postings GROUP BY source""")
+SQL["missing_ids"] = _sql(_POST, """
+SELECT count(*) AS n, count(*) AS distinct_ids, count(*) FILTER (id % 10 <> 0) AS kept FROM postings""")
+SQL["fetch_time"] = """
+SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS fetched FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""

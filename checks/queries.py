@@ -15,13 +15,17 @@ from rolecall.functions import bands, dates, text as t, vectors
 from rolecall.functions.embed import embed_text as embed
 from rolecall.operators import filters, ids, reports, roles as ro, skills as sk
 from rolecall.operators.dedupe import append_ignore as append_rows
+from rolecall.operators.frontier import seen_links, visit
 from rolecall.operators.quota import crawl_quota as quota_per_title, quota_rank as rank_by_quota
 from rolecall.operators.search import search_postings as search
 from rolecall.plans import ingest as ing, present, profile as prof, recommend as rec
 from rolecall.plans.maintain import maintain as maintain_table, normalise_levels as levels, normalise_levels_by_table
+from rolecall.schema import POSTING_SCHEMA, rejected_postings, validate_postings
 from rolecall.session import fresh_dir, staged
 from rolecall.sources import pages as pg, uploads
-from rolecall.streaming.ingest import posting_stream, stream_ingest as start_ingest
+from rolecall.sources.batches import read_batches
+from rolecall.sources.tables import read_postings, write_postings
+from rolecall.streaming.ingest import append_batch, compact_table, posting_stream, stream_ingest as start_ingest
 
 SPLIT_DATE = "1998-04-01"
 
@@ -380,6 +384,30 @@ def ingest_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def discover_and_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Three crawls, the second run twice and the third over the pages of the second: the table they leave."""
+    folder = fresh_dir(spark, "crawl")
+    posts = staged(fx.postings(spark, sf), "posts")
+    searches, pages = fx.search_pages(posts), fx.posting_pages(posts)
+    listings, details = fx.listing_pages(posts).withColumn("page", F.col("page") + 1), fx.listing_details(posts)
+    for batch_id, last in ((0, 2), (1, 10**9), (1, 10**9), (2, 10**9)):
+        ing.discover_and_ingest(
+            f"{folder}/table", f"{folder}/frontier", batch_id, searches.filter(F.col("page") <= last), pages, listings, details,
+            _skills(spark), AS_OF,
+        )
+    found = read_batches(spark, f"{folder}/table", POSTING_SCHEMA)
+    return found.select("batch_id", "id", "job_link", "job_title", "company", "source", "role", "applicants", "skills_required")
+
+
+def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of two crawls with their first sighting, and which the quota took."""
+    folder = fresh_dir(spark, "frontier")
+    searches = staged(fx.search_pages(fx.postings(spark, sf)), "searches")
+    for batch_id, last in ((0, 2), (1, 10**9)):
+        visit(searches.filter(F.col("page") <= last), folder, batch_id, ing.DETAIL_LIMITS)
+    return seen_links(spark, folder).select("batch_id", "url", "role", "page", "page_id", "pos", "taken")
+
+
 def upload_routing(spark: SparkSession, sf: str) -> DataFrame:
     return uploads.route_uploads(fx.files(spark, sf)).select("doc_id", "status", "reason")
 
@@ -514,6 +542,59 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return keys.groupBy("job_title", "company", "source").agg(F.count("*").alias("rows"))
 
 
+def stream_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches of postings without ids, the last one replayed, the others joined, and all keys once more."""
+    table = fresh_dir(spark, "batches")
+    posts = fx.postings(spark, sf).drop("posted_text", "embedding")
+    posts = posts.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("arrival", F.col("id"))
+    posts = posts.withColumn("source", F.when(F.col("id") % 10 != 0, F.col("source"))).withColumn("id", F.lit(None).cast("long"))
+    posts = staged(posts, "arrivals")
+    part = F.when(F.col("posted_date") < F.lit("1994-01-01"), 0).when(F.col("posted_date") < F.lit(SPLIT_DATE), 1).otherwise(2)
+    for batch_id in (0, 1, 2, 2):
+        append_batch(posts.filter(part == batch_id), batch_id, table, "arrival")
+    compact_table(spark, table, posts.schema)
+    append_batch(posts.filter("source is not null"), 3, table, "arrival")
+    found = read_batches(spark, table, posts.schema)
+    return found.select("batch_id", "id", "arrival", "job_title", "company", "source")
+
+
+def read_source(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored postings of one source and of none, from one day on."""
+    folder = fresh_dir(spark, "by-source")
+    posts = fx.postings(spark, sf).drop("posted_text")
+    write_postings(posts.withColumn("source", F.when(F.col("id") % 10 != 0, F.col("source"))), folder)
+    found = read_postings(spark, folder, ["NAUKRI", ""], "1996-01-01")
+    return found.select("id", "source", F.col("posted_date").cast("string").alias("posted_date"))
+
+
+def run_report_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What cleaning and level normalisation delete and update, per source and role and in totals."""
+    posts = fx.postings(spark, sf)
+    return reports.change_report(posts, levels(filters.clean_invalid(posts)))
+
+
+def checked_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted and refused rows per source, where every eleventh posting misses its company."""
+    posts = fx.postings(spark, sf).drop("posted_text")
+    posts = posts.withColumn("company", F.when(F.col("id") % 11 != 0, F.col("company")))
+    good = validate_postings(posts).select("source", F.lit(1).alias("a"), F.lit(0).alias("r"))
+    refused = rejected_postings(posts).select("source", F.lit(0).alias("a"), F.lit(1).alias("r"))
+    return good.unionByName(refused).groupBy("source").agg(F.sum("a").alias("accepted"), F.sum("r").alias("refused"))
+
+
+def missing_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Random ids for every tenth posting: how many ids there are, how many differ, how many stayed."""
+    posts = fx.postings(spark, sf).select(F.col("id").alias("old"), F.when(F.col("id") % 10 != 0, F.col("id")).alias("id"))
+    named = filters.with_id(posts)
+    return named.agg(
+        F.count("id").alias("n"), F.countDistinct("id").alias("distinct_ids"), F.count_if(F.col("id") == F.col("old").cast("string")).alias("kept")
+    )
+
+
+def fetch_time(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.postings(spark, sf).select("id", dates.fetch_time(F.col("scraped_at")).alias("fetched"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -525,6 +606,7 @@ QUERIES = {
         profile, applicant_count, job_type, page_fields, posting_page_fields, page_links, page_cards,
         card_details, crawl_quota, ingest_pages, upload_routing, assemble_text, embed_text, cosine_scores,
         quota_rank, recommend, resume_recommendations, views_all, views_recent, views_high, views_source, paging, source_list,
-        stream_ingest,
+        stream_ingest, discover_and_ingest, crawl_frontier, stream_batches, read_source, run_report_totals, checked_postings,
+        missing_ids, fetch_time,
     )
 }

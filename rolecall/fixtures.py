@@ -272,6 +272,23 @@ def listing_pages(posts: DataFrame) -> DataFrame:
     )
 
 
+def search_pages(posts: DataFrame) -> DataFrame:
+    """Search pages with a link per posting: ``id % 13 = 0`` gives an empty one, ``id % 7 = 0`` one that other pages hold too."""
+    k = F.col("id")
+    shared = F.concat(F.lit("https://jobs.example.com/"), _text(k - k % (5 * LISTING_PAGE)))
+    url = F.when(k % 13 == 0, "").when(k % 7 == 0, shared).otherwise(F.col("job_link"))
+    card = F.concat(
+        F.lit('<div class="x base-card"><a class="base-card__full-link" href="'), url, F.lit('">'), "job_title", F.lit("</a></div>")
+    )
+    cards = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "card"))), lambda c: c["card"]), "\n")
+    page = (F.floor(k / LISTING_PAGE) + 1).cast("long")
+    return (
+        posts.withColumn("card", card)
+        .groupBy(page.alias("page"), "role")
+        .agg(F.min("id").alias("page_id"), F.concat(F.lit("<html><body>"), cards, F.lit("</body></html>")).alias("html"))
+    )
+
+
 def listing_details(posts: DataFrame) -> DataFrame:
     """The cards' own pages; ``id % 3 = 0`` has none."""
     k = F.col("id")

@@ -40,13 +40,18 @@ def first_per_key(batch: DataFrame, order: str, keys: _Spec = UNIQUE_KEY) -> Dat
 
 def new_rows(existing: DataFrame, batch: DataFrame, order: str, keys: _Spec = UNIQUE_KEY) -> DataFrame:
     """Rows of ``batch`` to insert: clipped, the first per key, none of them in ``existing``."""
+    return not_stored(existing, first_per_key(batch, order, keys), order, keys)
+
+
+def not_stored(existing: DataFrame, first: DataFrame, order: str, keys: _Spec = UNIQUE_KEY) -> DataFrame:
+    """Rows of ``first``, unique per key, whose key is not in ``existing``."""
     lowered = _lowered(keys)
     names = list(lowered)
     stored = existing.select(*[c.alias(f"{n}_stored") for n, c in lowered.items()])
     # A row with a NULL key matches nothing; a hash of its order spreads such rows.
     loose = _has_null(names)
     spread = F.when(loose, F.xxhash64(order).cast("string")).otherwise(F.col(names[0]))
-    first = first_per_key(batch, order, keys).withColumns(lowered).withColumn("_loose", loose)
+    first = first.withColumns(lowered).withColumn("_loose", loose)
     first = first.withColumn(names[0], spread)
     same = ~F.col("_loose")
     for name in names:

@@ -120,6 +120,15 @@ def extract_detail_pages(pages: DataFrame, skills: DataFrame, as_of) -> DataFram
     return _with_skills(read, skills, "page_id")
 
 
+def detail_keys(pages: DataFrame) -> DataFrame:
+    """``page_id, job_title, company, source`` of detail pages, as ``extract_detail_pages`` reads them."""
+    names = ("job_title", "company")
+    read = pages.select("page_id", h.visible(F.col("html")).alias("_page"))
+    read = h.read_texts(read, "_page", {c: DETAIL_FIELDS[c] for c in names})
+    read = read.withColumns(_defaults({c: DETAIL_DEFAULTS[c] for c in names}))
+    return read.select("page_id", *names, F.lit(DETAIL_SOURCE).alias("source"))
+
+
 def extract_cards(pages: DataFrame, as_of) -> DataFrame:
     """One row per card of a listing page; ``pages`` has ``page_id, role, page, html``.
 
@@ -187,12 +196,14 @@ def discover_links(
     seen: DataFrame | None = None,
     card: tuple[str, str] | None = LINK_CARD,
     link: tuple[str, str | None] = LINK,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``url, page_id, pos``: links on listing pages, first sighting of each.
 
     One link per ``card`` element, or every ``link`` element when ``card`` is
     None. Empty links and those in ``seen`` (``url``) are left out. A link on very
-    many pages is reduced before the shuffle (partial aggregation).
+    many pages is reduced before the shuffle (partial aggregation). ``carry`` names
+    columns of the page to return as well.
     """
     page = F.col("_page")
     tag, cls = link
@@ -202,12 +213,12 @@ def discover_links(
     else:
         hrefs = F.transform(h.elements(page, *card), lambda c: h.attribute(c, tag, cls, "href"))
     links = (
-        pages.select("page_id", h.visible(F.col("html")).alias("_page"))
+        pages.select("page_id", *carry, h.visible(F.col("html")).alias("_page"))
         .withColumn("_links", hrefs)
-        .select("page_id", F.posexplode_outer("_links").alias("pos", "url"))
+        .select("page_id", *carry, F.posexplode_outer("_links").alias("pos", "url"))
         .filter("url != ''")
         .groupBy("url")
-        .agg(F.min(F.struct("page_id", "pos")).alias("first"))
-        .select("url", "first.page_id", "first.pos")
+        .agg(F.min(F.struct("page_id", "pos", *carry)).alias("first"))
+        .select("url", "first.page_id", "first.pos", *[f"first.{c}" for c in carry])
     )
     return links if seen is None else links.join(seen.select("url"), "url", "left_anti")
