@@ -20,7 +20,7 @@ from rolecall import dims, fixtures as fx  # noqa: E402
 from rolecall.operators import ids, search, skills as sk  # noqa: E402
 from rolecall.operators.dedupe import append_ignore  # noqa: E402
 from rolecall.plans import ingest, maintain, present, profile, recommend  # noqa: E402
-from rolecall.session import build_session, staged  # noqa: E402
+from rolecall.session import build_session, fresh_dir, staged  # noqa: E402
 from rolecall.sources import pages  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -44,6 +44,12 @@ def main() -> None:
     results = staged(recommend.recommend(people, posts, fx.AS_OF, dims.skills_frame(spark)), "results")
     skills, roles = dims.skills_frame(spark), dims.role_skills_frame(spark)
     docs = fx.table(spark, SF_DIR, "documents")
+    # the seed skills and pairs of them: as many hits as the seed list alone, from 2,000 phrases
+    seeds = fx.skill_list()
+    many = dims.skills_frame(spark, [*seeds, *(f"{a} {b}" for a in seeds for b in seeds)][:2000])
+    folder = fresh_dir(spark, "features")
+    recommend.write_features(posts, folder, skills)
+    features = spark.read.parquet(folder)
     early = F.col("posted_date") < F.lit("1998-04-01").cast("date")
     plain = posts.drop("posted_text")
     setup = time.time() - begin
@@ -52,12 +58,16 @@ def main() -> None:
         "search_postings": lambda: search.search_postings(posts, recommend.asking(people)),
         "search_one": lambda: search.search_one(posts, "nation_1", "Experienced", ["data_engineer"]),
         "recommend": lambda: recommend.recommend(people, posts, fx.AS_OF, skills),
-        "recommend_one": lambda: recommend.recommend_one(
+        "recommend_one": lambda: recommend.recommend_from_features(
+            people.filter("candidate_id = 7"), features, fx.AS_OF, "nation_1", "Experienced", ["data_engineer"]
+        ),
+        "recommend_one_unprepared": lambda: recommend.recommend_one(
             people.filter("candidate_id = 7"), posts, fx.AS_OF, skills, "nation_1", "Experienced", ["data_engineer"]
         ),
         "candidate_status": lambda: recommend.candidate_status(people, posts),
         "profile": lambda: profile.profile(resumes, fx.AS_OF, skills, roles),
         "extract_skills": lambda: sk.extract_skills(docs, skills, "text", "doc_id"),
+        "extract_skills_2000": lambda: sk.extract_skills(docs, many, "text", "doc_id"),
         "maintain": lambda: maintain.maintain(plain),
         "renumber": lambda: ids.renumber(plain),
         "append_ignore": lambda: append_ignore(plain.filter(early), plain.filter(~early), "id"),

@@ -555,3 +555,18 @@ SQL["missing_ids"] = _sql(_POST, """
 SELECT count(*) AS n, count(*) AS distinct_ids, count(*) FILTER (id % 10 <> 0) AS kept FROM postings""")
 SQL["fetch_time"] = """
 SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS fetched FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+
+# Single requests, bands and models ------------------------------------------
+
+SQL["recommend_one"] = SQL["recommend"] + " WHERE candidate_id = 7"
+SQL["search_one"] = _sql((*_POST, "people", "fetched"), """
+SELECT p.id, job_title, location, experience_level, CAST(posted_date AS VARCHAR) AS posted_date
+FROM fetched f JOIN postings p ON p.id = f.id WHERE f.candidate_id = 7""")
+SQL["band_join"] = """
+WITH wanted AS (SELECT o_orderkey AS id, c_nationkey AS nation, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey % 40 END AS low,
+    low + o_orderkey % 7 + CASE WHEN o_orderkey % 500 = 1 THEN 900 ELSE 0 END AS high FROM orders JOIN customer ON o_custkey = c_custkey),
+offered AS (SELECT c_custkey AS customer, c_nationkey AS nation, c_custkey % 25 AS low, c_custkey % 25 + c_custkey % 4 - 1 AS high FROM customer)
+SELECT customer, count(*) AS n, sum(id)::BIGINT AS orders FROM wanted w JOIN offered o
+  ON w.nation = o.nation AND o.low <= o.high AND w.low <= o.high AND w.high >= o.low GROUP BY customer"""
+SQL["stale_vectors"] = """
+SELECT doc_id, 'hashed:256' AS embedding_model, doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0 AS made FROM documents"""

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from rolecall import dims, fixtures as fx
 from rolecall.fixtures import AS_OF
 from rolecall.functions import bands, dates, text as t, vectors
-from rolecall.functions.embed import embed_text as embed
+from rolecall.functions.embed import embed_text as embed, model_name, refresh_vectors, stale_vectors as find_stale
 from rolecall.operators import filters, ids, reports, roles as ro, skills as sk
+from rolecall.operators.bands import band_join as join_bands
 from rolecall.operators.dedupe import append_ignore as append_rows
 from rolecall.operators.frontier import seen_links, visit
 from rolecall.operators.quota import crawl_quota as quota_per_title, quota_rank as rank_by_quota
-from rolecall.operators.search import search_postings as search
+from rolecall.operators.search import search_one as search_newest, search_postings as search
 from rolecall.plans import ingest as ing, present, profile as prof, recommend as rec
 from rolecall.plans.maintain import maintain as maintain_table, normalise_levels as levels, normalise_levels_by_table
 from rolecall.schema import POSTING_SCHEMA, rejected_postings, validate_postings
@@ -154,6 +155,18 @@ def band_overlap(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def band_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Free bands on both sides: per customer the orders of the same nation whose band shares a year."""
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    customers = fx.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    orders = fx.table(spark, sf, "orders").join(customers, F.col("o_custkey") == c)
+    low = F.when(k % 50 != 0, (k % 40).cast("int"))
+    wanted = orders.select(k.alias("order"), "nation", low.alias("low"), (low + k % 7 + F.when(k % 500 == 1, 900).otherwise(0)).alias("high"))
+    offered = customers.select(c.alias("customer"), "nation", (c % 25).alias("low"), (c % 25 + c % 4 - 1).alias("high"))
+    pairs = join_bands(wanted, offered, ["nation"])
+    return pairs.groupBy("customer").agg(F.count("*").alias("n"), F.sum("order").alias("orders"))
+
+
 def candidate_status(spark: SparkSession, sf: str) -> DataFrame:
     return rec.candidate_status(fx.candidates(spark, sf), fx.postings(spark, sf))
 
@@ -421,6 +434,21 @@ def embed_text(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.size("embedding").alias("dim"), F.round(vectors.norm(F.col("embedding")), 3).alias("norm"))
 
 
+def stale_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors that are missing, of another model or of an earlier text are made again, the others stay."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    model, k = model_name(), F.col("doc_id")
+    stored = embed(docs.filter(k % 3 != 0), "text").select(
+        "doc_id",
+        F.xxhash64(F.when(k % 7 == 0, "an earlier text").otherwise(F.coalesce("text", F.lit("")))).alias("text_hash"),
+        F.when(k % 5 == 0, "hashed:64").otherwise(model).alias("embedding_model"),
+        "embedding",
+    )
+    stale = find_stale(docs, stored, model, "doc_id").select("doc_id", F.lit(True).alias("made"))
+    whole = refresh_vectors(docs, stored, model, embed, "doc_id")
+    return whole.join(stale, "doc_id", "left").select("doc_id", "embedding_model", F.coalesce("made", F.lit(False)).alias("made"))
+
+
 # Ranking --------------------------------------------------------------------
 
 
@@ -468,15 +496,43 @@ def _recommended(spark, sf):
     return _STORED[key]
 
 
-def recommend(spark: SparkSession, sf: str) -> DataFrame:
+def _shown(results: DataFrame) -> DataFrame:
     return (
-        _recommend(spark, sf)
-        .withColumn("posted_date", F.col("posted_date").cast("string"))
+        results.withColumn("posted_date", F.col("posted_date").cast("string"))
         .withColumn("matched_skills", _joined("matched_skills"))
         .withColumn("match_score", F.round("match_score", 4))
     )
 
 
+def recommend(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(_recommend(spark, sf))
+
+
+#: The candidate whose single request is asked; the first one with location, roles and vector at any scale.
+ASKING = 7
+
+
+def _one(spark, sf):
+    person = fx.candidates(spark, sf).filter(F.col("candidate_id") == ASKING)
+    category = bands.chosen_category(F.col("form_level"), F.col("parsed_level"))
+    row = person.select("pref_location", category.alias("category"), "best_job_roles").first()
+    return person, row.pref_location, row.category, row.best_job_roles
+
+
+def recommend_one(spark: SparkSession, sf: str) -> DataFrame:
+    """One request over the stored features of all postings."""
+    person, *request = _one(spark, sf)
+    folder = fresh_dir(spark, "features")
+    rec.write_features(fx.postings(spark, sf), folder, _skills(spark))
+    return _shown(rec.recommend_from_features(person, spark.read.parquet(folder), AS_OF, *request))
+
+
+def search_one(spark: SparkSession, sf: str) -> DataFrame:
+    _, *request = _one(spark, sf)
+    found = search_newest(fx.postings(spark, sf), *request)
+    return found.select("id", "job_title", "location", "experience_level", F.col("posted_date").cast("string").alias("posted_date"))
+
+
 def resume_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     """From resume texts, every thirteenth empty, to lists and messages; the vectors are the candidates' own."""
     people = fx.candidates(spark, sf).select("candidate_id", "pref_location", "form_level", "embedding")
@@ -607,6 +663,6 @@ QUERIES = {
         card_details, crawl_quota, ingest_pages, upload_routing, assemble_text, embed_text, cosine_scores,
         quota_rank, recommend, resume_recommendations, views_all, views_recent, views_high, views_source, paging, source_list,
         stream_ingest, discover_and_ingest, crawl_frontier, stream_batches, read_source, run_report_totals, checked_postings,
-        missing_ids, fetch_time,
+        missing_ids, fetch_time, recommend_one, search_one, band_join, stale_vectors,
     )
 }

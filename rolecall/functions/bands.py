@@ -69,13 +69,17 @@ def level_class(level: Column) -> Column:
     return F.when(level.isNull(), "none").when(level.like("0-%") | level.like("1-%"), "low").otherwise("other")
 
 
+#: Level classes the named categories accept; others accept all.
+CLASSES = {"fresher": ["low"], "experienced": ["other"]}
+
+
 def allowed_classes(category: Column) -> Column:
     """Level classes a category accepts."""
-    classes = lambda *names: F.array(*map(F.lit, names))
+    classes = lambda names: F.array(*map(F.lit, names))
     return (
-        F.when(F.lower(category) == "fresher", classes("low"))
-        .when(F.lower(category) == "experienced", classes("other"))
-        .otherwise(classes("low", "other", "none"))
+        F.when(F.lower(category) == "fresher", classes(CLASSES["fresher"]))
+        .when(F.lower(category) == "experienced", classes(CLASSES["experienced"]))
+        .otherwise(classes(["low", "other", "none"]))
     )
 
 
@@ -84,3 +88,15 @@ def chosen_category(form_level: Column, parsed_level: Column) -> Column:
     return blank_to(form_level, parsed_level)
 
 
+def band_bins(low: Column, high: Column, levels: int) -> Column:
+    """Array of ``(level, bin)`` of a band of whole numbers; a bin of level n is 2**n wide.
+
+    A band has the level of its length, where it touches at most two bins, and those of
+    all higher levels up to ``levels``. Two bands that share a number share a bin of the
+    larger one's level.
+    """
+    own = F.ceil(F.log2((high - low + 1).cast("double"))).cast("int")
+    cell = lambda years, n: F.call_function("shiftright", years, n)
+    bins = lambda n: F.sequence(cell(low, n), cell(high, n))
+    per_level = lambda n: F.transform(bins(n), lambda b: F.struct(n.alias("level"), b.alias("bin")))
+    return F.flatten(F.transform(F.sequence(own, F.greatest(own, F.lit(levels))), per_level))

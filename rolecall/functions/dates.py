@@ -50,10 +50,15 @@ def written_date(text: Column) -> Column:
     )
 
 
+def date_age(posted: Column, as_of: date | str | Column) -> Column:
+    """``days_since`` of a column that holds dates."""
+    today = as_date(as_of)
+    return F.greatest(F.datediff(today, F.coalesce(posted, today)), F.lit(0))
+
+
 def days_since(posted: Column, as_of: date | str | Column) -> Column:
     """Whole days since posting (a date or its text), never negative; unusable dates count as today."""
-    today = as_date(as_of)
-    return F.greatest(F.datediff(today, F.coalesce(written_date(posted), today)), F.lit(0))
+    return date_age(written_date(posted), as_of)
 
 
 def age_label(days: Column) -> Column:

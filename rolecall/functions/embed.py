@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer, RegexTokenizer
@@ -59,3 +60,60 @@ def embed_text(
         return hashed_embedding(df, text, out, weights=weights)
     predict = predict_batch_udf(encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     return df.withColumn(out, predict(F.coalesce(text, F.lit(""))))
+
+
+def model_name(weights: IDFModel | None = None, dim: int = DIM, encoder: str | None = None) -> str:
+    """The fingerprint stored with each vector: of the named encoder, or of hashed words and their weights."""
+    if encoder is not None:
+        return f"encoder:{encoder}"
+    if weights is None:
+        return f"hashed:{dim}"
+    rounded = ",".join(f"{w:.12g}" for w in weights.idf.toArray())
+    return f"hashed:{dim}:{hashlib.sha256(rounded.encode()).hexdigest()[:16]}"
+
+
+def stamped(df: DataFrame, model: str, vector: str = "embedding", out: str = "embedding_model") -> DataFrame:
+    """``df`` with the model of each vector; none where there is no vector."""
+    return df.withColumn(out, F.when(F.col(vector).isNotNull(), F.lit(model)))
+
+
+def one_model(*frames: DataFrame, column: str = "embedding_model") -> str | None:
+    """The model of all vectors of ``frames``; more than one is an error, as vectors compare only within a model."""
+    found: set[str] = set()
+    for df in frames:
+        lowest, highest = df.agg(F.min(column), F.max(column)).first()
+        found |= {m for m in (lowest, highest) if m is not None}
+    if len(found) > 1:
+        raise ValueError("vectors of different models: " + ", ".join(sorted(found)))
+    return next(iter(found), None)
+
+
+def stale_vectors(
+    texts: DataFrame, vectors: DataFrame, model: str, key: str = "id", text: str = "text"
+) -> DataFrame:
+    """Rows of ``texts`` (``key, text``) without a vector of ``model`` for the text they have now.
+
+    ``vectors`` has ``key, text_hash, embedding_model``. A row is stale if it is new, if
+    its text has changed, or if another model has made its vector. Only hashes travel.
+    """
+    marked = texts.withColumn("text_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
+    fresh = vectors.filter(F.col("embedding_model") == model).select(key, "text_hash")
+    stale = marked.select(key, "text_hash").join(fresh, [key, "text_hash"], "left_anti").select(key)
+    return marked.join(stale.distinct(), key, "left_semi")
+
+
+def refresh_vectors(
+    texts: DataFrame,
+    vectors: DataFrame,
+    model: str,
+    embed: Callable[[DataFrame, str], DataFrame],
+    key: str = "id",
+    text: str = "text",
+) -> DataFrame:
+    """``key, text_hash, embedding_model, embedding`` for every row of ``texts``; only stale ones are embedded again."""
+    stale = stale_vectors(texts, vectors, model, key, text)
+    made = embed(stale, text).withColumn("embedding_model", F.lit(model))
+    columns = [key, "text_hash", "embedding_model", "embedding"]
+    wanted = texts.select(key, F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+    kept = vectors.filter(F.col("embedding_model") == model).join(wanted, [key, "text_hash"], "left_semi")
+    return kept.select(*columns).unionByName(made.select(*columns))

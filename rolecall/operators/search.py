@@ -26,18 +26,12 @@ from .joins import fetch_by_id, like_pairs, spread_join
 FETCH_LIMIT = 100
 
 
-def search_one(
-    postings: DataFrame, location: str, category: str | None, roles: list[str], limit: int = FETCH_LIMIT
-) -> DataFrame:
-    """One request: a distributed top-n over the narrow columns, then its few rows by id.
-
-    The at most ``limit`` ids reach the driver, so that the wide columns are read with a
-    filter on ids that Parquet can use.
-    """
+def newest_ids(postings: DataFrame, location: str, category: str | None, roles: list[str], limit: int) -> list[int]:
+    """The at most ``limit`` ids of one request, newest first: a distributed top-n over narrow columns."""
     if not location.strip():
-        return postings.select(*SEARCH_COLUMNS).limit(0)
+        return []
     wanted = F.array(*map(F.lit, roles)) if roles else F.array().cast("array<string>")
-    newest_ids = (
+    found = (
         postings.filter(location_like(F.col("location"), F.lit(location.strip())))
         .filter(experience_filter(F.col("experience_level"), F.lit(category)))
         .filter(title_matches_any(F.col("job_title"), wanted))
@@ -45,7 +39,18 @@ def search_one(
         .orderBy(F.desc_nulls_last("posted_date"), "id")
         .limit(limit)
     )
-    ids = [r.id for r in newest_ids.collect()]
+    return [r.id for r in found.collect()]
+
+
+def search_one(
+    postings: DataFrame, location: str, category: str | None, roles: list[str], limit: int = FETCH_LIMIT
+) -> DataFrame:
+    """One request: the newest ids, then their few rows.
+
+    The ids reach the driver, so that the wide columns are read with a filter on ids
+    that Parquet can use.
+    """
+    ids = newest_ids(postings, location, category, roles, limit)
     found = postings.filter(F.col("id").isin(ids)).select(*SEARCH_COLUMNS)
     return found.orderBy(F.desc_nulls_last("posted_date"), "id").limit(limit)
 

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..functions import dates, vectors
-from ..functions.bands import bands_overlap, chosen_category
+from ..functions.bands import CLASSES, bands_overlap, chosen_category, level_class
+from ..functions.embed import one_model
 from ..operators.joins import fetch_by_id, spread_join
 from ..operators.quota import TOTAL, quota_order, source_key
 from ..operators.search import (
     FETCH_LIMIT,
+    newest_ids,
     request_bundles,
     request_counts,
     search_one,
@@ -89,10 +92,13 @@ def recommend(
     """Ranked postings per candidate. ``search`` is ``searched`` of the same arguments, where it is at hand.
 
     ``candidates`` has ``candidate_id, pref_location, form_level, parsed_level,
-    best_job_roles, skills, embedding``. Returns one row per place in a list:
+    best_job_roles, skills, embedding``. If both tables name the model of their vectors
+    (``embedding_model``), more than one is an error. Returns one row per place in a list:
     ``candidate_id, position``, the shown columns, ``match_score``,
     ``matched_skills`` and ``days_since_posted``.
     """
+    if all("embedding_model" in df.columns for df in (candidates, postings)):
+        one_model(candidates, postings)
     mine = F.col("embedding")
     people = (
         asking(candidates)
@@ -136,6 +142,63 @@ def recommend_one(
     return _ranked(person.join(bundle.withColumn("one", F.lit(1)), "one"), as_of, total)
 
 
+def posting_features(postings: DataFrame, skills: DataFrame) -> DataFrame:
+    """What a single request needs of each posting, computed once: shown columns, level class, norm, counted skills.
+
+    ``vector`` is NULL where a posting has no usable one; such postings are fetched but not ranked.
+    """
+    known = postings.select("id", *_SHOWN, "job_description", "embedding")
+    described = _described(known, skills, *_SHOWN).drop("shown")
+    return described.withColumns(
+        {
+            "class": level_class(F.col("experience_level")),
+            "vector": F.when(vectors.is_usable(F.col("vector")), F.col("vector")),
+        }
+    )
+
+
+def write_features(postings: DataFrame, path: str, skills: DataFrame, mode: str = "append") -> None:
+    """Features of ``postings``, by level class, newest together; the ingest job appends those of its new rows."""
+    stored = posting_features(postings, skills)
+    stored.sortWithinPartitions("class", F.desc("posted_date")).write.mode(mode).partitionBy("class").parquet(path)
+
+
+def recommend_from_features(
+    candidate: DataFrame,
+    features: DataFrame,
+    as_of,
+    location: str,
+    category: str | None,
+    roles: list[str],
+    total: int = TOTAL,
+    limit: int = FETCH_LIMIT,
+) -> DataFrame:
+    """``recommend_one`` over the stored features: no text is searched and no norm computed.
+
+    Two reads: the narrow columns of the request's level classes for the newest ``limit`` ids, then those
+    rows by id. The few rows are ranked in one task, without a shuffle.
+    """
+    ids = newest_ids(_of_classes(features, category), location, category, roles, limit)
+    mine = F.col("embedding")
+    listed = ", ".join(map(str, ids)) or "NULL"  # one expression: building it value by value would cost more than reading
+    rows = _of_classes(features, category).filter(f"id IN ({listed}) AND vector IS NOT NULL")
+    rank = F.expr(f"array_position(CAST(array({listed}) AS array<bigint>), id)")
+    shown = F.struct(*_SHOWN).alias("shown")
+    names = ["vector", "vector_norm", "skill_counts", "source_key"]
+    bundle = rows.coalesce(1).select(F.struct(rank.alias("fetch_rank"), "id", *names, shown).alias("p"))
+    bundle = bundle.agg(F.array_sort(F.collect_list("p")).alias("bundle"))
+    person = candidate.filter(vectors.is_usable(mine)).select(
+        "candidate_id", "skills", mine.cast("array<double>").alias("embedding"), vectors.norm(mine).alias("my_norm")
+    )
+    return _ranked(person.coalesce(1).join(F.broadcast(bundle)), as_of, total)
+
+
+def _of_classes(features: DataFrame, category: str | None) -> DataFrame:
+    """The features of the level classes that ``category`` accepts; the other folders stay closed."""
+    accepted = CLASSES.get((category or "").lower())
+    return features if accepted is None else features.filter(F.col("class").isin(accepted))
+
+
 def _ranked(pairs: DataFrame, as_of, total: int) -> DataFrame:
     """Scores the bundle of every row and keeps its balanced list.
 
@@ -167,6 +230,8 @@ def _ranked(pairs: DataFrame, as_of, total: int) -> DataFrame:
         .withColumn("matched_skills", matched_skills(F.col("p.skill_counts"), F.col("skills")))
     )
     matched = F.size("matched_skills")
+    shown = listed.schema["p"].dataType["shown"].dataType
+    age = dates.date_age if isinstance(shown["posted_date"].dataType, T.DateType) else dates.days_since
     return listed.select(
         "candidate_id",
         (F.col("pos") + 1).alias("position"),
@@ -174,7 +239,7 @@ def _ranked(pairs: DataFrame, as_of, total: int) -> DataFrame:
         "p.shown.*",
         vectors.with_bonus(F.bround("p.score", 2), matched).alias("match_score"),
         "matched_skills",
-        dates.days_since(F.col("p.shown.posted_date"), as_of).alias("days_since_posted"),
+        age(F.col("p.shown.posted_date"), as_of).alias("days_since_posted"),
     )
 
 
