@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from rolecall.llm import linear, ragged, rows
 
 UNKNOWN = "und"
+#: Share of held-back texts of a language that may fall below the reference of ``floor``.
+RARE = 0.005
 LATIN_LOWER = np.arange(256, dtype=np.uint8)
 LATIN_LOWER[0x80:0x9F] += 0x20  # second byte after C3: the capitals of Latin-1
 LATIN_LOWER[0x97] = 0x97
@@ -37,6 +39,8 @@ class LanguageModel:
     temperature: float
     orders: tuple[int, ...]
     log_bits: int
+    #: Probability below which a text is in none of the languages.
+    least: float = 0.0
 
     @property
     def features(self) -> int:
@@ -185,8 +189,23 @@ def fit(
     model.fit([examples[i] for i in fitted], np.eye(len(languages))[truth[fitted]], epochs)
     weights = model.weights().astype(np.float32)
     back = np.flatnonzero(held)
-    heat = linear.temperature(linear.logits([examples[i] for i in back], weights), truth[back])
-    return LanguageModel(languages, idf, weights, heat, orders, log_bits)
+    z = linear.logits([examples[i] for i in back], weights)
+    heat = linear.temperature(z, truth[back])
+    return LanguageModel(languages, idf, weights, heat, orders, log_bits, floor(z, heat, truth[back]))
+
+
+def floor(z: np.ndarray, heat: float, truth: np.ndarray) -> float:
+    """Halfway from chance to the probability that all but ``RARE`` of the rightly named held-back texts exceed.
+
+    A text without any known n-gram gets about the same probability for all languages, a
+    short text of a language less than a long one; 0 without held-back texts or with one language.
+    """
+    if not len(z) or z.shape[1] < 2:
+        return 0.0
+    p = linear.softmax(z / heat)
+    right = p[np.arange(len(p)), truth][p.argmax(axis=1) == truth]
+    chance = 1.0 / z.shape[1]
+    return chance + max(0.0, float(np.quantile(right, RARE)) - chance) / 2 if len(right) else 0.0
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -237,13 +256,15 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(marked, model, ["doc_id", "held_out"])
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a recognisable language; the columns stay as they are.
 
     Fitted on the documents' own ``lang`` like ``op7_langid``. Rejected: ``und``, and
-    texts whose calibrated probability is below ``least``; without any labelled document all are ``und``.
+    texts whose calibrated probability is below the model's ``least``, which follows from
+    held-back texts (``floor``); without any labelled document all are ``und``.
     """
     model = fit(docs.filter(rows.training("doc_id", 3, 1)))
+    least = model.least if model else 0.0
     places = [f"_place{i}" for i in range(len(docs.columns))]
     flat = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, places, strict=True)], F.col("text"))
     found = predict(flat, model, places).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rolecall.llm import langid
@@ -60,3 +61,26 @@ def test_features_of_a_batch_equal_those_of_each_text():
         alone = next(iter(langid.text_features(*ragged.texts(pa.array([text])), (1, 2, 3), 16)))
         assert features.tolist() == alone[0].tolist() and counts.tolist() == alone[1].tolist()
         assert counts.sum() == sum(max(0, len(text) - n + 1) for n in (1, 2, 3))
+
+
+def test_the_stage_rejects_letter_junk_and_keeps_clean_texts(spark, make_docs):
+    rows = [(i, t, "aa", "s") for i, t in enumerate(sentences("abcde", 200, 1))]
+    rows += [(1000 + i, t, "bb", "s") for i, t in enumerate(sentences("efghi", 200, 2))]
+    rows += [(2000 + i, " ".join(t.split()[:3]), "aa", "s") for i, t in enumerate(sentences("abcde", 40, 3))]
+    junk = [(9000 + i, t, None, "s") for i, t in enumerate(sentences("uvwxyz", 50, 4))]
+    kept = {r.doc_id for r in language_stage(spark, make_docs(rows + junk), "").collect()}
+    assert not {i for i in kept if i >= 9000}
+    assert len(kept) >= 0.99 * len(rows)
+
+
+def test_scores_equal_brute_force(spark, make_docs):
+    """Probabilities of each text by itself from counts of its n-grams."""
+    docs = make_docs([(i, t, "ab"[i % 2] * 2, "s") for i, t in enumerate(sentences("abcdé", 40, 5))] + [(77, "É a", "aa", "s")])
+    model = fit(docs)
+    for r in predict(docs, model, ["doc_id", "text"]).collect():
+        (f, c), = langid.text_features(*langid.ragged.texts(langid.pa.array([r.text])), model.orders, model.log_bits)
+        x = (1 + np.log(c)) * model.idf[f]
+        x = x / np.sqrt((x * x).sum())
+        z = (x @ model.weights[f] + model.weights[-1]) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.lang_pred == model.languages[int(p.argmax())] and abs(r.score - p.max()) < 1e-5
