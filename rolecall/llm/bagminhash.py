@@ -374,16 +374,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and group of every whole document; ``kept`` marks the one document that stands for its group.
 
-    Classes and groups are named by their smallest doc_id, or by row numbers where ids are repeated or null.
+    Classes and groups are named by their smallest doc_id (null if none of their rows has one), whatever ids repeat.
     """
     docs = rows.keyed(rows.table(spark, sf_dir, "documents"), "doc_id", "text")
     groups, _ = near_duplicates(docs)
-    return groups.join(docs.select("_key", "_id"), "_key").select(
-        F.col("_id").alias("doc_id"),
-        F.col("class_key").alias("class_id"),
-        F.col("group_key").alias("group_id"),
-        (F.col("_key") == F.col("group_key")).alias("kept"),
-    )
+    found = groups.join(docs.select("_key", "_id"), "_key")
+    for key, name in (("class_key", "class_id"), ("group_key", "group_id")):
+        names = found.groupBy(key).agg(F.min("_id").alias(name))  # one row per class or group, combined before it moves
+        found = found.join(names, key)
+    return found.select(F.col("_id").alias("doc_id"), "class_id", "group_id", (F.col("_key") == F.col("group_key")).alias("kept"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,15 +11,9 @@ from rolecall.llm import rows
 from rolecall.session import staged
 
 
-def unique(docs: DataFrame, id_col: str) -> bool:
-    """True if the ids are never null and never repeated."""
-    n = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(id_col).alias("d")).first()
-    return n.n == n.d
-
-
 def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
-    """``docs`` with a column that names each row, and that column: the id, or a stored row number."""
-    if unique(docs, id_col):
+    """``docs`` with a column that names each row, and that column: the id if it can, or a stored row number."""
+    if rows.names_rows(docs, id_col):
         return docs, id_col
     name = next(c for c in ("_row", "_row_no", "_row_number", "_row_of_stage") if c not in docs.columns)
     return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name

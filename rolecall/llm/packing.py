@@ -1,6 +1,7 @@
 """Conflict-constrained best-fit packing of texts into sequences of fixed length.
 
-A bin holds no two pieces of one source and no two pieces of one duplicate cluster. A
+A bin holds no two pieces of one source and no two pieces of one duplicate cluster; clusters
+are operator 9's near-duplicate groups, and equal texts where a text has no group. A
 text longer than a bin is cut into pieces of full length and one remainder, which go to
 bins of their own choice like every other piece.
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolecall.llm import ragged, rows
+from rolecall.llm.bagminhash import near_duplicates
 
 
 class Bins:
@@ -102,9 +104,11 @@ def pack_shard(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pieces
 
 
-def pieces(docs: DataFrame, id_col: str, capacity: int, source_col: str) -> DataFrame:
-    """(_key, _id, source, cluster, piece, size) of every text with words; the cluster is a hash of its words."""
-    source = rows.keyed(docs.select(F.col(id_col).alias("_row"), "text", F.col(source_col).alias("source")), "_row", "source", "text")
+def pieces(source: DataFrame, capacity: int, groups: DataFrame | None = None) -> DataFrame:
+    """(_key, _id, source, cluster, piece, size) of every text with words of ``source`` (_key, _id, source, text).
+
+    The cluster is the text's group in ``groups`` (_key, group_key), else a hash of its words.
+    """
 
     def measure(batches):
         for batch in batches:
@@ -127,6 +131,9 @@ def pieces(docs: DataFrame, id_col: str, capacity: int, source_col: str) -> Data
     found = source.select("_key", "_id", "source", "text").mapInArrow(
         measure, f"_key bigint, _id {kinds['_id']}, source {kinds['source']}, cluster bigint, n bigint"
     )
+    if groups is not None:
+        cluster = F.coalesce(F.xxhash64("group_key"), "cluster")
+        found = found.join(groups.select("_key", "group_key"), "_key", "left").withColumn("cluster", cluster).drop("group_key")
     last = F.floor((F.col("n") - 1) / capacity)
     cut = F.sequence(F.lit(0).cast("long"), last.cast("long"))
     return (
@@ -137,9 +144,20 @@ def pieces(docs: DataFrame, id_col: str, capacity: int, source_col: str) -> Data
     )
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", capacity: int = 2048, shard_rows: int = 8000, source_col: str = "source") -> DataFrame:
-    """One row per piece: id, ``piece``, ``size`` in words, ``shard``, ``bin`` of the shard and ``offset`` in the bin."""
-    found = pieces(docs, id_col, capacity, source_col)
+def pack(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    capacity: int = 2048,
+    shard_rows: int = 8000,
+    source_col: str = "source",
+    near: bool = True,
+) -> DataFrame:
+    """One row per piece: id, ``piece``, ``size`` in words, ``shard``, ``bin`` of the shard and ``offset`` in the bin.
+
+    Clusters are the near-duplicate groups of operator 9, or with ``near=False`` equal texts.
+    """
+    source = rows.keyed(docs.select(F.col(id_col).alias("_row"), "text", F.col(source_col).alias("source")), "_row", "source", "text")
+    found = pieces(source, capacity, near_duplicates(source.select("_key", "text"))[0] if near else None)
     # as many shards as the input as read needs, whatever the sizes of the pieces
     n = docs.count()
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("_key", "piece"), F.lit(rows.shards(n, shard_rows))))
@@ -161,5 +179,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packing of the documents left by the earlier stages."""
-    return pack(docs)
+    """The packing of the documents left by the earlier stages, one of each near-duplicate group."""
+    return pack(docs, near=False)

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolecall.session import staged
 
@@ -14,19 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def names_rows(rows: DataFrame, id_col: str) -> bool:
+    """True if the ids are whole numbers, never null and never repeated, so that they can be keys."""
+    if not isinstance(rows.schema[id_col].dataType, T.IntegralType):
+        return False
+    ids = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.col(id_col)).alias("d")).first()
+    return ids.n == ids.d
+
+
 def keyed(rows: DataFrame, id_col: str, *columns: str) -> DataFrame:
     """``columns`` with ``_key``, a long that names each row, and the id as ``_id``.
 
-    Ids that are unique and never null are the key themselves. Otherwise the rows
-    are written to the shared folder with a number each: a lost executor reads the
-    same numbers again, so repeated and null ids still stand for one row each.
+    Whole numbers that are unique and never null are the key themselves. With other ids
+    (texts, repeated ones, nulls) the rows are written to the shared folder with a number
+    each: a lost executor reads the same numbers again, so every row stays a row of its own.
     Other columns of ``rows`` don't take part, whatever their names.
     """
-    ids = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct(F.col(id_col)).alias("d")
-    ).first()
     picked = [F.col(c) for c in columns]
-    if ids.n == ids.d:
+    if names_rows(rows, id_col):
         return rows.select(F.col(id_col).cast("long").alias("_key"), F.col(id_col).alias("_id"), *picked)
     numbered = rows.select(F.monotonically_increasing_id().alias("_key"), F.col(id_col).alias("_id"), *picked)
     return staged(numbered, "keyed")

@@ -102,7 +102,7 @@ def write_archives(
 ) -> None:
     """Write every row of ``pages`` as a record of the archives below ``path``."""
     source = rows.keyed(
-        pages.select(F.col(id_col).cast("long").alias("_row"), F.col(url_col).alias("url"), F.col(payload_col).alias("html")), "_row", "url", "html"
+        pages.select(F.col(id_col).try_cast("long").alias("_row"), F.col(url_col).alias("url"), F.col(payload_col).alias("html")), "_row", "url", "html"
     )
     heads = staged(decide(headers(source), least), "warc-heads")
     total = heads.agg(F.sum(F.when(F.col("response_key").isNull(), F.col("payload_bytes")).otherwise(0) + F.lit(600)).alias("n")).first().n or 0

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pandas as pd
 
-from rolecall.llm.packing import Bins, pack, pack_shard
+from rolecall.llm.packing import Bins, op10_packing, pack, pack_shard
 
 from .conftest import prose
 
@@ -80,3 +80,34 @@ def test_odd_rows(odd_docs):
     copies = got.filter("(doc_id < 3 or doc_id is null) and piece = 0").select("shard", "bin")
     assert copies.count() == copies.distinct().count() == 4
     assert pack(odd_docs.limit(0)).count() == 0
+
+
+def test_near_copies_never_share_a_bin(make_docs):
+    texts = {}
+    for i in range(12):
+        for j in range(9):  # one changed word each: two of them share 136 of 156 shingles
+            words = prose(i, 150).split()
+            words[8 * j + 5] = f"changed{j}"
+            texts[100 * i + j] = " ".join(words)
+    docs = make_docs([(i, t, "en", f"s{i}") for i, t in texts.items()])
+    got = pack(docs, capacity=1500, shard_rows=5000).collect()
+    held = defaultdict(list)
+    for r in got:
+        held[r.shard, r.bin].append(r.doc_id // 100)
+    assert all(len(x) == len(set(x)) for x in held.values()) and max(map(len, held.values())) > 3
+    plain = defaultdict(list)
+    for r in pack(docs, capacity=1500, shard_rows=5000, near=False).collect():
+        plain[r.shard, r.bin].append(r.doc_id // 100)
+    assert any(len(x) != len(set(x)) for x in plain.values())  # equal texts alone would let them meet
+
+
+def test_the_query_on_odd_rows(spark, odd_docs, sf):
+    got = op10_packing(spark, sf.write("documents", odd_docs)).collect()
+    words = sum(len((r.text or "").split()) for r in odd_docs.collect())
+    assert sum(r.size for r in got) == words
+    assert op10_packing(spark, _empty(sf, odd_docs)).count() == 0
+
+
+def _empty(sf, docs):
+    docs.limit(0).write.parquet(f"{sf}/none/documents.parquet")
+    return f"{sf}/none"
