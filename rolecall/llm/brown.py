@@ -1,12 +1,18 @@
 """Class-based bigram scoring with classes from exchange clustering.
 
-Training counts every word of the training texts. Words are clustered through *types*:
-a word with at least 1 / ``HEAD`` of all tokens is a type of its own (so there are at
-most ``HEAD`` of them, whatever the corpus), all rarer or unseen words share the type of
-their last three characters. Exchange clustering starts with the most frequent types as
-classes and moves, round after round, every other half of the types to the class under
-which their left and right neighbours are likeliest. Each round is one pass over the
-stored type streams; tasks send count tables of fixed size and nothing else.
+Training counts every word of the training texts, and exchange clustering gives each of
+them a class by its own neighbours:
+
+1. *Types*: a word with at least 1 / ``HEAD`` of all tokens is a type of its own (so there are
+   at most ``HEAD`` of them), the others share the type of their last three characters for now.
+   Starting with the most frequent types as classes, every other half of the types moves,
+   round after round, to the class under which their left and right neighbours are
+   likeliest. Each round is one pass over the stored type streams; tasks send count tables of
+   fixed size and nothing else.
+2. *Words*: then every word that shared a type moves by the same rule. Tasks send the classes
+   beside each occurrence, grouped by word, to the word's bucket of the vocabulary, where it
+   takes its class. No occurrence of a frequent word travels, so no bucket is hot. Only
+   words that training has not seen keep the class of their ending.
 
     P(w | v) = P(class(w) | class(v)) * P(w | class(w))
 
@@ -14,9 +20,10 @@ with add-one-half smoothing of both factors; every class keeps one place for uns
 words, so the probabilities of all known words and the unknown one sum to one. The end
 of a text is a class of its own, and it is the context of a text's first word.
 
-Scoring finds frequent words in a table of bounded size. The others go, as hashes in
-one block per (batch, bucket), to the bucket of the vocabulary that holds their counts;
-no key of that shuffle exceeds 1 / ``HEAD`` of the tokens.
+Scoring asks the buckets for the distinct rare words of each batch of texts (batches are
+made twice alike, once to ask and once to read the answers) and stores the classes of
+all texts, one byte a token. The transitions are counted over those of the training
+texts, and a last pass scores all of them.
 
 Words are known by their 64-bit hash. Defined results: a null or empty text is its end
 token alone; a null id trains; repeated rows are texts of their own; without training
@@ -35,11 +42,15 @@ from pyspark.sql import functions as F
 from rolecall.llm import ragged, rows
 from rolecall.session import staged
 
-HEAD = 1 << 13
+#: With the endings' types and the end, types fit 16 bits.
+HEAD = 60_000
 TAIL_BITS = 10
 TAIL = 1 << TAIL_BITS
 CLASSES = 64
 ROUNDS = 8
+#: Bytes of texts in one batch of questions; occurrences of rare words sent at once.
+BATCH = 1 << 22
+SENT = 1 << 21
 #: Words whose blocks one group of the vocabulary join holds, in expectation.
 BUCKET_WORDS = 1_000_000
 BLOCK = 512
@@ -57,11 +68,19 @@ class Words:
         return TAIL + len(self.hashes) + 1
 
 
+@dataclass
+class Classes:
+    """Classes of types, and how well neighbours fit the members of each class."""
+
+    class_of: np.ndarray  # by type; the end's class is the last
+    follow: np.ndarray  # log P(next class | class), by class; the last column is the end
+    lead: np.ndarray  # log P(class before | class)
+
+
 @dataclass
 class ClassModel:
     words: Words
-    class_of: np.ndarray  # by type; the end's class is the last
-    transitions: np.ndarray  # log10 P(next class | class)
+    class_of: np.ndarray  # by type: of frequent words, and of endings for words that training hasn't seen
     emission_base: np.ndarray  # log10 of the denominator of P(w | class)
     tokens: int
     vocabulary: int
@@ -206,8 +225,8 @@ def neighbours(stream: DataFrame, class_of: np.ndarray, classes: int) -> tuple[n
     return sums[:, :classes], sums[:, classes:]
 
 
-def exchange(stream: DataFrame, words: Words, rounds: int = ROUNDS, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each type, class bigram counts); the end of a text is class ``classes``."""
+def exchange(stream: DataFrame, words: Words, rounds: int = ROUNDS, classes: int = CLASSES) -> Classes:
+    """Classes of the types by exchange; the end of a text is class ``classes``."""
     types, end = words.types, classes
     class_of = np.full(types, classes + 1)  # not yet in a class
     leaders = np.lexsort((words.hashes, -words.counts))[:classes]
@@ -221,12 +240,12 @@ def exchange(stream: DataFrame, words: Words, rounds: int = ROUNDS, classes: int
         into, out = np.zeros((classes + 2, classes + 2)), np.zeros((classes + 2, classes + 2))
         np.add.at(into, place, left)
         np.add.at(out, place, right)
-        if step == rounds:
-            keep = [*range(classes), classes + 1]
-            return class_of, out[np.ix_(keep, keep)]
         # row k of each: how likely the neighbours are for members of class k
         follow = np.log(out[:classes] + 0.1) - np.log(out[:classes].sum(axis=1, keepdims=True) + 0.1 * (classes + 2))
         lead = np.log(into[:classes] + 0.1) - np.log(into[:classes].sum(axis=1, keepdims=True) + 0.1 * (classes + 2))
+        if step == rounds:
+            keep = [*range(classes), classes + 1]  # no type is without a class any more
+            return Classes(np.where(class_of == classes + 1, 0, class_of), follow[:, keep], lead[:, keep])
         fit = right @ follow.T + left @ lead.T
         best = fit.argmax(axis=1)
         moves = (class_of == classes + 1) if step == 0 else (turn == step % 2)
@@ -234,149 +253,294 @@ def exchange(stream: DataFrame, words: Words, rounds: int = ROUNDS, classes: int
         class_of = np.where(moves, best, class_of)
 
 
-def fit(train: DataFrame, known: DataFrame, rounds: int = ROUNDS, classes: int = CLASSES) -> ClassModel:
-    """The model of the texts of ``train``, whose vocabulary is ``known``."""
+def contexts(train: DataFrame, words: Words, found: Classes, buckets: int) -> DataFrame:
+    """(bucket, words, counts, left, right): the classes beside every occurrence of each rare word, grouped by word."""
+    sent, end = train.sparkSession.sparkContext.broadcast((words, found.class_of)), len(found.follow)
+
+    def collect(batches):
+        head, class_of = sent.value
+        held, size = [], 0
+
+        def flush():
+            rare, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = rare % np.uint64(buckets)
+            order = np.lexsort((rare, bucket))
+            rare, left, right, bucket = rare[order], left[order], right[order], bucket[order]
+            for a, b in zip(*ragged.runs(bucket), strict=True):
+                first, last = ragged.runs(rare[a:b])
+                yield {
+                    "bucket": int(bucket[a]),
+                    "words": rare[a:b][first].tobytes(),
+                    "counts": (last - first).astype(np.uint32).tobytes(),
+                    "left": left[a:b].tobytes(),
+                    "right": right[a:b].tobytes(),
+                }
+
+        for batch in batches:
+            data, offsets = ragged.texts(batch.column(0))
+            for first, last, d, o in ragged.chunks(data, offsets, 4 * ragged.CHUNK):
+                hashes, text, endings = split(d, o)
+                types, place = types_of(hashes, endings, head)
+                at = np.arange(len(hashes)) + text
+                stream = np.full(len(hashes) + last - first + 1, end, np.uint8)
+                stream[at + 1] = class_of[types]  # an end stands before the first text and after each
+                rare = place < 0
+                held.append((hashes[rare], stream[at[rare]], stream[at[rare] + 2]))
+                size += int(rare.sum())
+                if size > SENT:
+                    yield pa.RecordBatch.from_pylist(list(flush()), schema=arrow)
+                    held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_pylist(list(flush()), schema=arrow)
+
+    arrow = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("words", "counts", "left", "right")]])
+    return train.select("text").mapInArrow(collect, "bucket int, words binary, counts binary, left binary, right binary")
+
+
+def best_classes(word: np.ndarray, left: np.ndarray, right: np.ndarray, words: int, found: Classes) -> np.ndarray:
+    """The class under which the neighbours of each word's occurrences are likeliest; ``word`` numbers the words."""
+    order = np.argsort(word, kind="stable")
+    word, left, right = word[order], left[order], right[order]
+    first, last = ragged.runs(word)
+    best = np.zeros(words, np.uint8)
+    follow, lead = np.ascontiguousarray(found.follow.T), np.ascontiguousarray(found.lead.T)
+    at = 0
+    while at < len(first):  # some occurrences at a time
+        until = max(at + 1, int(np.searchsorted(last, first[at] + (1 << 15), "right")))
+        a, b = first[at], last[until - 1]
+        fit = np.add.reduceat(follow[right[a:b]] + lead[left[a:b]], first[at:until] - a, axis=0)
+        best[word[first[at:until]]] = fit.argmax(axis=1)
+        at = until
+    return best
+
+
+def word_classes(train: DataFrame, known: DataFrame, words: Words, found: Classes, buckets: int) -> DataFrame:
+    """``known`` with the class of every word, in the order of its hashes."""
+    sent = train.sparkSession.sparkContext.broadcast((words, found))
+
+    def settle(near: pa.Table, own: pa.Table) -> pa.Table:
+        head, classes = sent.value
+        row = own.to_pylist()[0]  # a bucket without words of training has no neighbours either
+        hashes = np.frombuffer(row["words"], np.uint64)
+        parts = []
+        for w, n, x, y in zip(*(near[c] for c in ("words", "counts", "left", "right")), strict=True):
+            place = np.searchsorted(hashes, np.frombuffer(w.as_buffer(), np.uint64))
+            sides = (np.frombuffer(c.as_buffer(), np.uint8) for c in (x, y))
+            parts.append((np.repeat(place, np.frombuffer(n.as_buffer(), np.uint32)), *sides))
+        best = np.zeros(len(hashes), np.uint8)
+        if parts:
+            best = best_classes(*(np.concatenate(c) for c in zip(*parts, strict=True)), len(hashes), classes)
+        _, place = types_of(hashes, np.zeros(len(hashes), np.int64), head)
+        best[place >= 0] = classes.class_of[TAIL + place[place >= 0]]
+        return pa.Table.from_pylist([{k: row[k] for k in ("bucket", "words", "counts")} | {"classes": best.tobytes()}], schema=arrow)
+
+    arrow = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("words", "counts", "classes")]])
+    near = contexts(train, words, found, buckets).groupBy("bucket")
+    settled = near.cogroup(known.select("bucket", "words", "counts").groupBy("bucket"))
+    return staged(settled.applyInArrow(settle, "bucket int, words binary, counts binary, classes binary"), "word-classes")
+
+
+def fit(train: DataFrame, known: DataFrame, buckets: int, rounds: int = ROUNDS, classes: int = CLASSES) -> tuple[ClassModel, DataFrame]:
+    """The model of the texts of ``train``, whose vocabulary is ``known``, and the vocabulary with classes."""
     facts = known.agg(F.sum("n_words").alias("v"), F.sum("n_tokens").alias("n")).first()
     texts = train.count()
     tokens, size = (facts.n or 0) + texts, (facts.v or 0) + (texts > 0)
     words = frequent(known, tokens)
-    stream = streams(train, words)
-    class_of, bigrams = exchange(stream, words, rounds, classes)
-    class_of = np.where(class_of == classes + 1, 0, class_of)
-    sent = train.sparkSession.sparkContext.broadcast((words, class_of))
+    found = exchange(streams(train, words), words, rounds, classes)
+    classed = word_classes(train, known, words, found, buckets)
 
     def sizes(batches):
-        head, mapping = sent.value
         n = np.zeros((2, classes + 1), np.int64)
         for batch in batches:
-            for blob, counts, endings in zip(*batch.columns, strict=True):
-                t, _ = types_of(np.frombuffer(blob.as_buffer(), np.uint64), np.frombuffer(endings.as_buffer(), np.uint16).astype(np.int64), head)
-                n[0] += np.bincount(mapping[t], minlength=classes + 1)
-                n[1] += np.bincount(mapping[t], np.frombuffer(counts.as_buffer(), np.int64), classes + 1).astype(np.int64)
+            for counts, held in zip(*batch.columns, strict=True):
+                c = np.frombuffer(held.as_buffer(), np.uint8)
+                n[0] += np.bincount(c, minlength=classes + 1)
+                n[1] += np.bincount(c, np.frombuffer(counts.as_buffer(), np.int64), classes + 1).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes + 1)), pa.array(n[0]), pa.array(n[1])], ["class", "v", "n"])
 
-    held = known.select("words", "counts", "endings").mapInArrow(sizes, "class bigint, v bigint, n bigint")
+    held = classed.select("counts", "classes").mapInArrow(sizes, "class bigint, v bigint, n bigint")
     by_class = {r["class"]: r for r in held.groupBy("class").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()}
     emission = np.array([np.log10(by_class[c].n + 0.5 * (by_class[c].v + 1)) if c in by_class else np.log10(0.5) for c in range(classes + 1)])
-    steps = np.log10(bigrams + 0.5) - np.log10(bigrams.sum(axis=1, keepdims=True) + 0.5 * (classes + 1))
-    return ClassModel(words, class_of, steps, emission, tokens, size, texts)
+    return ClassModel(words, found.class_of, emission, tokens, size, texts), classed
+
+
+def _batches(batch: pa.RecordBatch, head: Words):
+    """Per run of texts: (first row, end row, text, place, ending, distinct rare words by bucket, which of them each rare token is)."""
+    data, offsets = ragged.texts(batch.column(1))
+    for first, last, d, o in ragged.chunks(data, offsets, BATCH):
+        hashes, text, endings = split(d, o)
+        types, place = types_of(hashes, endings, head)
+        rare, at, back = np.unique(hashes[place < 0], return_index=True, return_inverse=True)
+        yield first, last, text, types, place, rare, endings[place < 0][at], back
 
 
-def score(docs: DataFrame, known: DataFrame, model: ClassModel, buckets: int) -> DataFrame:
-    """(_key, n_tokens, n_known, base_score, score) of each row of ``docs`` (_key, text)."""
+def resolved(docs: DataFrame, classed: DataFrame, model: ClassModel, buckets: int) -> DataFrame:
+    """Stored per batch of texts of ``docs`` (_key, text, trains): ``keys, trains``, the ``classes`` of all tokens, ends included,
+    and per text ``n_tokens, n_known, base`` and ``emission``, the log10 probabilities without transitions."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most HEAD + TAIL types
     base = float(np.log10(model.tokens + 0.5 * (model.vocabulary + 1)))
 
-    def local(batches):
-        m = sent.value
-        end = len(m.transitions) - 1
-        head_log = np.log10(m.words.counts + 0.5)
+    def ask(batches):
         for batch in batches:
-            data, offsets = ragged.texts(batch.column(1))
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, last, d, o in ragged.chunks(data, offsets, 4 * ragged.CHUNK):
-                n = last - first
-                hashes, text, endings = split(d, o)
-                types, place = types_of(hashes, endings, m.words)
-                classes = m.class_of[types]
-                stream = np.full(len(hashes) + n, end)
-                stream[np.arange(len(hashes)) + text] = classes
-                steps = m.transitions[np.concatenate([[end], stream[:-1]]), stream]
-                owner = np.repeat(np.arange(n), np.bincount(text, minlength=n) + 1)
-                frequent = place >= 0
-                # log10(count + 0.5) is the numerator of both probabilities; rare words' follow from the vocabulary
-                above = np.bincount(text[frequent], head_log[place[frequent]], n)
-                size = np.bincount(text, minlength=n) + 1
-                values = above + np.bincount(owner, steps, n) - np.bincount(text, m.emission_base[classes], n)
-                known_words = np.bincount(text[frequent], minlength=n) + (m.texts > 0)
-                rare = np.flatnonzero(~frequent)
-                bucket = (hashes[rare] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-                rare, bucket = rare[order], bucket[order]
+            for first, _, _, _, _, rare, _, _ in _batches(batch, sent.value.words):
+                bucket = (rare % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
                 out = [
-                    {
-                        "bucket": int(bucket[a]),
-                        "batch": int(keys[first]),
-                        "words": hashes[rare[a:b]].tobytes(),
-                        "owners": text[rare[a:b]].astype(np.uint32).tobytes(),
-                    }
-                    for a, b in zip(*ragged.runs(bucket), strict=True)
+                    {"bucket": int(bucket[order[a]]), "batch": batch.column(0)[first].as_py(), "words": rare[order[a:b]].tobytes()}
+                    for a, b in zip(*ragged.runs(bucket[order]), strict=True)
                 ]
-                out.append(
-                    {
-                        "bucket": -1,
-                        "batch": int(keys[first]),
-                        "keys": keys[first:last].tobytes(),
-                        "n_tokens": size.astype(np.int64).tobytes(),
-                        "n_known": known_words.astype(np.int64).tobytes(),
-                        "base": (above + np.log10(m.texts + 0.5) - size * base).tobytes(),
-                        "score": values.tobytes(),
-                    }
-                )
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-    names = ["keys", "words", "owners", "n_tokens", "n_known", "base", "score"]
-    arrow = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *[(c, pa.binary()) for c in names]])
-    schema = "bucket int, batch bigint, " + ", ".join(f"{c} binary" for c in names)
-    result = "_key bigint, n_tokens bigint, n_known bigint, base_score double, score double"
-    fields = ["_key", "n_tokens", "n_known", "base_score", "score"]
-    sent_out = staged(docs.select("_key", "text").mapInArrow(local, schema), "scores")
-
-    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Per batch of texts: which texts, known words and sums of log10(count + 0.5)."""
-        words = np.frombuffer(right["words"][0].as_buffer(), np.uint64) if len(right) else np.zeros(0, np.uint64)
-        counts = np.frombuffer(right["counts"][0].as_buffer(), np.int64) if len(right) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_pylist(out, schema=question)
+
+    def look_up(asked: pa.Table, own: pa.Table) -> pa.Table:
+        """Counts (0: not seen) and classes of the words asked for, in their order."""
+        words, counts, held = (
+            np.frombuffer(own[c][0].as_buffer(), kind) if len(own) else np.zeros(0, kind)
+            for c, kind in (("words", np.uint64), ("counts", np.int64), ("classes", np.uint8))
+        )
         out = []
-        for batch, wanted, owners in zip(left["batch"], left["words"], left["owners"], strict=True):
-            own = np.frombuffer(owners.as_buffer(), np.uint32)
-            asked = np.frombuffer(wanted.as_buffer(), np.uint64)
-            count = np.zeros(len(asked), np.int64)
-            if len(words):
-                place = np.minimum(np.searchsorted(words, asked), len(words) - 1)
-                count = np.where(words[place] == asked, counts[place], 0)
-            at = np.flatnonzero(np.bincount(own))
-            found = np.bincount(own, count > 0)[at].astype(np.int64)
-            logs = np.bincount(own, np.log10(count + 0.5))[at]
-            out.append({"batch": batch.as_py(), "owners": at.astype(np.uint32).tobytes(), "n_known": found.tobytes(), "score": logs.tobytes()})
+        for bucket, batch, wanted in zip(*(asked[c] for c in ("bucket", "batch", "words")), strict=True):
+            want = np.frombuffer(wanted.as_buffer(), np.uint64)
+            place = np.minimum(np.searchsorted(words, want), max(0, len(words) - 1))
+            seen = words[place] == want if len(words) else np.zeros(len(want), bool)
+            n = np.zeros(len(want), np.int64)
+            c = np.zeros(len(want), np.uint8)
+            n[seen], c[seen] = counts[place[seen]], held[place[seen]]
+            width = np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64
+            out.append({"batch": batch.as_py(), "bucket": bucket.as_py(), "counts": n.astype(width).tobytes(), "classes": c.tobytes()})
         return pa.Table.from_pylist(out, schema=answer)
 
+    def hold(batches):
+        m = sent.value
+        for batch in batches:
+            for first, last, text, types, place, rare, endings, back in _batches(batch, m.words):
+                n = last - first
+                known = np.where(place >= 0, m.words.counts[np.maximum(place, 0)] if len(m.words.counts) else 0, 0)
+                stream = np.full(len(text) + n, len(m.emission_base) - 1, np.uint8)
+                stream[np.arange(len(text)) + text] = m.class_of[types]
+                often = place >= 0
+                yield pa.RecordBatch.from_pylist(
+                    [
+                        {
+                            "batch": batch.column(0)[first].as_py(),
+                            "keys": batch.column(0).slice(first, n).to_numpy(zero_copy_only=False).tobytes(),
+                            "trains": batch.column(2).slice(first, n).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(),
+                            "sizes": np.bincount(text, minlength=n).astype(np.uint32).tobytes(),
+                            "stream": stream.tobytes(),
+                            "rare": (rare % np.uint64(buckets)).astype(np.uint32).tobytes(),
+                            "endings": m.class_of[endings].astype(np.uint8).tobytes(),
+                            "back": back.astype(np.uint32).tobytes(),
+                            "often": np.packbits(often).tobytes(),
+                            "known": np.bincount(text[often], minlength=n).astype(np.uint32).tobytes(),
+                            "above": np.bincount(text[often], np.log10(known[often] + 0.5), n).tobytes(),
+                        }
+                    ],
+                    schema=holding,
+                )
+
     def add(table: pa.Table) -> pa.Table:
-        """One batch of texts: what the batch knew itself and what each bucket answered."""
-        rows_of = table.to_pylist()
-        whole = next(r for r in rows_of if r["keys"] is not None)
-        kinds = [np.int64, np.int64, np.int64, np.float64, np.float64]
-        values = [np.frombuffer(whole[c], k).copy() for c, k in zip(["keys", "n_tokens", "n_known", "base", "score"], kinds, strict=True)]
-        for r in rows_of:
+        """One batch of texts with the answers of the buckets."""
+        m = sent.value
+        told = table.to_pylist()
+        own = next(r for r in told if r["keys"] is not None)
+        sizes, stream = np.frombuffer(own["sizes"], np.uint32).astype(np.int64), np.frombuffer(own["stream"], np.uint8).copy()
+        n, tokens = len(sizes), int(sizes.sum())
+        text = np.repeat(np.arange(n), sizes)
+        often = np.unpackbits(np.frombuffer(own["often"], np.uint8))[:tokens].astype(bool)
+        bucket, back = np.frombuffer(own["rare"], np.uint32), np.frombuffer(own["back"], np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        start = dict(zip(*(x.tolist() for x in np.unique(bucket[order], return_index=True)), strict=True))
+        count, held = np.full(len(bucket), -1, np.int64), np.frombuffer(own["endings"], np.uint8).copy()
+        for r in told:
             if r["keys"] is None:
-                at, logs = np.frombuffer(r["owners"], np.uint32), np.frombuffer(r["score"], np.float64)
-                values[2][at] += np.frombuffer(r["n_known"], np.int64)
-                values[3][at] += logs
-                values[4][at] += logs
-        return pa.table([pa.array(v) for v in values], names=fields)
-
-    answer = pa.schema([("batch", pa.int64()), ("owners", pa.binary()), ("n_known", pa.binary()), ("score", pa.binary())])
-    told = ["batch", "keys", "owners", "n_tokens", "n_known", "base", "score"]
-    rare = (
-        sent_out.filter("bucket >= 0")
-        .select("bucket", "batch", "words", "owners")
-        .groupBy("bucket")
-        .cogroup(known.select("bucket", "words", "counts").groupBy("bucket"))
-        .applyInArrow(look_up, "batch bigint, owners binary, n_known binary, score binary")
-    )
-    own = sent_out.filter("bucket < 0").select(*told)
-    return own.unionByName(rare, allowMissingColumns=True).groupBy("batch").applyInArrow(add, result)
+                c = np.frombuffer(r["classes"], np.uint8)
+                at = order[start[r["bucket"]] : start[r["bucket"]] + len(c)]
+                count[at] = np.frombuffer(r["counts"], np.uint32 if len(r["counts"]) == 4 * len(c) else np.uint64)
+                held[at[count[at] > 0]] = c[count[at] > 0]
+        if (count < 0).any():
+            raise RuntimeError("a batch of texts has asked for other words than it holds")
+        rare_text = text[~often]
+        stream[(np.arange(tokens) + text)[~often]] = held[back]
+        known = np.frombuffer(own["known"], np.uint32) + np.bincount(rare_text[count[back] > 0], minlength=n) + (m.texts > 0)
+        above = np.frombuffer(own["above"], np.float64) + np.bincount(rare_text, np.log10(count[back] + 0.5), n)
+        classes = stream[np.arange(tokens) + text]
+        out = {
+            "keys": own["keys"],
+            "trains": own["trains"],
+            "classes": stream.tobytes(),
+            "n_tokens": (sizes + 1).tobytes(),
+            "n_known": known.astype(np.int64).tobytes(),
+            "base": (above + np.log10(m.texts + 0.5) - (sizes + 1) * base).tobytes(),
+            "emission": (above - np.bincount(text, m.emission_base[classes], n)).tobytes(),
+        }
+        return pa.Table.from_pylist([out], schema=result)
+
+    binary = lambda *names: [(c, pa.binary()) for c in names]
+    ddl = lambda schema: ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'int' if f.type == pa.int32() else 'bigint'}" for f in schema)
+    question = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *binary("words")])
+    answer = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *binary("counts", "classes")])
+    holding = pa.schema([("batch", pa.int64()), *binary("keys", "trains", "sizes", "stream", "rare", "endings", "back", "often", "known", "above")])
+    result = pa.schema(binary("keys", "trains", "classes", "n_tokens", "n_known", "base", "emission"))
+    source = docs.select("_key", "text", "trains")
+    asked = source.mapInArrow(ask, ddl(question)).groupBy("bucket")
+    answers = asked.cogroup(classed.select("bucket", "words", "counts", "classes").groupBy("bucket")).applyInArrow(look_up, ddl(answer))
+    own = source.mapInArrow(hold, ddl(holding))
+    return staged(own.unionByName(answers, allowMissingColumns=True).groupBy("batch").applyInArrow(add, ddl(result)), "resolved")
+
+
+def transitions(held: DataFrame, classes: int) -> np.ndarray:
+    """log10 P(next class | class), the last being the end, over the training texts of ``held`` (``resolved``)."""
+
+    def count(batches):
+        n = np.zeros((classes + 1) ** 2, np.int64)
+        for batch in batches:
+            for trains, sizes, stream in zip(*batch.columns, strict=True):
+                c = np.frombuffer(stream.as_buffer(), np.uint8).astype(np.int64)
+                counts = np.repeat(np.frombuffer(trains.as_buffer(), np.uint8), np.frombuffer(sizes.as_buffer(), np.int64)) > 0
+                before = np.concatenate([[classes], c[:-1]])
+                n += np.bincount((before * (classes + 1) + c)[counts], minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["cell", "n"])
+
+    sums = held.select("trains", "n_tokens", "classes").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    table = np.zeros((classes + 1) ** 2)
+    for r in sums.collect():  # one row per pair of classes
+        table[r.cell] = r.n
+    table = table.reshape(classes + 1, classes + 1)
+    return np.log10(table + 0.5) - np.log10(table.sum(axis=1, keepdims=True) + 0.5 * (classes + 1))
+
+
+def score(docs: DataFrame, classed: DataFrame, model: ClassModel, buckets: int) -> tuple[DataFrame, np.ndarray]:
+    """(_key, n_tokens, n_known, base_score, score) of each row of ``docs`` (_key, text, trains), and the transitions."""
+    held = resolved(docs, classed, model, buckets)
+    end = len(model.emission_base) - 1
+    steps = transitions(held, end)
+
+    def last(batches):
+        for batch in batches:
+            for keys, stream, sizes, n_known, base, emission in zip(*batch.columns, strict=True):
+                c = np.frombuffer(stream.as_buffer(), np.uint8)
+                n = np.frombuffer(sizes.as_buffer(), np.int64)
+                owner = np.repeat(np.arange(len(n)), n)
+                moved = np.bincount(owner, steps[np.concatenate([[end], c[:-1]]), c], len(n))
+                values = np.frombuffer(emission.as_buffer(), np.float64) + moved
+                known = (np.frombuffer(keys.as_buffer(), np.int64), n, np.frombuffer(n_known.as_buffer(), np.int64))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (*known, np.frombuffer(base.as_buffer(), np.float64), values))], fields)
+
+    fields = ["_key", "n_tokens", "n_known", "base_score", "score"]
+    columns = held.select("keys", "classes", "n_tokens", "n_known", "base", "emission")
+    return columns.mapInArrow(last, "_key bigint, n_tokens bigint, n_known bigint, base_score double, score double"), steps
 
 
 def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every whole document under the model of the documents that aren't held out."""
     docs = rows.keyed(rows.table(spark, sf_dir, "documents"), "doc_id", "text")
-    train = docs.filter(rows.training("_id", 5, 1)).select("text")
+    docs = docs.withColumn("trains", rows.training("_id", 5, 1))
+    train = docs.filter("trains").select("text")
     volume = docs.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     buckets = max(8, rows.shards(volume // 6, BUCKET_WORDS))
     known = vocabulary(train, buckets)
-    model = fit(train, known)
-    scores = score(docs, known, model, buckets)
-    ids = docs.select("_key", F.col("_id").alias("doc_id"), (~rows.training("_id", 5, 1)).alias("held_out"))
+    model, classed = fit(train, known, buckets)
+    scores, _ = score(docs, classed, model, buckets)
+    ids = docs.select("_key", F.col("_id").alias("doc_id"), (~F.col("trains")).alias("held_out"))
     return ids.join(scores, "_key").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
