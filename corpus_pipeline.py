@@ -15,7 +15,7 @@ from rolecall.llm.langid import language_stage
 from rolecall.llm.lpf_dedup import repeats_stage
 from rolecall.llm.packing import packing_stage
 from rolecall.llm.rows import table
-from rolecall.session import staged
+from rolecall.session import fresh_dir, staging
 
 STAGES = [
     ("language_id", language_stage),
@@ -30,8 +30,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents."""
+    """All stages over the whole table of documents; what a stage has stored on its way goes once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        path = fresh_dir(spark, name)
+        with staging(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

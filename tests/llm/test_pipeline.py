@@ -8,7 +8,7 @@ from .conftest import prose
 def test_registered():
     names = set(registry.queries())
     assert {*QUERIES, "pipeline"} <= names and set(SQL) <= set(registry.oracle_sql())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 def test_each_stage_decides(spark, make_docs, sf):

@@ -1,6 +1,7 @@
 import numpy as np
 
-from rolecall.llm.toxicity import TERMS, fit, op5_toxicity, score
+from rolecall.llm import ragged
+from rolecall.llm.toxicity import BEGINNINGS, LOG_BITS, TERMS, fit, op5_toxicity, score
 
 from .conftest import prose
 
@@ -46,3 +47,26 @@ def test_odd_rows(spark, odd_docs, make_docs, sf):
     none = score(odd_docs, None, ["doc_id"])
     assert none.columns == got.columns and none.filter("toxic").count() == 0
     assert score(odd_docs.limit(0), fit(odd_docs, marks), ["doc_id"]).count() == 0
+
+
+def test_scores_equal_brute_force(spark, make_docs):
+    """The chain of each text by itself, link after link, over plain words and their beginnings."""
+    docs, labels = corpus(make_docs, spark)
+    chain = fit(docs, labels)
+    words, links, base = np.split(chain.weights.astype(float), [1 << LOG_BITS, (1 << LOG_BITS) + 5])
+    punctuation = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
+    hash_of = lambda w, n: int(ragged.span_hash(ragged.prefix(w), np.array([0]), np.array([len(w)]))[0]) * (2 * n + 1) % (1 << 64) >> (64 - LOG_BITS)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+    checked = 0
+    for r in score(docs.withColumn("copy", docs["text"]), chain, ["copy"]).collect()[:40]:
+        found = set()
+        for word in r["copy"].lower().translate(punctuation).split():
+            for n in (0, *BEGINNINGS):
+                if not n or len(word) > n:
+                    found.add(hash_of(np.frombuffer((word[:n] if n else word).encode(), np.uint8), n))
+        p = []
+        for k in range(5):
+            p.append(sigmoid(base[0, k] + sum(words[f, k] for f in found) + sum(a * b for a, b in zip(p, links[:k, k], strict=True))))
+        assert np.allclose(p, [r[f"p_{c}"] for c in chain.categories], atol=1e-5)
+        checked += r.toxic
+    assert checked
