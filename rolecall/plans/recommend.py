@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
@@ -176,7 +177,7 @@ def recommend_from_features(
     """``recommend_one`` over the stored features: no text is searched and no norm computed.
 
     Two reads: the narrow columns of the request's level classes for the newest ``limit`` ids, then those
-    rows by id. The few rows are ranked in one task, without a shuffle.
+    rows by id. Only the at most ``limit`` rows meet in one task.
     """
     ids = newest_ids(_of_classes(features, category), location, category, roles, limit)
     mine = F.col("embedding")
@@ -185,7 +186,7 @@ def recommend_from_features(
     rank = F.expr(f"array_position(CAST(array({listed}) AS array<bigint>), id)")
     shown = F.struct(*_SHOWN).alias("shown")
     names = ["vector", "vector_norm", "skill_counts", "source_key"]
-    bundle = rows.coalesce(1).select(F.struct(rank.alias("fetch_rank"), "id", *names, shown).alias("p"))
+    bundle = rows.select(F.struct(rank.alias("fetch_rank"), "id", *names, shown).alias("p"))
     bundle = bundle.agg(F.array_sort(F.collect_list("p")).alias("bundle"))
     person = candidate.filter(vectors.is_usable(mine)).select(
         "candidate_id", "skills", mine.cast("array<double>").alias("embedding"), vectors.norm(mine).alias("my_norm")
@@ -199,13 +200,9 @@ def _of_classes(features: DataFrame, category: str | None) -> DataFrame:
     return features if accepted is None else features.filter(F.col("class").isin(accepted))
 
 
-def _ranked(pairs: DataFrame, as_of, total: int) -> DataFrame:
-    """Scores the bundle of every row and keeps its balanced list.
-
-    A bundle is bounded, so scoring and ranking stay inside the row: nothing is
-    shuffled, and only the places of the final list leave it. Each step is a column
-    of its own so that no step is evaluated twice.
-    """
+@lru_cache(maxsize=16)
+def _ranking(application: str, total: int) -> dict[str, Column]:
+    """The expressions of ``_ranked``; made once per application, as making them costs more than a single request takes."""
     score = lambda p: vectors.cosine_percent(p["vector"], F.col("embedding"), p["vector_norm"], F.col("my_norm"))
     item = lambda p, i: F.struct(
         (-score(p)).alias("neg_score"),
@@ -219,17 +216,35 @@ def _ranked(pairs: DataFrame, as_of, total: int) -> DataFrame:
         F.element_at("bundle", x["at"])["skill_counts"].alias("skill_counts"),
         F.element_at("bundle", x["at"])["shown"].alias("shown"),
     )
+    return {
+        "bundle": F.filter("bundle", lambda p: F.size(p["vector"]) == F.size("embedding")),
+        "sources": F.array_distinct(F.transform("bundle", lambda p: p["source_key"])),
+        "scored": F.transform("bundle", item),
+        "placed": quota_order(F.col("items"), F.col("sources"), total),
+        "listed": F.transform("items", entry),
+        "matched": matched_skills(F.col("p.skill_counts"), F.col("skills")),
+        "match_score": vectors.with_bonus(F.bround("p.score", 2), F.size("matched_skills")),
+    }
+
+
+def _ranked(pairs: DataFrame, as_of, total: int) -> DataFrame:
+    """Scores the bundle of every row and keeps its balanced list.
+
+    A bundle is bounded, so scoring and ranking stay inside the row: nothing is
+    shuffled, and only the places of the final list leave it. Each step is a column
+    of its own so that no step is evaluated twice.
+    """
+    by = _ranking(pairs.sparkSession.sparkContext.applicationId, total)
     listed = (
-        pairs.withColumn("bundle", F.filter("bundle", lambda p: F.size(p["vector"]) == F.size("embedding")))
-        .withColumn("sources", F.array_distinct(F.transform("bundle", lambda p: p["source_key"])))
+        pairs.withColumn("bundle", by["bundle"])
+        .withColumn("sources", by["sources"])
         .filter(F.size("sources") > 0)
-        .withColumn("items", F.transform("bundle", item))
-        .withColumn("items", quota_order(F.col("items"), F.col("sources"), total))
-        .withColumn("items", F.transform("items", entry))
+        .withColumn("items", by["scored"])
+        .withColumn("items", by["placed"])
+        .withColumn("items", by["listed"])
         .select("candidate_id", "skills", F.posexplode_outer("items").alias("pos", "p"))
-        .withColumn("matched_skills", matched_skills(F.col("p.skill_counts"), F.col("skills")))
+        .withColumn("matched_skills", by["matched"])
     )
-    matched = F.size("matched_skills")
     shown = listed.schema["p"].dataType["shown"].dataType
     age = dates.date_age if isinstance(shown["posted_date"].dataType, T.DateType) else dates.days_since
     return listed.select(
@@ -237,7 +252,7 @@ def _ranked(pairs: DataFrame, as_of, total: int) -> DataFrame:
         (F.col("pos") + 1).alias("position"),
         "p.id",
         "p.shown.*",
-        vectors.with_bonus(F.bround("p.score", 2), matched).alias("match_score"),
+        by["match_score"].alias("match_score"),
         "matched_skills",
         age(F.col("p.shown.posted_date"), as_of).alias("days_since_posted"),
     )
