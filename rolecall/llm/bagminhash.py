@@ -40,12 +40,15 @@ from pyspark.sql import functions as F
 from rolecall.llm import ragged, rows
 from rolecall.llm.components import components
 from rolecall.llm.keep import without
+from rolecall.operators.joins import spread_join
 from rolecall.session import staged
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 #: Classes of a bucket that are compared by rows of pairs; larger buckets are compared in blocks.
 SMALL = 12
+#: Rows of one bucket or one end of pairs that a join leaves together.
+HOT_PAIRS = 1024
 #: Classes and shingles of a block, in expectation.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Keys (8 bytes each) that may be broadcast; above it the texts are joined by key.
@@ -170,9 +173,17 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the ``pairs`` (a, b) that reach ``threshold`` by their exact multisets."""
     wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
     held = staged(bag_rows(fetch(docs, wanted)), "bags")
-    # the first join has narrow rows only on its other side, the second is spread by whichever end has more pairs
-    one = pairs.join(held.select(F.col("_key").alias("a"), F.col("bag").alias("bag_a")), "a")
-    both = one.join(held.select(F.col("_key").alias("b"), F.col("bag").alias("bag_b")), "b").select("a", "b", "bag_a", "bag_b")
+    # each pair meets the bag of its rarer end first; a frequent end's bag comes last and doesn't travel with its pairs
+    ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("n")), "ends")
+    of = lambda c: ends.select(F.col("end").alias(c), F.col("n").alias(f"n_{c}"))
+    more, less = F.col("n_a") >= F.col("n_b"), F.col("n_a") < F.col("n_b")
+    turned = pairs.join(of("a"), "a").join(of("b"), "b").select(
+        F.when(more, F.col("a")).otherwise(F.col("b")).alias("hot"), F.when(less, F.col("a")).otherwise(F.col("b")).alias("cold")
+    )
+    one = turned.join(held.select(F.col("_key").alias("cold"), F.col("bag").alias("bag_a")), "cold")
+    frequent = held.select(F.col("_key").alias("hot"), F.col("bag").alias("bag_b"))
+    both = spread_join(one, frequent, "hot", ends.withColumnRenamed("end", "hot"), "cold", rows=HOT_PAIRS)
+    both = both.select(F.least("hot", "cold").alias("a"), F.greatest("hot", "cold").alias("b"), "bag_a", "bag_b")
 
     def work(batches):
         for batch in batches:
@@ -207,14 +218,17 @@ def _shape(buckets: DataFrame) -> DataFrame:
 
 def nearest_pivots(buckets: DataFrame) -> DataFrame:
     """One pair per class: the pivot that shares most buckets with others, of all pivots of the class's buckets."""
-    told = buckets.join(_shape(buckets), "bucket").filter(F.col("_key") != -F.col("top.low"))
+    shape = staged(_shape(buckets), "shape")
+    told = spread_join(buckets.select("bucket", "_key"), shape.select("bucket", "top"), "bucket", shape.select("bucket", "n"), "_key", rows=HOT_PAIRS)
+    told = told.filter(F.col("_key") != -F.col("top.low"))
     best = told.groupBy("_key").agg(F.max(F.struct("top.weight", "top.low")).alias("best"))
     return _ordered(best.select(F.col("_key").alias("a"), (-F.col("best.low")).alias("b")))
 
 
 def candidates(buckets: DataFrame) -> DataFrame:
     """All pairs across components of the buckets of at most ``SMALL`` classes."""
-    few = buckets.join(_shape(buckets).filter(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
+    shape = staged(_shape(buckets).select("bucket", "n"), "shape")
+    few = spread_join(buckets, shape.filter(F.col("n") <= SMALL).select("bucket"), "bucket", shape, "_key", "left_semi", HOT_PAIRS)
     held = few.groupBy("bucket").agg(F.collect_list(F.struct("_key", "component")).alias("held"))  # at most SMALL
     one = held.select(F.explode("held").alias("x"), "held")
     across = one.select("x", F.explode("held").alias("y")).filter("x._key < y._key and x.component <> y.component")
@@ -293,7 +307,8 @@ def forest(keys: np.ndarray, component: np.ndarray, bags: list[np.ndarray], seek
 
 def block_links(buckets: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): links that connect whatever is connected within a large bucket."""
-    some = buckets.join(_shape(buckets).filter(F.col("n") > SMALL).select("bucket"), "bucket", "left_semi")
+    shape = staged(_shape(buckets).select("bucket", "n"), "shape")
+    some = spread_join(buckets, shape.filter(F.col("n") > SMALL).select("bucket"), "bucket", shape, "_key", "left_semi", HOT_PAIRS)
     some = staged(some.select("bucket", "_key", "component"), "open")
     held = staged(bag_rows(fetch(docs, some.select("_key").distinct())).withColumn("shingles", F.length("bag") / 8), "bags")
 

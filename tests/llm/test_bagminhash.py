@@ -130,3 +130,11 @@ def test_odd_rows_and_stage(spark, odd_docs, sf):
     assert kept.columns == odd_docs.columns
     assert kept.count() == got.filter("kept").count()
     assert near_duplicate_stage(spark, odd_docs.limit(0), sf).count() == 0
+
+
+def test_hot_ends_and_buckets_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(bm, "HOT_PAIRS", 5)
+    base = prose(1, 120)
+    texts = {i: edited(base, 1, i) for i in range(60)} | {100 + i: edited(prose(2, 60), i % 2, i) for i in range(30)}
+    texts |= {200 + i: prose(500 + i, 40) for i in range(30)}
+    assert groups(spark, texts) == brute(texts)
