@@ -18,6 +18,7 @@ from ..schema import POSTING_SCHEMA, UNIQUE_KEY, clip_to_schema
 from ..session import staged, staging
 from ..sources.batches import BUCKETS, bucket, others, read_batches, write_batch
 from ..sources.pages import DETAIL_SOURCE, detail_keys, extract_cards, extract_detail_pages, with_card_details
+from .recommend import write_features
 
 # Fixed values: (postings per title, pages per title) of the two page sources.
 DETAIL_LIMITS = (10, 5)
@@ -146,6 +147,7 @@ def discover_and_ingest(
     listing_limits: tuple[int, int] = LISTING_LIMITS,
     embed: Callable[[DataFrame, str], DataFrame] | None = None,
     buckets: int = BUCKETS,
+    features: str | None = None,
 ) -> DataFrame:
     """One crawl, whole: links, quota, new postings with ids in ``table``, and the report of the run.
 
@@ -154,7 +156,8 @@ def discover_and_ingest(
     (``page_id, url, html``) are followed, with the link's role. ``listings`` and
     ``listing_details`` are the other source. The batch is written to ``table``, cut by
     the hash of its keys; stored keys are read in the buckets it touches only. Running a batch
-    again replaces it, with the same ids. Failed pages are those that ``pages`` lacks.
+    again replaces it, with the same ids. Failed pages are those that ``pages`` lacks. With
+    ``features``, what single requests need of the new postings (``recommend.posting_features``) is stored there, by batch as well.
     """
     spark = searches.sparkSession
     began = time.monotonic()
@@ -175,6 +178,8 @@ def discover_and_ingest(
     inserted = seen.get["rows"]
     seconds = time.monotonic() - began
     batch = read_batches(spark, table, POSTING_SCHEMA).filter(F.col("batch_id") == batch_id)
+    if features:
+        write_features(batch, f"{features}/batch_id={batch_id}", skills, mode="overwrite")
     looked = seen_links(spark, frontier).filter(F.col("batch_id") == batch_id).withColumn("source", F.lit(DETAIL_SOURCE))
     report = crawl_report(looked, batch, seconds)
     return report.withColumn("written", F.lit(inserted))

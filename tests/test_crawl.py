@@ -148,7 +148,7 @@ def test_crawl_is_whole_and_repeats_nothing(spark, tmp_path):
     searches, pages = staged(fx.search_pages(posts), "searches"), staged(fx.posting_pages(posts), "pages")
     listings = staged(fx.listing_pages(posts).withColumn("page", F.col("page") + 1), "listings")
     args = (pages, listings, fx.listing_details(posts), dims.skills_frame(spark), fx.AS_OF)
-    run = lambda n, s=searches: discover_and_ingest(f"{tmp_path}/t", f"{tmp_path}/f", n, s, *args)
+    run = lambda n, s=searches: discover_and_ingest(f"{tmp_path}/t", f"{tmp_path}/f", n, s, *args, features=f"{tmp_path}/features")
     read = lambda: sorted((r.batch_id, r.id, r.job_link, r.role) for r in batches.read_batches(spark, f"{tmp_path}/t", POSTING_SCHEMA).collect())
     total = lambda report: report.filter("scope = 'total'").first()
     first = total(run(0))
@@ -160,6 +160,9 @@ def test_crawl_is_whole_and_repeats_nothing(spark, tmp_path):
     assert read() == table and again.inserted == first.inserted
     later = total(run(1))
     assert read() == table and later is None  # nothing found, nothing to report
+    features = spark.read.parquet(f"{tmp_path}/features")
+    assert sorted(r.id for r in features.collect()) == [i for _, i, *_ in table]
+    assert {"batch_id", "class", "skill_counts", "vector_norm"} <= set(features.columns)
 
 
 def test_ingest_extracts_only_new_pages(spark):
