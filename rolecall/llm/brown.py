@@ -49,8 +49,8 @@ TAIL = 1 << TAIL_BITS
 CLASSES = 64
 ROUNDS = 8
 #: Bytes of texts in one batch of questions; occurrences of rare words sent at once.
-BATCH = 1 << 22
-SENT = 1 << 21
+BATCH = 1 << 20
+SENT = 1 << 20
 #: Words whose blocks one group of the vocabulary join holds, in expectation.
 BUCKET_WORDS = 1_000_000
 BLOCK = 512
@@ -365,13 +365,11 @@ def fit(train: DataFrame, known: DataFrame, buckets: int, rounds: int = ROUNDS,
 
 
 def _batches(batch: pa.RecordBatch, head: Words):
-    """Per run of texts: (first row, end row, text, place, ending, distinct rare words by bucket, which of them each rare token is)."""
+    """Per run of texts: (first row, end row, hashes, text, endings, types, places among the frequent words) of its words."""
     data, offsets = ragged.texts(batch.column(1))
     for first, last, d, o in ragged.chunks(data, offsets, BATCH):
         hashes, text, endings = split(d, o)
-        types, place = types_of(hashes, endings, head)
-        rare, at, back = np.unique(hashes[place < 0], return_index=True, return_inverse=True)
-        yield first, last, text, types, place, rare, endings[place < 0][at], back
+        yield first, last, hashes, text, endings, *types_of(hashes, endings, head)
 
 
 def resolved(docs: DataFrame, classed: DataFrame, model: ClassModel, buckets: int) -> DataFrame:
@@ -382,7 +380,8 @@ def resolved(docs: DataFrame, classed: DataFrame, model: ClassModel, buckets: in
 
     def ask(batches):
         for batch in batches:
-            for first, _, _, _, _, rare, _, _ in _batches(batch, sent.value.words):
+            for first, _, hashes, _, _, _, place in _batches(batch, sent.value.words):
+                rare = np.unique(hashes[place < 0])
                 bucket = (rare % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 out = [
@@ -412,8 +411,10 @@ def resolved(docs: DataFrame, classed: DataFrame, model: ClassModel, buckets: in
     def hold(batches):
         m = sent.value
         for batch in batches:
-            for first, last, text, types, place, rare, endings, back in _batches(batch, m.words):
+            for first, last, hashes, text, endings, types, place in _batches(batch, m.words):
                 n = last - first
+                rare, at, back = np.unique(hashes[place < 0], return_index=True, return_inverse=True)
+                endings = endings[place < 0][at]
                 known = np.where(place >= 0, m.words.counts[np.maximum(place, 0)] if len(m.words.counts) else 0, 0)
                 stream = np.full(len(text) + n, len(m.emission_base) - 1, np.uint8)
                 stream[np.arange(len(text)) + text] = m.class_of[types]
