@@ -66,6 +66,15 @@ def sequence(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, np.bincount(order), np.insert(order + np.int32(1), new, np.int32(0))
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Small numbers by bytes of equal weight; the upper bytes, mostly zero, compress to little."""
+    return np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(raw) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """(lang, words, counts, seq) of each block of ``docs`` (lang, text)."""
 
@@ -82,7 +91,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
                         pa.array([lang]),
                         pa.array([words.to_pylist()], pa.list_(pa.string())),
                         pa.array([counts], pa.list_(pa.int64())),
-                        pa.array([order.astype("<i4").tobytes()], pa.binary()),
+                        pa.array([planes(order)], pa.binary()),
                     ],
                     ["lang", "words", "counts", "seq"],
                 )
@@ -137,7 +146,7 @@ def _filters(blocks: DataFrame, bits: int, prefix: int) -> DataFrame:
         for batch in batches:
             for seq, ids in zip(batch.column(0), batch.column(1), strict=True):
                 at, value = ids.values.field("at").to_numpy(), ids.values.field("id").to_numpy()
-                order = np.frombuffer(seq.as_buffer(), "<i4")
+                order = from_planes(seq.as_buffer())
                 known = np.zeros(int(order.max(initial=0)) + 1, np.int64)
                 known[at] = value
                 waiting.append(ngrams(known[order], bits))
