@@ -25,12 +25,27 @@ from pyspark.sql import functions as F
 
 from rolecall.llm import linear, ragged, rows
 
-#: Words that tell the kinds of toxic text apart in training; what weighs in the end is learned.
+#: Words that tell the kinds of toxic text apart in training, in English, German, French and Spanish; what weighs in the end is learned.
 TERMS = {
-    "insult": ("idiot", "moron", "stupid", "dumb", "fool", "loser", "clown", "imbecile", "jerk", "coward"),
-    "degradation": ("trash", "garbage", "scum", "vermin", "filth", "worthless", "pathetic", "disgusting", "pig"),
-    "threat": ("kill", "murder", "hurt", "destroy", "burn", "shoot", "attack"),
-}
+    "insult": (
+        "idiot", "moron", "stupid", "dumb", "fool", "loser", "clown", "imbecile", "jerk", "coward",
+        "dumm", "trottel", "dummkopf", "versager", "feigling", "idioten", "blöd",
+        "stupide", "imbécile", "crétin", "lâche", "idiote", "perdant",
+        "idiota", "estúpido", "estúpida", "tonto", "imbécil", "cobarde", "payaso",
+    ),
+    "degradation": (
+        "trash", "garbage", "scum", "vermin", "filth", "worthless", "pathetic", "disgusting", "pig",
+        "abschaum", "müll", "ungeziefer", "wertlos", "erbärmlich", "widerlich", "schwein",
+        "ordure", "vermine", "pathétique", "dégoûtant", "minable", "porc",
+        "basura", "escoria", "patético", "asqueroso", "inútil", "cerdo",
+    ),
+    "threat": (
+        "kill", "murder", "hurt", "destroy", "burn", "shoot", "attack",
+        "töten", "umbringen", "ermorden", "verletzen", "vernichten", "erschießen",
+        "tuer", "assassiner", "blesser", "détruire", "brûler",
+        "matar", "asesinar", "herir", "destruir", "quemar", "disparar",
+    ),
+}
 LOG_BITS = 18
 #: Lengths in characters of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7)
