@@ -63,19 +63,29 @@ def bags(data: np.ndarray, offsets: np.ndarray):
     starts, ends, text = ragged.token_spans(lower, offsets)
     words = ragged.span_hash(ragged.prefix(lower), starts, ends)
     size = np.bincount(text, minlength=n)
-    place = (np.arange(len(words)) - np.searchsorted(text, text)).astype(np.uint64)
+    place = (np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
     sequence = []
     for salt in (np.uint64(1), np.uint64(0xD1B54A32D192ED03)):
         sums = np.concatenate([[np.uint64(0)], np.cumsum(ragged.mix(words * (salt | np.uint64(1)) + ragged.mix(place + salt)), dtype=np.uint64)])
         ends_at = np.cumsum(size)
         sequence.append((sums[ends_at] - sums[ends_at - size]).view(np.int64))
     hashes, owner = ragged.text_windows(words, text, SHINGLE)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
+    hashes, owner = _by_text(hashes, owner, n)
     first, end = ragged.runs(ragged.mix(hashes) + owner.astype(np.uint64))
     return size, sequence, hashes[first], owner[first], end - first
 
 
+def _by_text(hashes: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order within their texts; one sort by text and leading bits, put right where those don't tell."""
+    bits = np.uint64(max(1, int(texts).bit_length()))
+    order = np.argsort((owner.astype(np.uint64) << (np.uint64(64) - bits)) | (hashes >> bits))
+    hashes, owner = hashes[order], owner[order]
+    if ((hashes[1:] < hashes[:-1]) & (owner[1:] == owner[:-1])).any():
+        order = np.lexsort((hashes, owner))
+        hashes, owner = hashes[order], owner[order]
+    return hashes, owner
+
+
 def signatures(hashes: np.ndarray, owner: np.ndarray, weight: np.ndarray, texts: int, m: int = BANDS * ROWS) -> np.ndarray:
     """(texts, m) earliest points; infinite for texts without shingles."""
     out = np.full((texts, m), np.inf)
