@@ -61,6 +61,9 @@ def main() -> None:
         "recommend_one": lambda: recommend.recommend_from_features(
             people.filter("candidate_id = 7"), features, fx.AS_OF, "nation_1", "Experienced", ["data_engineer"]
         ),
+        "recommend_one_next": lambda: recommend.recommend_from_features(
+            people.filter("candidate_id = 8"), features, fx.AS_OF, "nation_2", "Experienced", ["data_analyst"]
+        ),
         "recommend_one_unprepared": lambda: recommend.recommend_one(
             people.filter("candidate_id = 7"), posts, fx.AS_OF, skills, "nation_1", "Experienced", ["data_engineer"]
         ),
