@@ -42,7 +42,7 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def others(spark: SparkSession, path: str, schema: T.StructType, batch_id: int, asking: DataFrame) -> DataFrame:
     """The rows of all other batches in the buckets that ``asking`` (with ``bucket``) touches."""
     touched = [row.bucket for row in asking.select("bucket").distinct().collect()]  # at most the number of buckets
-    return read_batches(spark, path, schema).filter((F.col("batch_id") != batch_id) & F.col("bucket").isin(touched))
+    return read_batches(spark, path, schema).filter(F.col("bucket").isin(touched) & (F.col("batch_id") != batch_id))
 
 
 def batch_ids(spark: SparkSession, path: str) -> list[int]:

@@ -391,6 +391,12 @@ def test_shared_dir_reads_the_session_setting():
     assert shared_dir(local) == local.checkpoint == shared_dir(local)
 
 
+@pytest.mark.parametrize("named", ["/tmp/checkpoints", "file:///tmp/checkpoints", "/mnt/shared", "file:/var/tmp/x"])
+def test_shared_dir_takes_the_named_folder_on_a_cluster(named):
+    assert shared_dir(FakeSession("spark://x", named)) == named
+    assert shared_dir(FakeSession("spark://x", None, named)) == named
+
+
 def test_uploads(spark, tmp_path):
     rows = [("a.PDF", 1024), ("a.doc", 1), ("a.docx", 6 * 1024 * 1024), ("", 1), (None, None), ("dir/b.docx", 5)]
     df = spark.createDataFrame(rows, "path string, length long")
