@@ -163,8 +163,13 @@ def band_join(spark: SparkSession, sf: str) -> DataFrame:
     low = F.when(k % 50 != 0, (k % 40).cast("int"))
     wanted = orders.select(k.alias("order"), "nation", low.alias("low"), (low + k % 7 + F.when(k % 500 == 1, 900).otherwise(0)).alias("high"))
     offered = customers.select(c.alias("customer"), "nation", (c % 25).alias("low"), (c % 25 + c % 4 - 1).alias("high"))
-    pairs = join_bands(wanted, offered, ["nation"])
-    return pairs.groupBy("customer").agg(F.count("*").alias("n"), F.sum("order").alias("orders"))
+    # orders of a nation with equal bands meet the same customers, so they are counted before they are paired
+    place = ["nation", "low", "high"]
+    asked = wanted.groupBy(*place).agg(F.count("*").alias("n"), F.sum("order").alias("orders"))
+    pairs = join_bands(asked, offered.select(*place).distinct(), ["nation"])
+    met = pairs.groupBy("nation", "other_low", "other_high").agg(F.sum("n").alias("n"), F.sum("orders").alias("orders"))
+    mine = offered.withColumnsRenamed({"low": "other_low", "high": "other_high"}).join(met, ["nation", "other_low", "other_high"])
+    return mine.groupBy("customer").agg(F.sum("n").alias("n"), F.sum("orders").alias("orders"))
 
 
 def candidate_status(spark: SparkSession, sf: str) -> DataFrame:

@@ -34,6 +34,8 @@ def band_join(left: DataFrame, right: DataFrame, on: list[str] | None = None) ->
 
     ``on`` names columns that must be equal as well. Bands are joined once per distinct
     pair; rows then meet on equal bands and keys. Rows with a NULL or reversed band have no partner.
+    Who wants totals of the pairs groups each side by key and band first: the pairs grow with the
+    product of both sides, the groups don't.
     """
     pairs = overlapping_bands(left, right)
     other = right.withColumnsRenamed({"low": "other_low", "high": "other_high"})

@@ -105,3 +105,28 @@ def test_lists_refuse_vectors_of_two_models(spark):
     posts = stamped(fx.postings(spark, SF).drop("posted_text"), "m2")
     with pytest.raises(ValueError):
         rec.recommend(people, posts, fx.AS_OF, dims.skills_frame(spark))
+
+
+def test_band_join_pairs_bands_not_rows(spark, tmp_path, monkeypatch):
+    """Orders with equal bands are counted before they meet customers; repeated and NULL keys count as before."""
+    from checks import queries
+    from rolecall import fixtures
+
+    customers = [(k, "c", n, 0.0, "") for k, n in [(1, 1), (2, 1), (2, 2), (3, 2), (26, 1), (None, 1), (7, None), (30, 3)]]
+    orders = [(k, c, "", 0.0, None, "") for k in [*range(1, 3000, 40), 50, 501, 501, None] for c in (1, 2, 26, 7, 99, None)]
+    for name, rows in (("customer", customers), ("orders", orders)):
+        spark.createDataFrame(rows, fixtures.TABLES[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    asked, join = [], queries.join_bands
+    monkeypatch.setattr(queries, "join_bands", lambda left, *more: asked.append(left) or join(left, *more))
+    got = {r.customer: (r.n, r.orders) for r in queries.band_join(spark, str(tmp_path)).collect()}
+    want: dict = {}
+    for o, _, nation in [(o, c, n) for o, c, *_ in orders for k, _, n, *_ in customers if c is not None and c == k]:
+        if o is None or o % 50 == 0 or nation is None:
+            continue
+        low, high = o % 40, o % 40 + o % 7 + (900 if o % 500 == 1 else 0)
+        for c, _, n, *_ in customers:
+            if c is not None and n == nation and max(low, c % 25) <= min(high, c % 25 + c % 4 - 1):
+                a, b = want.get(c, (0, 0))
+                want[c] = (a + 1, b + o)
+    assert got == want and len(got) > 2
+    assert asked[0].count() == asked[0].select("nation", "low", "high").distinct().count()
