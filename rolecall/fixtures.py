@@ -65,6 +65,16 @@ def row_count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
+#: Rows of one task where much is computed inside each row.
+TASK_ROWS = 5000
+
+
+def dealt(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` in tasks of about ``rows`` rows. A small file with many rows is read by one task, which would do all
+    that follows inside the rows; narrow rows are dealt before they grow."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def pick(values: list, index: Column) -> Column:
     """``values[index % len(values)]``."""
     quoted = ["cast(null as string)" if v is None else "'" + v.replace("'", "\\'") + "'" for v in values]
@@ -181,7 +191,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\nwork experience "), first, second, F.lit("\n"),
         pick(EDUCATION, k),
     )
-    return table(spark, sf_dir, "customer").select(k.alias("candidate_id"), text.alias("text"))
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(k.alias("candidate_id"), text.alias("text"))
 
 
 def _tagged(tag: str, cls: str, text: Column) -> Column:

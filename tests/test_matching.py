@@ -130,3 +130,13 @@ def test_band_join_pairs_bands_not_rows(spark, tmp_path, monkeypatch):
                 want[c] = (a + 1, b + o)
     assert got == want and len(got) > 2
     assert asked[0].count() == asked[0].select("nation", "low", "high").distinct().count()
+
+
+def test_resumes_of_one_file_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    rows = [(k % 19 or None, f"Name#{k}", 1, 0.0, "") for k in range(40)]
+    spark.createDataFrame(rows, fx.TABLES["customer"]).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    whole = sorted((r.candidate_id or 0, r.text or "") for r in fx.resumes(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(fx.dealt, "__defaults__", (10,))
+    found = fx.resumes(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 4
+    assert sorted((r.candidate_id or 0, r.text or "") for r in found.collect()) == whole and len(whole) == 40
