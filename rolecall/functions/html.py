@@ -7,6 +7,8 @@ Pages are read in three steps: ``visible`` drops scripts, styles and comments,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,8 @@ _CUT = "\x01"
 
 def visible(html: Column) -> Column:
     """HTML without comments, scripts, styles and templates."""
-    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>|\x01", "")
+    # One class of first characters, so that most places of a page are passed by one comparison.
+    return F.regexp_replace(html, r"[<\x01](?:(?<=\x01)|!--(?s:.*?)-->|(?is:(script|style|template)\b.*?</\1\s*>))", "")
 
 
 def _pieces(html: Column, pattern: str) -> Column:
@@ -66,21 +69,21 @@ def _before_first(html: Column, pattern: str) -> Column:
 def start_tag(tag: str, cls: str | None = None) -> str:
     """Pattern of a start tag that carries the class ``cls`` (exact case) among its classes."""
     if cls is None:
-        return rf"(?i)<{tag}\b[^>]*>"
+        return rf"<(?i:{tag}\b)[^>]*>"
     name = cls.replace("-", r"\-")
     quoted = rf"""["'](?:[^"'>]*\s)?{name}(?:\s[^"'>]*)?["']"""
-    return rf"""(?i:<{tag}\b)[^>]*?(?i:\sclass)\s*=\s*(?:{quoted}|{name}(?=[\s>]))[^>]*>"""
+    return rf"""<(?i:{tag}\b)[^>]*?(?i:\sclass)\s*=\s*(?:{quoted}|{name}(?=[\s>]))[^>]*>"""
 
 
 def _end_tag(tag: str) -> str:
-    return rf"(?i)</{tag}\s*>"
+    return rf"</(?i:{tag})\s*>"
 
 
 def up_to_end(rest: Column, tag: str) -> Column:
     """What follows a start tag up to the next end tag of that kind; ``rest`` is a stored column."""
     # The usual spelling is found by a plain search; the pattern serves the others.
     plain = F.substring_index(rest, f"</{tag}>", 1)
-    return F.when(~F.regexp_like(plain, F.lit(rf"(?i)</{tag}\s*>")), plain).otherwise(_before_first(rest, _end_tag(tag)))
+    return F.when(~F.regexp_like(plain, F.lit(_end_tag(tag))), plain).otherwise(_before_first(rest, _end_tag(tag)))
 
 
 def inner(rest: Column, tag: str, first: Column | None = None) -> Column:
@@ -90,8 +93,8 @@ def inner(rest: Column, tag: str, first: Column | None = None) -> Column:
     which as many end tags as start tags were seen. An unclosed element runs to
     the end, as in a browser. ``first`` is ``up_to_end`` where it is known.
     """
-    first = F.split(rest, _end_tag(tag), 2)[0] if first is None else first
-    opened = lambda piece: F.regexp_count(piece, F.lit(rf"(?i)<{tag}\b"))
+    first = up_to_end(rest, tag) if first is None else first
+    opened = lambda piece: F.regexp_count(piece, F.lit(rf"<(?i:{tag}\b)"))
     start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("html"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -109,11 +112,16 @@ def inner(rest: Column, tag: str, first: Column | None = None) -> Column:
 
 def after(html: Column, tag: str, cls: str | None = None) -> Column:
     """What follows the first such start tag; NULL when there is none."""
-    found = F.try_element_at(F.split(html, start_tag(tag, cls), 2), F.lit(2))
+    found = after_first(html, start_tag(tag, cls))
     # A plain search for the class name spares most pages the pattern.
     return found if cls is None else F.when(html.contains(cls), found)
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def elements(html: Column, tag: str, cls: str) -> Column:
     """Inner HTML of every such element, in page order."""
     pieces = _pieces(html, start_tag(tag, cls))

@@ -71,7 +71,7 @@ def _defaults(values: dict[str, str]) -> dict[str, Column]:
 
 
 def _first_inner(markup: Column, *selectors: tuple[str, str | None]) -> Column:
-    return F.coalesce(*[h.inner(h.after(markup, tag, cls), tag) for tag, cls in selectors])
+    return F.coalesce(*[h.once(h.after(markup, tag, cls), lambda rest, tag=tag: h.inner(rest, tag)) for tag, cls in selectors])
 
 
 def _with_criteria_job_type(df: DataFrame) -> DataFrame:
