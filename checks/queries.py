@@ -22,7 +22,7 @@ from rolecall.operators.search import search_one as search_newest, search_postin
 from rolecall.plans import ingest as ing, present, profile as prof, recommend as rec
 from rolecall.plans.maintain import maintain as maintain_table, normalise_levels as levels, normalise_levels_by_table
 from rolecall.schema import POSTING_SCHEMA, rejected_postings, validate_postings
-from rolecall.session import fresh_dir, staged
+from rolecall.session import file_versions, fresh_dir, staged
 from rolecall.sources import pages as pg, uploads
 from rolecall.sources.batches import read_batches
 from rolecall.sources.tables import read_postings, write_postings
@@ -486,7 +486,7 @@ def quota_rank(spark: SparkSession, sf: str) -> DataFrame:
     return rank_by_quota(scored, key="nation").select("nation", "position", "fetch_rank", "source", "score")
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str], tuple[DataFrame, list, list]] = {}
 
 
 def _recommend(spark, sf):
@@ -494,11 +494,16 @@ def _recommend(spark, sf):
 
 
 def _recommended(spark, sf):
-    """The stored recommendation lists that the views read."""
+    """The stored recommendation lists that the views read; made anew if the tables have changed or stored files are gone."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED:
-        _STORED[key] = staged(_recommend(spark, sf), "results")
-    return _STORED[key]
+    read = file_versions(spark, *(fx.table(spark, sf, name) for name in ("orders", "customer", "nation", "embeddings")))
+    if key in _STORED:
+        lists, of, files = _STORED[key]
+        if of == read and files == file_versions(spark, lists):
+            return lists
+    lists = staged(_recommend(spark, sf), "results")
+    _STORED[key] = lists, read, file_versions(spark, lists)
+    return lists
 
 
 def _shown(results: DataFrame) -> DataFrame:
