@@ -1,10 +1,11 @@
 """Results that queries store and read again."""
 
 import datetime as dt
+import os
 
 from checks import queries as q
 from rolecall import fixtures as fx
-from rolecall.session import staging
+from rolecall.session import fresh_dir, shared_dir, staging
 
 
 def write_tables(spark, folder, orders):
@@ -39,3 +40,8 @@ def test_views_follow_their_tables(spark, tmp_path, monkeypatch):
     assert first.count() == 100 and q._recommended(spark, str(tmp_path)) is first  # unchanged lists are read again
     write_tables(spark, tmp_path, range(100, 130))
     assert q._recommended(spark, str(tmp_path)).agg({"o_orderkey": "min"}).first()[0] == 100
+
+
+def test_nothing_lies_between_the_shared_folder_and_a_stored_table(spark):
+    one, other = fresh_dir(spark, "x"), fresh_dir(spark, "x")
+    assert one != other and os.path.dirname(one) == os.path.dirname(other) == shared_dir(spark).rstrip("/")
