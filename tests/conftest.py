@@ -10,7 +10,7 @@ from rolecall.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", master="local[8]", **{"spark.sql.shuffle.partitions": "8"})
+    session = build_session("tests", master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.sql.maxMetadataStringLength": "2000"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
