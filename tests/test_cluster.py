@@ -39,7 +39,7 @@ def cluster(spark, tmp_path, monkeypatch):
 
 
 STORING = [
-    "renumber_ids", "read_source",
+    "renumber_ids", "read_source", "maintain",
 ]
 
 
