@@ -40,7 +40,7 @@ def cluster(spark, tmp_path, monkeypatch):
 
 STORING = [
     "renumber_ids", "read_source", "maintain", "insert_then_maintain", "mismatch_flag", "search_postings", "crawl_frontier",
-    "recommend_one", "stream_ingest", "stream_batches", "recommend", "resume_recommendations",
+    "recommend_one", "stream_ingest", "stream_batches", "recommend", "resume_recommendations", "ingest_pages",
 ]
 
 
