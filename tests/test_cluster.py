@@ -51,3 +51,12 @@ def test_a_query_stores_its_tables_in_the_named_folder(cluster, tables, tmp_path
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tables}/{table}.parquet/*.parquet'")
     assert compare(cluster, con, tables, q.QUERIES[name], SQL[name]) is None
     assert list(tmp_path.glob("rolecall-*"))
+
+
+def test_all_crawls_of_discover_and_ingest_share_the_named_folder(cluster, tables, tmp_path, monkeypatch):
+    # the crawls themselves are tested in test_ingest; their places are at stake here
+    crawls = []
+    monkeypatch.setattr(q.ing, "discover_and_ingest", lambda table, frontier, batch_id, *rest: crawls.append((table, frontier, batch_id)))
+    assert q.discover_and_ingest(cluster, tables).count() == 0
+    assert [batch_id for *_, batch_id in crawls] == [0, 1, 1, 2] and len({crawl[:2] for crawl in crawls}) == 1
+    assert crawls[0][0].startswith(f"{tmp_path}/rolecall-crawl-")
